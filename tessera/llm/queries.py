@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bit_packing, quality_rules, sentence_pieces
+from tessera.llm import bit_packing, multi_index, packing, private_data, quality_rules, sentence_pieces, toxic_spans
 
 
 def _path(name: str) -> str:
@@ -17,10 +18,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), 50_257)
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.found(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", private_data.spans_text("spans").alias("spans"))
+
+
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxic_spans.fit(docs, _table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return toxic_spans.scored(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"))
 
@@ -31,7 +56,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_multi_index": op1_multi_index,
+        "op2_packing": op2_packing,
         "op3_token_files": op3_token_files,
+        "op6_private_data": op6_private_data,
+        "op7_toxic_spans": op7_toxic_spans,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_quality_rules": op9_quality_rules,
     }
