@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bit_packing, multi_index, packing, private_data, quality_rules, sentence_pieces, toxic_spans
+from tessera.llm import bit_packing, multi_index, near_duplicates, packing, private_data, quality_rules, sentence_pieces, toxic_spans
 
 
 def _path(name: str) -> str:
@@ -54,6 +54,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_multi_index": op1_multi_index,
@@ -63,6 +67,7 @@ def queries():
         "op7_toxic_spans": op7_toxic_spans,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_quality_rules": op9_quality_rules,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
