@@ -7,7 +7,7 @@ accepted one after another, each the one that explains most toxic documents of t
 of the token, and the transitions) is trained on these token labels. Forward-backward marginals give the offending
 offsets, and the document's score is a logistic function of the (weighted) expected number of toxic tokens.
 
-The field is fitted on a bounded sample of labelled rows (SAMPLE of each label by a hash of the id, of at most
+The field is fitted on a bounded sample of labelled rows (SAMPLE of the labels 0 and 1 by a hash of the id, of at most
 SAMPLE_BYTES bytes each); every document is scored whole. Null and empty texts have no tokens and get the base score.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import column, mixed, runs, span_hashes, text_bytes
 
-SAMPLE, SAMPLE_BYTES = 2500, 50_000
+SAMPLE, SAMPLE_BYTES = (2500, 1000), 20_000
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 
@@ -130,15 +130,22 @@ def marginals(gain: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: boo
 def induced(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, support: int, purity: float = 0.98) -> np.ndarray:
     """The accepted feature slots, flattened over the kinds of features (kind * 2**BITS + slot)."""
     docs = np.repeat(np.arange(len(toxic)), np.diff(first))
-    kinds = np.arange(len(slots), dtype=np.int64)[:, None] << BITS
-    pairs = np.unique((docs[None, :] << 24 | (slots + kinds)).reshape(-1)) if slots.size else np.zeros(0, np.int64)
-    doc, slot = pairs >> 24, pairs & ((1 << 24) - 1)
     size = len(slots) << BITS
-    pos, neg = np.bincount(slot[toxic[doc]], minlength=size), np.bincount(slot[~toxic[doc]], minlength=size)
+    pos, neg, held = np.zeros(size, np.int32), np.zeros(size, np.int32), []
+    for k in range(len(slots)):  # one kind at a time, and only what toxic documents have, keeps this small
+        own = slots[k].astype(np.int64) | k << BITS
+        ours = toxic[docs]
+        here = np.unique(docs[ours] << 24 | own[ours])
+        held.append(here)
+        pos += np.bincount(here & 0xFFFFFF, minlength=size).astype(np.int32)
+        also = ~ours & (pos[own] > 0)
+        neg += np.bincount(np.unique(docs[also] << 24 | own[also]) & 0xFFFFFF, minlength=size).astype(np.int32)
+    pairs = np.concatenate(held)
+    doc, slot = pairs >> 24, pairs & 0xFFFFFF
     scale = max(1.0, toxic.sum() / max(1, (~toxic).sum()))
     pure = (pos >= support) & (pos >= purity * (pos + neg * scale))
     open_doc, chosen = toxic.copy(), []
-    keep = pure[slot] & toxic[doc]
+    keep = pure[slot]
     doc, slot = doc[keep], slot[keep]
     while True:
         live = open_doc[doc]
@@ -157,9 +164,10 @@ def induced(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, support: in
 def train(slots: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 1.0, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Feature weights (kinds x 2**BITS) and transitions by AdaGrad on the field's log-likelihood."""
     size = len(slots) << BITS
-    flat = slots.astype(np.int64) + (np.arange(len(slots), dtype=np.int64)[:, None] << BITS)
+    flat = slots + (np.arange(len(slots), dtype=np.int32)[:, None] << BITS)
     used, inverse = np.unique(flat, return_inverse=True)
-    inverse = inverse.reshape(flat.shape)
+    inverse = inverse.reshape(flat.shape).astype(np.int32)
+    del flat
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-2)
     bias, trans = -7.0, np.zeros((2, 2))
     b2, t2 = 1e-2, np.full((2, 2), 1e-2)
@@ -231,12 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     got = []
     for toxic in (0, 1):
         picked = rows.where(F.col("_toxic") == toxic).select(F.xxhash64(id_col).alias("h"), id_col, text_col)
-        got += [(r[text_col], toxic) for r in picked.orderBy("h", id_col).limit(SAMPLE).collect()]
+        got += [(r[text_col], toxic) for r in picked.orderBy("h", id_col).limit(SAMPLE[toxic]).collect()]
     got = list(dict.fromkeys(got))  # copies teach nothing
     y = np.array([t for _, t in got], bool)
     t = Tokens(pa.array([x for x, _ in got], pa.string()))
     slots = t.slots()
-    chosen = induced(slots, t.first, y, support=max(3, int(y.sum()) // 400))
+    chosen = induced(slots, t.first, y, support=max(3, int(y.sum()) // 60))
     toxic_token = np.zeros(slots.shape[1], bool)
     for k in range(len(slots)):
         own = chosen[chosen >> BITS == k] & ((1 << BITS) - 1)
