@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bit_packing, multi_index, near_duplicates, packing, private_data, quality_rules, sentence_pieces, toxic_spans
+from tessera.llm import bit_packing, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, toxic_spans
 
 
 def _path(name: str) -> str:
@@ -35,6 +35,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), 50_257)
 
 
+def op5_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_matching.scored(_table(spark, sf_dir, "documents"), remainder(10) == 0)
+
+
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_data.found(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", private_data.spans_text("spans").alias("spans"))
@@ -63,6 +67,7 @@ def queries():
         "op1_multi_index": op1_multi_index,
         "op2_packing": op2_packing,
         "op3_token_files": op3_token_files,
+        "op5_partial_matching": op5_partial_matching,
         "op6_private_data": op6_private_data,
         "op7_toxic_spans": op7_toxic_spans,
         "op8_sentence_pieces": op8_sentence_pieces,
