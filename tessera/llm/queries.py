@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bit_packing, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, toxic_spans
+from tessera.llm import bit_packing, line_dedup, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, toxic_spans
 
 
 def _path(name: str) -> str:
@@ -35,6 +35,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), 50_257)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return clean.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partial_matching.scored(_table(spark, sf_dir, "documents"), remainder(10) == 0)
 
@@ -67,6 +73,7 @@ def queries():
         "op1_multi_index": op1_multi_index,
         "op2_packing": op2_packing,
         "op3_token_files": op3_token_files,
+        "op4_line_dedup": op4_line_dedup,
         "op5_partial_matching": op5_partial_matching,
         "op6_private_data": op6_private_data,
         "op7_toxic_spans": op7_toxic_spans,
