@@ -168,20 +168,48 @@ def confident_patterns(edges: DataFrame, support: int = 5, confidence: float = 0
     return scores.where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
 
 
-def found(docs: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFrame:
-    """Per row: doc_id, row, counts and hash of the fixed spans, and all spans as array<struct<start,kind,end>>."""
-    scan = stored(scanned(docs), "private-scan")
+def _added(scan: DataFrame, support: int, confidence: float) -> DataFrame:
+    """row, more: spans that confident patterns add, where no two overlap. scan: of scanned(), stored."""
     edges = scan.select("row", F.explode("edges").alias("e")).select("row", "e.*")
     good = confident_patterns(edges, support, confidence)
     named = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     open_edges = edges.where("kind < 0").select("row", "pattern", "start", "end", "allowed")
     hits = open_edges.join(good, "pattern").where(F.array_contains(F.split("allowed", ","), named))
     best = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    more = best.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    return best.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+
+
+def found(docs: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFrame:
+    """Per row: doc_id, row, counts and hash of the fixed spans, and all spans as array<struct<start,kind,end>>."""
+    scan = stored(scanned(docs), "private-scan")
+    more = _added(scan, support, confidence)
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     return scan.drop("edges").join(more, "row", "left").select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
 
 
+def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all rows and columns, with each span in its text replaced by its kind. Rows that repeat an id share added spans."""
+    scan = stored(scanned(docs, id_col, text_col), "private-scan")
+    more = scan.select("row", "doc_id").join(_added(scan, support, confidence), "row").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("_more"))
+    joined = docs.join(more.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_id"), "left")
+    names = list(docs.columns)
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, extra in zip((x.as_py() for x in b.column(at)), column(b, "_more").to_pylist(), strict=True):
+                if text:
+                    spans = fixed_spans(text) + [(x["start"], x["kind"], x["end"]) for x in extra or () if x["end"] <= len(text)]
+                    text = redacted(text, spans) if spans else text
+                out.append(text)
+            cols = list(b.columns[: len(names)])
+            cols[at] = pa.array(out, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.select(*[docs[c] for c in names], "_more").mapInArrow(run, docs.schema)
+
+
 def spans_text(spans: Column | str) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -287,3 +287,18 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, token_threshol
                 )
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                t = Tokens(column(part, text_col))
+                yield part.filter(pa.array(model.score(model.expected(model.tokens(t), t.first)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
