@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.plans import arrays, curate, evaluate, meters, prefer, text, vectors  # noqa: F401  they register themselves
+from tessera.plans.registry import QUERIES, SQL, Query
 
-def queries():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
