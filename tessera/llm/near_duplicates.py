@@ -3,8 +3,9 @@
 1. A document's set is its distinct word 5-shingles (as 64-bit hashes); documents with equal sets are one class.
 2. A class has a sketch of WIDTH minwise tokens. In each of `trees` independent trees the root selects coordinates, and
    classes with the same token in a selected coordinate go to the same child. Nodes of at most `small` classes are
-   compared exhaustively by their sketches; larger ones select coordinates again (their choice follows from the path) and
-   branch, `depth` times. What then still is large is one candidate group as it stands.
+   compared exhaustively by their sketches. In larger ones all are compared with one head; those very close to it need no
+   further company (whoever is linked with them is close enough to the head, too), the others select coordinates again
+   (the choice follows from the path) and branch, `depth` times. What then still is large is one candidate group.
 3. Candidate links make groups, and within a group all links are decided on the full sets, with an inverted index a block.
    Groups of more than BLOCK_CLASSES classes or BLOCK_SHINGLES shingles are dealt into blocks. Blocks are compared within,
    then all with every block's most central member, then what is still apart from the group's main component with all
@@ -12,7 +13,7 @@
 4. Components of the links give each document the smallest id it can reach.
 
 Only sketches are approximate: a pair at the threshold shares a child of a root with probability 1 - exp(-1.5) a tree, and
-its sketches agree in LEAST places or more but for one in ten million.
+its sketches agree in LEAST places or more but for one in a hundred million.
 
 Null texts and texts without words have no shingles and are linked with nothing. Repeated rows are equal documents.
 """
@@ -30,7 +31,7 @@ from tessera.llm.graph import components
 from tessera.llm.shared import Words, column, mixed, stored
 
 SHINGLE = 5
-WIDTH, LEAST = 64, 30
+WIDTH, LEAST, CLOSE = 64, 28, 52
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
 _RNG = np.random.default_rng(1299709)
 _ODD = _RNG.integers(1, 2**63, size=(WIDTH, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,8 +63,8 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """WIDTH 16-bit minwise tokens of each non-empty set (rows of empty sets are zero)."""
-    out = np.zeros((len(first) - 1, WIDTH), np.uint16)
+    """WIDTH 32-bit minwise tokens of each non-empty set (rows of empty sets are zero)."""
+    out = np.zeros((len(first) - 1, WIDTH), np.uint32)
     held = np.flatnonzero(np.diff(first))
     if not len(held):
         return out
@@ -74,7 +75,7 @@ def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
         part, begins = sets[lo:hi], first[held[at:to]] - lo
         for k in range(WIDTH):
             least = np.minimum.reduceat((part ^ _ODD[k, 0]) * _ODD[k, 1], begins)
-            out[held[at:to], k] = (mixed(least) >> np.uint64(48)).astype(np.uint16)
+            out[held[at:to], k] = (mixed(least) >> np.uint64(32)).astype(np.uint32)
         at = to
     return out
 
@@ -84,7 +85,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (a hash of the set; null without shingles) and sketch."""
+    """Per row: doc_id, n_shingles, cls (a hash of the set; null without shingles), sketch, and the sketch in half the bits,
+    which is enough to compare but not to branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,11 +101,11 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     cls[some] = mixed(sums + n[some].astype(np.uint64) * _PLACE[0])
                 sk = sketches(sets, first)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, id_col).cast(pa.int64()), pa.array(n), pa.array(_signed(cls), mask=~some), pa.array([s.tobytes() for s in sk], pa.binary())],
-                    names=["doc_id", "n_shingles", "cls", "sketch"],
+                    [column(part, id_col).cast(pa.int64()), pa.array(n), pa.array(_signed(cls), mask=~some), pa.array([s.tobytes() for s in sk], pa.binary()), pa.array([s.tobytes() for s in sk.astype(np.uint16)], pa.binary())],
+                    names=["doc_id", "n_shingles", "cls", "sketch", "brief"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary, brief binary")
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +160,8 @@ class _Forest:
         return True
 
 
-def _sketch_matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, WIDTH)
+def _sketch_matrix(col: pa.Array, of: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), of).reshape(-1, WIDTH)
 
 
 def _edges_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -170,7 +172,7 @@ def _edges_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each small node's classes whose sketches agree."""
     for b in _runs_of(batches, ["node"]):
-        sk, cls, at = _sketch_matrix(column(b, "sketch")), column(b, "cls").to_numpy(), _starts(b, ["node"])
+        sk, cls, at = _sketch_matrix(column(b, "brief"), np.uint16), column(b, "cls").to_numpy(), _starts(b, ["node"])
         n = np.diff(at)
         pairs: list[tuple[int, int]] = []
         two = at[:-1][n == 2]  # most nodes
@@ -199,7 +201,7 @@ def _children(branches: float | list[tuple[int, list[int]]]):
             if isinstance(branches, list):
                 for tree, coords in branches:
                     for c in coords:
-                        nodes.append(mixed(sk[:, c].astype(np.uint64) + np.uint64((tree * WIDTH + c) << 16)))
+                        nodes.append(mixed(sk[:, c].astype(np.uint64) + np.uint64((tree * WIDTH + c) << 32)))
                         owners.append(cls)
             else:
                 path = column(b, "node").to_numpy().view(np.uint64)
@@ -213,25 +215,37 @@ def _children(branches: float | list[tuple[int, list[int]]]):
     return run
 
 
+def _against_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds in how many places each row's sketch agrees with its head's."""
+    for b in batches:
+        if b.num_rows:
+            agree = (_sketch_matrix(column(b, "sketch")) == _sketch_matrix(column(b, "head_sketch"))).sum(1)
+            cols = [column(b, c) for c in ("node", "cls", "head", "sketch")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(agree.astype(np.int32))], names=["node", "cls", "head", "sketch", "agree"])
+
+
 def candidate_links(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame:
-    """a, b: enough links that classes with a Jaccard similarity of 0.75 are connected. classes: cls, sketch."""
+    """a, b: enough links that classes with a Jaccard similarity of 0.75 are connected. classes: cls, sketch, brief."""
     order = np.random.default_rng(31).permutation(WIDTH)
     roots = [(t, [int(order[(2 * t + k) % WIDTH]) for k in range(2)]) for t in range(trees)]
+    full, brief = classes.select("cls", "sketch"), classes.select("cls", "brief")
     found = []
-    rows = stored(classes.select("cls", "sketch").mapInArrow(_children(roots), "node long, cls long"), "paths")
+    rows = stored(full.mapInArrow(_children(roots), "node long, cls long"), "paths")
     for level in range(1, depth + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        shared = stored(rows.join(sizes, "node").join(classes.select("cls", "sketch"), "cls").select("node", "cls", "size", "sketch"), "nodes")
-        few = shared.where(F.col("size") <= small).select("node", "cls", "sketch").repartition("node").sortWithinPartitions("node")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("head")).where("size > 1")
+        shared = stored(rows.join(sizes, "node").select("node", "cls", "size", "head"), "nodes")
+        few = shared.where(F.col("size") <= small).join(brief, "cls").select("node", "cls", "brief").repartition("node").sortWithinPartitions("node")
         found.append(stored(few.mapInArrow(_sketch_links, "a long, b long").distinct(), "sketch-links"))
         many = shared.where(F.col("size") > small)
         if many.limit(1).count() == 0:
             break
-        if level == depth:
-            heads = many.groupBy("node").agg(F.min("cls").alias("a"))
-            found.append(stored(many.join(heads, "node").select("a", F.col("cls").alias("b")).where("a <> b").distinct(), "node-links"))
-        else:
-            rows = stored(many.select("node", "cls", "sketch").mapInArrow(_children(4 / 3), "node long, cls long"), "paths")
+        heads = full.select(F.col("cls").alias("head"), F.col("sketch").alias("head_sketch"))
+        met = many.where("cls <> head").join(full, "cls").join(heads, "head").select("node", "cls", "head", "sketch", "head_sketch")
+        met = stored(met.mapInArrow(_against_heads, "node long, cls long, head long, sketch binary, agree int"), "met-heads")
+        linked = F.col("agree") >= (LEAST if level < depth else 0)
+        found.append(stored(met.where(linked).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "head-links"))
+        if level < depth:
+            rows = stored(met.where(F.col("agree") < CLOSE).select("node", "cls", "sketch").mapInArrow(_children(4 / 3), "node long, cls long"), "paths")
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
@@ -323,10 +337,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = 16, small
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     rows = stored(described(docs, id_col, text_col), "described")
     classes = stored(
-        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "classes"
+        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
     grouped = components(candidate_links(classes, trees, small, depth)).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    groups = classes.drop("sketch").join(grouped, "cls")
+    groups = classes.drop("sketch", "brief").join(grouped, "cls")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = components(exact_links(groups, texts, threshold)).withColumnRenamed("node", "cls")
     least = parts.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("least"))
