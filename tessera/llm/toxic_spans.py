@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens are runs of letters, lower-cased (ASCII). Features of a token are its whole form and its beginnings of 3 to 6
-bytes, hashed into a table of fixed size. Documents are labelled as a whole, so token labels are induced: features are
+bytes, as 64-bit hashes; the model knows the accepted ones and the FREQUENT most frequent of each kind. Documents are labelled as a whole, so token labels are induced: features are
 accepted one after another, each the one that explains most toxic documents of the sample not yet explained and occurs in
 (almost) no clean one; in toxic documents the tokens with an accepted feature are the toxic ones. The field (features
 of the token, and the transitions) is trained on these token labels. Forward-backward marginals give the offending
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import column, mixed, runs, span_hashes, text_bytes
 
 SAMPLE, SAMPLE_BYTES = (2500, 1000), 20_000
-BITS = 20
+FREQUENT = 2000
+#: Added to the expected number before its logarithm is taken: less than this many toxic tokens are none.
+FLOOR = 0.05
 PREFIXES = (3, 4, 5, 6)
 
 _LETTER = np.zeros(256, bool)
@@ -38,16 +40,26 @@ class Tokens:
         self.starts, self.ends = runs(_LETTER[self.body], self.offsets[:-1])
         self.first = np.searchsorted(self.starts, self.offsets)
 
-    def slots(self) -> np.ndarray:
+    def features(self) -> Iterator[np.ndarray]:
+        """The hashes of all tokens' features, one kind after another."""
         whole = span_hashes(self.body, self.starts, self.ends, True)
-        out = np.empty((len(PREFIXES) + 1, len(whole)), np.int32)
-        out[0] = (whole >> np.uint64(64 - BITS)).astype(np.int32)
+        yield whole
         for k, n in enumerate(PREFIXES, 1):
             long = self.ends - self.starts > n
             h = whole.copy()
             h[long] = span_hashes(self.body, self.starts[long], self.starts[long] + n, True)
-            out[k] = (mixed(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int32)
-        return out
+            yield mixed(h + np.uint64(k))
+
+    def known(self, table: np.ndarray) -> np.ndarray:
+        """Of each kind and token the place of its feature in the sorted table; its length if it is not there."""
+        return np.stack([_places(table, h) for h in self.features()])
+
+
+def _places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(table, h).astype(np.int32)
+    if len(table):
+        at[table[np.minimum(at, len(table) - 1)] != h] = len(table)
+    return at
 
 
 def marginals(gain: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -127,86 +139,83 @@ def marginals(gain: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: boo
     return p, (joint / joint.sum((0, 1)) * ~fresh.reshape(-1)[1:n]).sum(-1)
 
 
-def induced(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, support: int, purity: float = 0.98) -> np.ndarray:
-    """The accepted feature slots, flattened over the kinds of features (kind * 2**BITS + slot)."""
-    docs = np.repeat(np.arange(len(toxic)), np.diff(first))
-    size = len(slots) << BITS
-    pos, neg, held = np.zeros(size, np.int32), np.zeros(size, np.int32), []
-    for k in range(len(slots)):  # one kind at a time, and only what toxic documents have, keeps this small
-        own = slots[k].astype(np.int64) | k << BITS
-        ours = toxic[docs]
-        here = np.unique(docs[ours] << 24 | own[ours])
-        held.append(here)
-        pos += np.bincount(here & 0xFFFFFF, minlength=size).astype(np.int32)
-        also = ~ours & (pos[own] > 0)
-        neg += np.bincount(np.unique(docs[also] << 24 | own[also]) & 0xFFFFFF, minlength=size).astype(np.int32)
-    pairs = np.concatenate(held)
-    doc, slot = pairs >> 24, pairs & 0xFFFFFF
+def induced(t: Tokens, toxic: np.ndarray, support: int, purity: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
+    """The accepted features, and these with the frequent ones (sorted). toxic: which texts are."""
+    docs = np.repeat(np.arange(len(toxic)), np.diff(t.first)).astype(np.int32)
+    ours = toxic[docs]
     scale = max(1.0, toxic.sum() / max(1, (~toxic).sum()))
-    pure = (pos >= support) & (pos >= purity * (pos + neg * scale))
+    doc, feature, frequent = [], [], []
+    for h in t.features():
+        names, count = np.unique(h, return_counts=True)
+        frequent.append(names[np.argsort(-count, kind="stable")[:FREQUENT]])
+
+        def present(mask: np.ndarray) -> np.ndarray:
+            return np.unique(docs[mask].astype(np.int64) << 32 | _places(names, h[mask]))  # noqa: B023
+
+        here = present(ours)
+        pos = np.bincount(here & 0xFFFFFFFF, minlength=len(names))
+        some = pos >= support
+        neg = np.bincount(present(~ours) & 0xFFFFFFFF, minlength=len(names))
+        pure = some & (pos >= purity * (pos + neg * scale))
+        here = here[pure[here & 0xFFFFFFFF]]
+        doc.append(here >> 32)
+        feature.append(names[here & 0xFFFFFFFF])
+    doc, feature = np.concatenate(doc), np.concatenate(feature)
+    names, place = np.unique(feature, return_inverse=True)
     open_doc, chosen = toxic.copy(), []
-    keep = pure[slot]
-    doc, slot = doc[keep], slot[keep]
-    while True:
-        live = open_doc[doc]
-        if not live.any():
-            break
-        n = np.bincount(slot[live], minlength=size)
-        # of equals the whole form, which comes first: a beginning is taken only if it explains more
+    while len(names):
+        n = np.bincount(place[open_doc[doc]], minlength=len(names))
         best = int(np.argmax(n))
         if n[best] < support:
             break
-        chosen.append(best)
-        open_doc[doc[slot == best]] = False
-    return np.array(chosen, np.int64)
-
-
-def train(slots: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 1.0, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights (kinds x 2**BITS) and transitions by AdaGrad on the field's log-likelihood."""
-    size = len(slots) << BITS
-    flat = slots + (np.arange(len(slots), dtype=np.int32)[:, None] << BITS)
-    used, inverse = np.unique(flat, return_inverse=True)
-    inverse = inverse.reshape(flat.shape).astype(np.int32)
-    del flat
-    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-2)
+        chosen.append(names[best])
+        open_doc[doc[place == best]] = False
+    accepted = np.array(chosen, np.uint64)
+    return accepted, np.unique(np.concatenate([accepted, *frequent]))
+
+
+def train(known: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, rounds: int = 40, rate: float = 1.0, decay: float = 1e-6) -> tuple[np.ndarray, float, np.ndarray]:
+    """Feature weights, bias and transitions by AdaGrad on the field's log-likelihood. The gradient is summed over slices of documents."""
+    w, g2 = np.zeros(size + 1), np.full(size + 1, 1e-2)
     bias, trans = -7.0, np.zeros((2, 2))
     b2, t2 = 1e-2, np.full((2, 2), 1e-2)
     n = max(1, int(y.sum()))
-    linked = np.ones(max(0, len(y) - 1), bool)
-    begins = first[:-1][(first[:-1] > 0) & (first[:-1] < len(y))]
-    linked[begins - 1] = False
-    at = (2 * y[:-1] + y[1:]).astype(np.int64)[linked]
-    seen = np.bincount(at, minlength=4).reshape(2, 2)
+    cuts = np.unique(np.searchsorted(first, np.arange(0, len(y) + 250_000, 250_000)).clip(0, len(first) - 1))
+    slices = [(int(first[a]), int(first[b]), first[a : b + 1] - first[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     for _ in range(rounds):
-        gain = w[inverse].sum(0) + bias
-        p, expected = marginals(gain, first, trans, pairs=True)
-        d = (y - p) / n
-        grad = np.zeros(len(used))
-        for k in range(len(slots)):
-            grad += np.bincount(inverse[k], weights=d, minlength=len(used))
+        grad, gb, gt = np.zeros(size + 1), 0.0, np.zeros((2, 2))
+        for lo, hi, own in slices:
+            gain = w[known[:, lo:hi]].sum(0) + bias
+            p, expected = marginals(gain, own, trans, pairs=True)
+            part = y[lo:hi]
+            d = (part - p) / n
+            for k in range(len(known)):
+                grad += np.bincount(known[k, lo:hi], weights=d, minlength=size + 1)
+            gb += d.sum()
+            linked = np.ones(max(0, hi - lo - 1), bool)
+            linked[own[(own > 0) & (own < hi - lo)] - 1] = False
+            at = (2 * part[:-1] + part[1:]).astype(np.int64)[linked]
+            gt += (np.bincount(at, minlength=4).reshape(2, 2) - expected) / n
         grad -= decay * w
+        grad[size] = 0.0  # what is not known weighs nothing
         g2 += grad**2
         w += rate * grad / np.sqrt(g2)
-        gb = d.sum()
         b2 += gb**2
         bias += rate * gb / np.sqrt(b2)
-        gt = (seen - expected) / n - 1e-3 * trans
+        gt -= 1e-3 * trans
         t2 += gt**2
         trans = np.clip(trans + 0.2 * rate * gt / np.sqrt(t2), -4, 4)
-    out = np.zeros(size, np.float32)
-    out[used] = w
-    return np.concatenate([out, np.array([bias], np.float32)]), trans
+    return w, float(bias), trans
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, trans: np.ndarray, a: float, b: float):
-        self.weights, self.bias, self.trans, self.a, self.b = weights[:-1].reshape(-1, 1 << BITS), float(weights[-1]), trans, a, b
+    def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float, trans: np.ndarray):
+        self.table, self.weights, self.bias, self.trans, self.a, self.b = table, weights, bias, trans, 1.0, 0.0
 
     def tokens(self, t: Tokens) -> np.ndarray:
-        slots = t.slots()
-        gain = np.full(slots.shape[1], self.bias)
-        for k in range(len(slots)):
-            gain += self.weights[k][slots[k]]
+        gain = np.full(len(t.starts), self.bias)
+        for h in t.features():
+            gain += self.weights[_places(self.table, h)]
         return marginals(gain, t.first, self.trans)
 
     def expected(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -216,7 +225,7 @@ class Model:
         return sums[first[1:]] - sums[first[:-1]]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * np.log(x + 1e-3) + self.b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.a * np.log(x + FLOOR) + self.b, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -243,17 +252,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     got = list(dict.fromkeys(got))  # copies teach nothing
     y = np.array([t for _, t in got], bool)
     t = Tokens(pa.array([x for x, _ in got], pa.string()))
-    slots = t.slots()
-    chosen = induced(slots, t.first, y, support=max(3, int(y.sum()) // 60))
-    toxic_token = np.zeros(slots.shape[1], bool)
-    for k in range(len(slots)):
-        own = chosen[chosen >> BITS == k] & ((1 << BITS) - 1)
-        toxic_token |= np.isin(slots[k], own)
-    doc = np.repeat(np.arange(len(y)), np.diff(t.first))
-    toxic_token &= y[doc]
-    model = Model(*train(slots, t.first, toxic_token.astype(float)), 1.0, 0.0)
+    accepted, table = induced(t, y, support=max(3, int(y.sum()) // 60))
+    known = t.known(table)
+    toxic_token = np.append(np.isin(table, accepted), False)[known].any(0) & y[np.repeat(np.arange(len(y)), np.diff(t.first))]
+    model = Model(table, *train(known, t.first, toxic_token.astype(float), len(table)))
+    del known
     if len(y):
-        x = np.log(model.expected(model.tokens(t), t.first) + 1e-3)
+        x = np.log(np.concatenate([model.expected(model.tokens(part := Tokens(pa.array([x for x, _ in got[k : k + 500]], pa.string()))), part.first) for k in range(0, len(got), 500)]) + FLOOR)
         model.a, model.b = _logistic(x, y.astype(float))
     return model
 
