@@ -25,7 +25,7 @@ from tessera.llm.shared import column, mixed, runs, span_hashes, text_bytes
 SAMPLE, SAMPLE_BYTES = (2500, 1000), 20_000
 FREQUENT = 2000
 #: Added to the expected number before its logarithm is taken: less than this many toxic tokens are none.
-FLOOR = 0.05
+FLOOR = 0.02
 PREFIXES = (3, 4, 5, 6)
 
 _LETTER = np.zeros(256, bool)
