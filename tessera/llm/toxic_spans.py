@@ -228,16 +228,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * np.log(x + FLOOR) + self.b, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps with a little ridge
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        v = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((y - p) * x).sum() - 0.5 * (a - 1), (y - p).sum() - 0.1 * b])
-        h = np.array([[(v * x * x).sum() + 0.5, (v * x).sum()], [(v * x).sum(), v.sum() + 0.1]])
-        da, db = np.linalg.solve(h, g)
-        a, b = float(np.clip(a + da, 0.05, 5)), float(b + np.clip(db, -2, 2))
-    return a, b
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
+    """Slope and intercept by Newton steps, halved until the penalised likelihood rises."""
+    mean, scale = float(x.mean()), max(float(x.std()), 1e-6)
+    z = np.stack([(x - mean) / scale, np.ones(len(x))])
+    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    w = np.array([0.0, np.log(share / (1 - share))])
+    value = lambda w: (y * (w @ z) - np.logaddexp(0, w @ z)).sum() - 0.5 * ridge * w[0] ** 2
+    now = value(w)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
+        g = z @ (y - p) - np.array([ridge * w[0], 0.0])
+        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-9)) @ z.T + np.diag([ridge, 1e-6]), g)
+        while np.abs(step).max() > 1e-8 and value(w + step) <= now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-8:
+            break
+        w = w + step
+        now = value(w)
+    a = float(w[0]) / scale
+    return a, float(w[1]) - a * mean
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
