@@ -2,13 +2,17 @@
 
 A line's set is its distinct lower-cased (ASCII) words. Tokens are ordered by rarity: by their count in the corpus, kept
 on a logarithmic scale in a hashed table of fixed size, then by hash. Any common order makes the join exact; the rarer the
-first tokens, the fewer candidates. Two lines with Jaccard similarity of at least `threshold` percent share one of their
-first n - ceil(t n) + 1 tokens; candidates must also pass the length filter and the positional filter, and are then
-verified on their whole sets. A line goes if any line before it, by (doc_id, line number), matches it.
+first tokens, the fewer candidates. Of two lines with a Jaccard similarity of at least `threshold` percent, the longer's
+first n - ceil(t n) + 1 tokens and the shorter's first n - ceil(2 t n / (1 + t)) + 1 share one; candidates must also pass
+the length filter and the positional filter, and are verified on their whole sets. A line goes if any line before it, by
+(doc_id, line number), matches it, kept or not.
+
+One earlier match is enough. So a set first meets the FIRST earliest candidates of each of its prefix tokens; only sets that
+have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
 
 Lines with fewer than `least` distinct words (blank ones too) always stay. Null texts stay null, empty ones empty; a
 document whose lines all go keeps its row with an empty text. Rows that repeat an id are treated alike. Words are told
-apart by 56 bits of their hash.
+apart by 56 bits of their hash. Sets are not carried through shuffles: texts are read again for those that are compared.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Words, column, new_path, stored
+from tessera.llm.shared import Words, column, runs_of, stored
 
 BITS = 22
 SEGMENT = 1 << 16
-LINE, SET = 0, 1
-_SCHEMA = "kind int, doc_id long, line long, cls long, n int, tokens array<long>"
+#: Earliest candidates of a token that are tried at first.
+FIRST = 4
+#: Bits of the tables that tell which sets are wanted: exact tests follow.
+WANTED_BITS = 24
 
 
 def _batches(b: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -70,6 +76,11 @@ def token_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
+def index_length(n: np.ndarray, threshold: int) -> np.ndarray:
+    """The prefix that the shorter set of a pair needs."""
+    return n - -(-2 * threshold * n // (100 + threshold)) + 1
+
+
 def prefix_length(n: np.ndarray, threshold: int) -> np.ndarray:
     return n - -(-threshold * n // 100) + 1
 
@@ -96,96 +107,170 @@ class LineSets:
         self.line = line[keep][at] - np.searchsorted(ends, w.offsets[:-1])[self.doc]
 
 
-def _lines(ranks, threshold: int, least: int, id_col: str, text_col: str):
+class Batch:
+    """The lines of a batch that take part: ids, places, sets and their hashes."""
+
+    def __init__(self, part: pa.RecordBatch, ranks: np.ndarray, least: int, id_col: str, text_col: str):
+        s = LineSets(column(part, text_col), ranks)
+        n = np.diff(s.first)
+        x = (s.tokens & np.uint64((1 << 56) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        cls = np.add.reduceat(x * np.uint64(0xBF58476D1CE4E5B9), s.first[:-1]).view(np.int64) if len(n) else np.zeros(0, np.int64)
+        big = n >= least
+        ids = np.array(column(part, id_col).cast(pa.int64()).fill_null(-1).to_numpy())
+        self.doc, self.line, self.cls, self.n, self.at, self.tokens = ids[s.doc[big]], s.line[big], cls[big], n[big], s.first[:-1][big], s.tokens
+
+    def firsts(self) -> np.ndarray:
+        """Of each set in the batch its first line by (doc, line)."""
+        order = np.lexsort((self.line, self.doc, self.cls))
+        return order[np.concatenate([[True], self.cls[order][1:] != self.cls[order][:-1]])] if len(order) else order
+
+
+def _each(ranks, least: int, id_col: str, text_col: str, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
         for b in batches:
             for part in _batches(b, text_col):
-                s = LineSets(column(part, text_col), ranks.value)
-                n = np.diff(s.first)
-                if not len(n):
-                    continue
-                x = (s.tokens & np.uint64((1 << 56) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-                x ^= x >> np.uint64(29)
-                cls = np.add.reduceat(x * np.uint64(0xBF58476D1CE4E5B9), s.first[:-1]).view(np.int64)
-                big = n >= least
-                ids = np.array(column(part, id_col).cast(pa.int64()).fill_null(-1).to_numpy())
-                count = int(big.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(count, LINE, np.int32)), pa.array(ids[s.doc[big]]), pa.array(s.line[big]), pa.array(cls[big]), pa.array(n[big].astype(np.int32)), pa.nulls(count, pa.list_(pa.int64()))],
-                    schema=schema,
-                )
-                # of the tokens in the prefix, some must occur elsewhere; the last of the prefix is the most frequent
-                last = s.tokens[s.first[:-1] + prefix_length(n, threshold) - 1] >> np.uint64(56)
-                live = np.flatnonzero(big & (last > 1))
-                _, once = np.unique(cls[live], return_index=True)
-                live = live[once]
-                sizes = n[live]
-                flat = np.repeat(s.first[live] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum())) if len(live) else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(s.tokens[flat].view(np.int64)))
-                m = len(live)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, SET, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(cls[live]), pa.array(sizes.astype(np.int32)), lists], schema=schema
-                )
+                yield make(Batch(part, ranks.value, least, id_col, text_col))
 
     return run
 
 
-def _prefixes(threshold: int):
-    """(token, cls, n, at, band) of each prefix token that may occur elsewhere. Bands of lengths: matches are at most one apart."""
+def _flat(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """at[i], at[i] + 1, ... sizes[i] of them, for all i."""
+    return np.repeat(at - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum())) if len(at) else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.log(100 / threshold)
+
+def _line_rows(x: Batch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.line), pa.array(x.cls)], names=["doc_id", "line", "cls"])
+
+
+def _prefix_rows(threshold: int):
+    def make(x: Batch) -> pa.RecordBatch:
+        """Prefix tokens that may occur elsewhere, once a set; size and place in one number."""
+        k = x.firsts()
+        take = prefix_length(x.n[k], threshold)
+        owner, flat = np.repeat(k, take), _flat(x.at[k], take)
+        token = x.tokens[flat]
+        keep = token >> np.uint64(56) > 1
+        owner, flat, token = owner[keep], flat[keep], token[keep]
+        size_at = x.n[owner] << 32 | flat - x.at[owner]
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(x.cls[owner]), pa.array(size_at), pa.array(x.doc[owner]), pa.array(x.line[owner])], names=["token", "cls", "size_at", "doc_id", "line"])
+
+    return make
+
+
+def _wanted_sets(wanted):
+    def make(x: Batch) -> pa.RecordBatch:
+        k = x.firsts()
+        k = k[_has(wanted.value, x.cls[k])]
+        sizes = x.n[k]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(x.tokens[_flat(x.at[k], sizes)].view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(x.cls[k]), lists], names=["cls", "tokens"])
+
+    return make
+
+
+def _has(bits: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    at = cls & ((1 << WANTED_BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _bit_table(cls: DataFrame) -> np.ndarray:
+    """A table of WANTED_BITS bits in which each cls has its bit: 2 MB, whatever the input."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = column(b, "tokens")
-            n, cls = column(b, "n").to_numpy(), column(b, "cls").to_numpy()
-            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            take = prefix_length(n, threshold)
-            owner = np.repeat(np.arange(len(n)), take)
-            at = np.arange(int(take.sum())) - np.repeat(np.concatenate([[0], np.cumsum(take)[:-1]]), take) if len(n) else np.zeros(0, np.int64)
-            tok = flat[off[owner] + at]
-            keep = (tok.view(np.uint64) >> np.uint64(56)) > 1
-            owner, at, tok = owner[keep], at[keep], tok[keep]
-            band = np.floor(np.log(n[owner]) / step).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(cls[owner]), pa.array(n[owner]), pa.array(at.astype(np.int32)), pa.array(band)], names=["token", "cls", "n", "at", "band"])
+            for seg, places in zip(column(b, "seg").to_pylist(), column(b, "places").to_pylist(), strict=True):
+                bits = np.zeros(SEGMENT, np.uint8)
+                bits[places] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["seg", "bits"])
+
+    bit = cls.select(F.col("cls").bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("bit"))
+    rows = bit.groupBy(F.shiftright("bit", 16).alias("seg")).agg(F.collect_set(F.col("bit").bitwiseAND(F.lit(SEGMENT - 1))).alias("places")).mapInArrow(pack, "seg long, bits binary").collect()
+    out = np.zeros(1 << WANTED_BITS >> 3, np.uint8)
+    for r in rows:
+        out[r["seg"] * SEGMENT // 8 : (r["seg"] + 1) * SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    return run
 
+def _token_pairs(threshold: int, probes):
+    """later, earlier: candidate pairs of the sets of each token. Without probes each set meets its FIRST earliest candidates,
+    and a row (later, null) says that it has more; with probes only these sets meet all their candidates."""
+
+    def group(cls, n, at, out: list) -> None:
+        m = len(cls)
+        met = np.zeros(m, np.int32)
+        probe = np.ones(m, bool) if probes is None else _has(probes.value, cls)
+        if not probe[1:].any():
+            return
+        for k in range(m - 1):  # the earlier ones, in order
+            j = np.arange(k + 1, m)[probe[k + 1 :]] if probes is not None else np.arange(k + 1, m)[met[k + 1 :] <= FIRST]
+            if not len(j):
+                break
+            short, both = np.minimum(n[k], n[j]), n[k] + n[j]
+            first = np.where(n[k] <= n[j], at[k], at[j])
+            ok = (100 * short >= threshold * (both - short)) & (first < index_length(short, threshold))
+            j = j[ok & ((100 + threshold) * np.minimum(n[k] - at[k], n[j] - at[j]) >= threshold * both)]
+            if probes is None:
+                met[j] += 1
+                j = j[met[j] <= FIRST]
+            out.append((cls[j], np.full(len(j), cls[k])))
+        if probes is None and (more := cls[met > FIRST]).size:
+            out.append((more, None))
 
-def similar_sets(sets: DataFrame, threshold: int) -> DataFrame:
-    """a, b: classes of sets whose Jaccard similarity is at least threshold percent. sets: cls, n, tokens (rarest first)."""
-    rows = sets.mapInArrow(_prefixes(threshold), "token long, cls long, n int, at int, band int")
-    # a token that only one set has in its prefix finds nothing
-    often = rows.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
-    rows = stored(rows.join(often, "token", "left_semi"), "line-prefixes")
-    a = rows.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("band"))
-    b = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    long = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    # overlap at least t / (1 + t) of both sizes: what still can follow a first common token
-    room = (100 + threshold) * (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1) >= threshold * (F.col("na") + F.col("nb"))
-    pairs = a.join(b, ["token", "band"]).where((F.col("a") < F.col("b")) & long & room).select("a", "b").distinct()
-    own = sets.select("cls", "tokens")
-    both = pairs.join(own.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(own.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where((100 + threshold) * common >= threshold * (F.size("ta") + F.size("tb"))).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs_of(batches, ["token"]):
+            token, cls, size_at, doc, line = (column(b, c).to_numpy() for c in ("token", "cls", "size_at", "doc_id", "line"))
+            order = np.lexsort((line, doc, cls, token))
+            fresh = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]) | (token[order][1:] != token[order][:-1])])
+            k = order[fresh]  # a set once a token, with its first line
+            k = k[np.lexsort((line[k], doc[k], token[k]))]
+            at = np.append(np.flatnonzero(np.concatenate([[True], token[k][1:] != token[k][:-1]])), len(k))
+            out: list = []
+            c, n, place = cls[k], size_at[k] >> 32, size_at[k] & 0xFFFFFFFF
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if e - s > 1:
+                    group(c[s:e], n[s:e], place[s:e], out)
+            later = np.concatenate([a for a, _ in out]) if out else np.zeros(0, np.int64)
+            earlier = np.concatenate([np.zeros(len(a), np.int64) if x is None else x for a, x in out]) if out else np.zeros(0, np.int64)
+            none = np.concatenate([np.full(len(a), x is None) for a, x in out]) if out else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier, mask=none)], names=["later", "earlier"])
+
+    return run
 
 
 def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lines (sorted numbers from 0) of the documents that lose lines."""
     spark = docs.sparkSession
+    docs = docs.select(id_col, text_col)
     ranks = spark.sparkContext.broadcast(token_ranks(docs, text_col))
-    path = new_path(spark, "lines")
-    docs.select(id_col, text_col).mapInArrow(_lines(ranks, threshold, least, id_col, text_col), _SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    table = spark.read.schema(_SCHEMA).parquet(path)
-    lines = table.where(F.col("kind") == LINE).select("doc_id", "line", "cls")
-    sets = stored(table.where(F.col("kind") == SET).select("cls", "n", "tokens").dropDuplicates(["cls"]), "line-sets")
-    firsts = stored(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies")), "line-classes")
-    pairs = similar_sets(sets, threshold)
-    fa, fb = (firsts.select(F.col("cls").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
-    later = pairs.join(fa, "a").join(fb, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct().withColumn("later", F.lit(True))
-    # only classes that lose a line are joined with the lines
-    losing = firsts.join(later, "cls", "left").where((F.col("copies") > 1) | F.col("later")).select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.join(losing, "cls").where(F.col("later") | (F.struct("doc_id", "line") != F.col("first")))
+    each = lambda make: _each(ranks, least, id_col, text_col, make)
+    lines = stored(docs.mapInArrow(each(_line_rows), "doc_id long, line long, cls long"), "lines")
+
+    def candidates(probes) -> DataFrame:
+        rows = docs.mapInArrow(each(_prefix_rows(threshold)), "token long, cls long, size_at long, doc_id long, line long")
+        pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_token_pairs(threshold, probes), "later long, earlier long")
+        return stored(pairs.distinct(), "line-pairs")
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """cls of the later sets that one of their pairs confirms."""
+        pairs = pairs.where("earlier is not null")
+        wanted = spark.sparkContext.broadcast(_bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("cls"))))
+        sets = stored(docs.mapInArrow(each(_wanted_sets(wanted)), "cls long, tokens array<long>").groupBy("cls").agg(F.first("tokens").alias("tokens")), "line-sets")
+        both = pairs.join(sets.select(F.col("cls").alias("earlier"), F.col("tokens").alias("t")), "earlier").join(sets.select(F.col("cls").alias("later"), F.col("tokens").alias("u")), "later")
+        common = F.size(F.array_intersect("t", "u"))
+        return stored(both.where((100 + threshold) * common >= threshold * (F.size("t") + F.size("u"))).select(F.col("later").alias("cls")).distinct(), "later-sets")
+
+    pairs = candidates(None)
+    later = matched(pairs)
+    unsettled = stored(pairs.where("earlier is null").select(F.col("later").alias("cls")).join(later, "cls", "left_anti"), "unsettled")
+    if unsettled.limit(1).count():
+        probes = spark.sparkContext.broadcast(_bit_table(unsettled))
+        # what shares a bit with an unsettled set is compared again, to no harm
+        later = later.unionByName(matched(candidates(probes))).distinct()
+    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"))
+    losing = firsts.join(later.withColumn("later", F.lit(True)), "cls", "left").where((F.col("copies") > 1) | F.col("later"))
+    gone = lines.join(losing.select("cls", "first", F.coalesce("later", F.lit(False)).alias("later")), "cls").where(F.col("later") | (F.struct("doc_id", "line") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.shared import Words, column, mixed, stored
+from tessera.llm.shared import Words, column, mixed, runs_of, stored
 
 SHINGLE = 5
 WIDTH, LEAST, CLOSE = 64, 28, 52
@@ -108,29 +108,6 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary, brief binary")
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sorted batches cut so that equal keys stay together: each result holds whole keys, as many as one batch ends."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        change = np.zeros(b.num_rows, bool)
-        for k in keys:
-            v = column(b, k).to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-            if held:
-                change[0] |= column(held[-1], k)[-1].as_py() != v[0]
-        cuts = np.flatnonzero(change)
-        if len(cuts):
-            if held or cuts[-1]:
-                yield pa.Table.from_batches([*held, b.slice(0, int(cuts[-1]))]).combine_chunks().to_batches()[0]
-            held = [b.slice(int(cuts[-1]))]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _starts(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     change = np.zeros(b.num_rows, bool)
     change[0] = True
@@ -171,7 +148,7 @@ def _edges_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each small node's classes whose sketches agree."""
-    for b in _runs_of(batches, ["node"]):
+    for b in runs_of(batches, ["node"]):
         sk, cls, at = _sketch_matrix(column(b, "brief"), np.uint16), column(b, "cls").to_numpy(), _starts(b, ["node"])
         n = np.diff(at)
         pairs: list[tuple[int, int]] = []
@@ -259,7 +236,7 @@ def _exact_links(threshold: int, pivots: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["grp", "block"]
-        for b in _runs_of(batches, keys):
+        for b in runs_of(batches, keys):
             at = _starts(b, keys)
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 part = b.slice(s, e - s)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,9 +143,28 @@ class Words:
         return span_hashes(self.body, self.starts, self.ends, self.lower)
 
 
-def set_local_threads(spark: SparkSession) -> None:
-    spark.sparkContext.setLogLevel("WARN")
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut so that equal keys stay together: each result holds whole keys, as many as one batch ends."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, bool)
+        for k in keys:
+            v = column(b, k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+            if held:
+                change[0] |= column(held[-1], k)[-1].as_py() != v[0]
+        cuts = np.flatnonzero(change)
+        if len(cuts):
+            if held or cuts[-1]:
+                yield pa.Table.from_batches([*held, b.slice(0, int(cuts[-1]))]).combine_chunks().to_batches()[0]
+            held = [b.slice(int(cuts[-1]))]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
