@@ -1,0 +1,133 @@
+"""Queries over embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.operators import vectors as V
+from tessera.plans.registry import query, table
+
+_COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+_L2 = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+
+
+@query(
+    f"""SELECT a.vec_id AS query, b.vec_id AS id, round({_COS}, 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0 QUALIFY rank <= 5"""
+)
+def similarity_topk(spark, d):
+    v = _vectors(spark, d)
+    return V.nearest(v, v.where("vec_id % 10 = 0"), 5, "vec_id", "embedding").select("query", "id", F.round("measure", 6).alias("cosine"), "rank")
+
+
+_BOOK = """WITH u AS (SELECT vec_id, "label", embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+p AS (SELECT "label", i, avg(e[i] / n) AS x FROM u, range(1, 65) t(i) GROUP BY 1, 2),
+c AS (SELECT "label" AS code, list(x ORDER BY i) AS m FROM p GROUP BY 1),
+b AS (SELECT code, m, sqrt(list_inner_product(m, m)) AS mn FROM c),
+s AS (SELECT vec_id, code, round(list_inner_product(e, m) / (n * mn), 9) AS score FROM u, b),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, code) = 1)
+"""
+
+
+@query(
+    _BOOK
+    + """SELECT code, count(vec_id) AS n, round(count(vec_id) / sum(count(vec_id)) OVER (), 6) AS share, count(vec_id) / sum(count(vec_id)) OVER () > 0.01 / count(*) OVER () AS used, round(avg(score), 6) AS score
+FROM b LEFT JOIN best USING (code) GROUP BY 1"""
+)
+def nn_codebook(spark, d):
+    v = _vectors(spark, d)
+    book = V.centroids(v, "label", "embedding").withColumnRenamed("label", "code")
+    near = V.assigned(v, book, "code", "embedding").groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
+    totals = near.agg(F.sum("n").alias("total"))
+    codes = book.select("code").join(near, "code", "left").join(F.broadcast(totals))
+    size = book.agg(F.count("*").alias("size"))
+    share = F.coalesce("n", F.lit(0)) / F.col("total")
+    return codes.join(F.broadcast(size)).select("code", F.coalesce("n", F.lit(0)).alias("n"), F.round(share, 6).alias("share"), (share > 0.01 / F.col("size")).alias("used"), "score")
+
+
+_RADII = f"""WITH d AS (SELECT a.vec_id AS id, {_L2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_L2}, b.vec_id) AS r
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 2 = b.vec_id % 2),
+k AS (SELECT id, d2 AS radius FROM d WHERE r = 3)"""
+
+
+@query(_RADII + " SELECT id, round(radius, 6) AS radius, round(CASE WHEN radius > quantile_cont(radius, 0.9) OVER (PARTITION BY id % 2) THEN 0 ELSE radius END, 6) AS clamped FROM k")
+def knn_radius(spark, d):
+    radii = _radii(spark, d)
+    cut = radii.groupBy("side").agg(F.percentile("radius", F.lit(0.9)).alias("cut"))
+    clamped = F.when(F.col("radius") > F.col("cut"), 0.0).otherwise(F.col("radius"))
+    return radii.join(F.broadcast(cut), "side").select("id", F.round("radius", 6).alias("radius"), F.round(clamped, 6).alias("clamped"))
+
+
+def _radii(spark, d):
+    """Squared distance to the third neighbour on the own side (even or odd ids)."""
+    v = _vectors(spark, d)
+    out = None
+    for side in (0, 1):
+        own = v.where(F.col("vec_id") % 2 == side)
+        near = V.nearest(own, own, 3, "vec_id", "embedding", "l2").where("rank = 3")
+        near = near.select(F.col("query").alias("id"), F.col("measure").alias("radius"), F.lit(side).alias("side"))
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+@query(
+    _RADII
+    + f""", m AS (SELECT a.vec_id AS id, bool_or({_L2} <= radius + 1e-12) AS hit, max(radius / ({_L2} + 1e-6)) AS realism FROM embeddings a JOIN embeddings b ON a.vec_id % 2 <> b.vec_id % 2 JOIN k ON k.id = b.vec_id GROUP BY 1)
+SELECT CASE WHEN id % 2 = 0 THEN 'precision' ELSE 'recall' END AS name, round(avg(CAST(hit AS INT)), 6) AS value, round(max(realism), 4) AS realism FROM m GROUP BY 1"""
+)
+def manifold_pr(spark, d):
+    """Share of even vectors within the odd ones' manifold (precision), and the other way round (recall)."""
+    v, radii = _vectors(spark, d), _radii(spark, d)
+    n = v.count()
+    out = None
+    for side, name in ((0, "precision"), (1, "recall")):
+        own, other = v.where(F.col("vec_id") % 2 == side), v.where(F.col("vec_id") % 2 == 1 - side)
+        # every distance counts here, so all of the other side are asked for; it is bounded by the sample that the metric uses
+        near = V.nearest(other, own, n, "vec_id", "embedding", "l2").join(radii.select("id", "radius"), "id")
+        per = near.groupBy("query").agg(F.bool_or(F.col("measure") <= F.col("radius") + 1e-12).alias("hit"), F.max(F.col("radius") / (F.col("measure") + 1e-6)).alias("realism"))
+        row = per.agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("value"), F.round(F.max("realism"), 4).alias("realism")).withColumn("name", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def fid(spark, d):
+    v = _vectors(spark, d)
+    a, b = (V.moments(v.where(F.col("vec_id") % 2 == side), "embedding") for side in (0, 1))
+    return spark.createDataFrame([(a[0], b[0], round(V.frechet(*a[1:], *b[1:]), 6))], "n_even long, n_odd long, distance double")
+
+
+@query(
+    """WITH e AS (SELECT vec_id, vec_id // 250 AS split, i, exp(embedding[i]::DOUBLE * 10) AS x FROM embeddings, range(1, 11) t(i)),
+p AS (SELECT vec_id, split, i, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e),
+k AS (SELECT vec_id, split, p * (ln(p) - ln(avg(p) OVER (PARTITION BY split, i))) AS kl FROM p),
+s AS (SELECT split, vec_id, sum(kl) AS kl FROM k GROUP BY 1, 2) SELECT split, round(exp(avg(kl)), 6) AS score FROM s GROUP BY 1"""
+)
+def inception_score(spark, d):
+    """Splits of 250 by id; the first ten components, scaled and through a softmax, are the class probabilities."""
+    x = F.transform(F.slice("embedding", 1, 10), lambda c: F.exp(c.cast("double") * 10))
+    total = F.aggregate("x", F.lit(0.0), lambda s, c: s + c)
+    rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 250).alias("split"), x.alias("x"))
+    rows = rows.select("id", "split", F.transform("x", lambda c: c / total).alias("p"))
+    return V.inception(rows, "p", "split").select("split", F.round("score", 6).alias("score"))
+
+
+@query(
+    """WITH s AS (SELECT vec_id, "label", sum(embedding[i]::DOUBLE * embedding[i]) AS n2 FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2),
+l AS (SELECT "label" AS code, count(*) AS n FROM embeddings GROUP BY 1),
+r AS (SELECT vec_id, len(list_distinct(list("label") OVER (ORDER BY vec_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW))) AS used FROM embeddings)
+SELECT s.vec_id, l.code, l.n, r.used, round(greatest(log10(greatest(sqrt(n2) / l.n, 1e-10)), -10), 6) AS magnitude FROM s JOIN l ON s."label" = l.code JOIN r USING (vec_id)"""
+)
+def code_usage(spark, d):
+    """Distinct codes among the last 64 vectors, and the log10 magnitude floored at -10."""
+    w = Window.partitionBy(F.lit(0)).orderBy("vec_id").rowsBetween(-63, 0)
+    v = _vectors(spark, d)
+    n = F.count("*").over(Window.partitionBy("label"))
+    m = V.norm(F.col("embedding")) / n
+    used = F.size(F.array_distinct(F.collect_list("label").over(w))).cast("long")
+    return v.select("vec_id", F.col("label").alias("code"), n.alias("n"), used.alias("used"), F.round(F.when(m > 1e-9, F.log10(m)).otherwise(-10.0), 6).alias("magnitude"))
