@@ -254,11 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     """training: which documents' labels may be used."""
     text = F.col(text_col)
     marks = labels.select(F.col("doc_id").alias(id_col), F.col("toxic").cast("int").alias("_toxic")).where(F.col(id_col).isNotNull() & F.col("_toxic").isin(0, 1)).groupBy(id_col).agg(F.max("_toxic").alias("_toxic"))
-    rows = docs.where(training & text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(id_col, text_col).join(marks, id_col)
-    got = []
-    for toxic in (0, 1):
-        picked = rows.where(F.col("_toxic") == toxic).select(F.xxhash64(id_col).alias("h"), id_col, text_col)
-        got += [(r[text_col], toxic) for r in picked.orderBy("h", id_col).limit(SAMPLE[toxic]).collect()]
+    # ids and labels are joined without texts; then the sample's texts are fetched by its at most sum(SAMPLE) ids
+    rows = docs.where(training & text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(id_col).join(marks, id_col)
+    hashed = rows.select(F.xxhash64(id_col).alias("h"), id_col, "_toxic")
+    picked = [r for toxic in (0, 1) for r in hashed.where(F.col("_toxic") == toxic).orderBy("h", id_col).limit(SAMPLE[toxic]).select(id_col, "_toxic").collect()]
+    ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], f"{id_col} long, _toxic int").dropDuplicates([id_col])
+    got = [(r[text_col], r["_toxic"]) for r in docs.join(F.broadcast(ids), id_col).where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).orderBy(id_col, text_col).select(text_col, "_toxic").collect()]
     got = list(dict.fromkeys(got))  # copies teach nothing
     y = np.array([t for _, t in got], bool)
     t = Tokens(pa.array([x for x, _ in got], pa.string()))
