@@ -105,7 +105,8 @@ IMAGES = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "tif")
 
 
 def files(spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGES) -> DataFrame:
-    """path, name, stem, extension (lower case), modified and length of files below a folder; the content is never read."""
+    """path, name, stem, extension (lower case), modified and length of files below a folder; the content is never read. Empty files
+    are not listed."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime", "length")
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
