@@ -4,11 +4,12 @@ A line's set is its distinct lower-cased (ASCII) words. Tokens are ordered by ra
 on a logarithmic scale in a hashed table of fixed size, then by hash. Any common order makes the join exact; the rarer the
 first tokens, the fewer candidates. Of two lines with a Jaccard similarity of at least `threshold` percent, the longer's
 first n - ceil(t n) + 1 tokens and the shorter's first n - ceil(2 t n / (1 + t)) + 1 share one; candidates must also pass
-the length filter and the positional filter, and are verified on their whole sets. A line goes if any line before it, by
+the length filter, the positional filter and a bound by 64 parities of token hashes (which differ at most in as many places
+as the sets have tokens apart), and are verified on their whole sets. A line goes if any line before it, by
 (doc_id, line number), matches it, kept or not.
 
-One earlier match is enough. So a set first meets the FIRST earliest candidates of each of its prefix tokens; only sets that
-have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
+One earlier match is enough. So a set first meets the FIRST candidates before it of each of its prefix tokens; only sets that
+may have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
 
 Lines with fewer than `least` distinct words (blank ones too) always stay. Null texts stay null, empty ones empty; a
 document whose lines all go keeps its row with an empty text. Rows that repeat an id are treated alike. Words are told
@@ -29,7 +30,7 @@ from tessera.llm.shared import Words, column, runs_of, stored
 
 BITS = 22
 SEGMENT = 1 << 16
-#: Earliest candidates of a token that are tried at first.
+#: Candidates of a token that are tried at first.
 FIRST = 4
 #: Bits of the tables that tell which sets are wanted: exact tests follow.
 WANTED_BITS = 24
@@ -144,17 +145,31 @@ def _line_rows(x: Batch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.line), pa.array(x.cls)], names=["doc_id", "line", "cls"])
 
 
+def _parities(x: Batch, k: np.ndarray) -> np.ndarray:
+    """For 64 classes of token hashes, whether the set has an odd number of them."""
+    sizes = x.n[k]
+    bit = np.uint64(1) << (x.tokens[_flat(x.at[k], sizes)] & np.uint64(63))
+    return np.bitwise_xor.reduceat(bit, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(k) else np.zeros(0, np.uint64)
+
+
 def _prefix_rows(threshold: int):
     def make(x: Batch) -> pa.RecordBatch:
-        """Prefix tokens that may occur elsewhere, once a set; size and place in one number."""
+        """Prefix tokens that may occur elsewhere, once a set; size and place in one number. 32 bits of a token bring together
+        what must meet; what they bring together besides is told apart later."""
         k = x.firsts()
+        parity = np.zeros(len(x.n), np.uint64)
+        parity[k] = _parities(x, k)
         take = prefix_length(x.n[k], threshold)
         owner, flat = np.repeat(k, take), _flat(x.at[k], take)
         token = x.tokens[flat]
         keep = token >> np.uint64(56) > 1
         owner, flat, token = owner[keep], flat[keep], token[keep]
         size_at = x.n[owner] << 32 | flat - x.at[owner]
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(x.cls[owner]), pa.array(size_at), pa.array(x.doc[owner]), pa.array(x.line[owner])], names=["token", "cls", "size_at", "doc_id", "line"])
+        short = (token >> np.uint64(8)).astype(np.uint32).view(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(short), pa.array(x.cls[owner]), pa.array(parity[owner].view(np.int64)), pa.array(size_at), pa.array(x.doc[owner]), pa.array(x.line[owner])],
+            names=["token", "cls", "parity", "size_at", "doc_id", "line"],
+        )
 
     return make
 
@@ -194,47 +209,41 @@ def _bit_table(cls: DataFrame) -> np.ndarray:
 
 
 def _token_pairs(threshold: int, probes):
-    """later, earlier: candidate pairs of the sets of each token. Without probes each set meets its FIRST earliest candidates,
-    and a row (later, null) says that it has more; with probes only these sets meet all their candidates."""
-
-    def group(cls, n, at, out: list) -> None:
-        m = len(cls)
-        met = np.zeros(m, np.int32)
-        probe = np.ones(m, bool) if probes is None else _has(probes.value, cls)
-        if not probe[1:].any():
-            return
-        for k in range(m - 1):  # the earlier ones, in order
-            j = np.arange(k + 1, m)[probe[k + 1 :]] if probes is not None else np.arange(k + 1, m)[met[k + 1 :] <= FIRST]
-            if not len(j):
-                break
-            short, both = np.minimum(n[k], n[j]), n[k] + n[j]
-            first = np.where(n[k] <= n[j], at[k], at[j])
-            ok = (100 * short >= threshold * (both - short)) & (first < index_length(short, threshold))
-            j = j[ok & ((100 + threshold) * np.minimum(n[k] - at[k], n[j] - at[j]) >= threshold * both)]
-            if probes is None:
-                met[j] += 1
-                j = j[met[j] <= FIRST]
-            out.append((cls[j], np.full(len(j), cls[k])))
-        if probes is None and (more := cls[met > FIRST]).size:
-            out.append((more, None))
+    """later, earlier: candidate pairs of the sets of each token. Without probes each set meets the FIRST candidates before it,
+    and a row (later, null) says that it may have more; with probes only these sets meet all their candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, ["token"]):
-            token, cls, size_at, doc, line = (column(b, c).to_numpy() for c in ("token", "cls", "size_at", "doc_id", "line"))
-            order = np.lexsort((line, doc, cls, token))
+            token, cls, parity, size_at, doc, line = (column(b, c).to_numpy() for c in ("token", "cls", "parity", "size_at", "doc_id", "line"))
+            order = np.lexsort((size_at, line, doc, cls, token))
             fresh = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]) | (token[order][1:] != token[order][:-1])])
             k = order[fresh]  # a set once a token, with its first line
-            k = k[np.lexsort((line[k], doc[k], token[k]))]
-            at = np.append(np.flatnonzero(np.concatenate([[True], token[k][1:] != token[k][:-1]])), len(k))
-            out: list = []
-            c, n, place = cls[k], size_at[k] >> 32, size_at[k] & 0xFFFFFFFF
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if e - s > 1:
-                    group(c[s:e], n[s:e], place[s:e], out)
-            later = np.concatenate([a for a, _ in out]) if out else np.zeros(0, np.int64)
-            earlier = np.concatenate([np.zeros(len(a), np.int64) if x is None else x for a, x in out]) if out else np.zeros(0, np.int64)
-            none = np.concatenate([np.full(len(a), x is None) for a, x in out]) if out else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier, mask=none)], names=["later", "earlier"])
+            k = k[np.lexsort((cls[k], line[k], doc[k], token[k]))]
+            token, cls, parity, n, at = token[k], cls[k], parity[k].view(np.uint64), size_at[k] >> 32, size_at[k] & 0xFFFFFFFF
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            before = np.arange(len(k)) - np.repeat(begin, np.diff(np.append(begin, len(k))))  # sets of the token before each
+            met = np.zeros(len(k), np.int32)
+            live = np.flatnonzero(before > 0)
+            if probes is not None:
+                live = live[_has(probes.value, cls[live])]
+            later, earlier, step = [], [], 1
+            while len(live):  # all sets look one further back at a time
+                i, j = live - step, live
+                short, both = np.minimum(n[i], n[j]), n[i] + n[j]
+                first = np.where(n[i] <= n[j], at[i], at[j])
+                last = np.where(n[i] <= n[j], at[j], at[i])
+                # equal sizes may stand either way round
+                index = (first < index_length(short, threshold)) | ((n[i] == n[j]) & (last < index_length(short, threshold)))
+                ok = index & (100 * short >= threshold * (both - short)) & ((100 + threshold) * np.minimum(n[i] - at[i], n[j] - at[j]) >= threshold * both)
+                ok &= (100 + threshold) * np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) <= (100 - threshold) * both
+                later.append(cls[j[ok]])
+                earlier.append(cls[i[ok]])
+                met[j[ok]] += 1
+                step += 1
+                live = live[(before[live] >= step) & ((met[live] < FIRST) if probes is None else True)]
+            more = cls[(met >= FIRST) & (before > 0)] if probes is None else cls[:0]
+            a, c = np.concatenate([*later, more]), np.concatenate([*earlier, np.zeros(len(more), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c, mask=np.arange(len(a)) >= len(a) - len(more))], names=["later", "earlier"])
 
     return run
 
@@ -248,7 +257,7 @@ def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str =
     lines = stored(docs.mapInArrow(each(_line_rows), "doc_id long, line long, cls long"), "lines")
 
     def candidates(probes) -> DataFrame:
-        rows = docs.mapInArrow(each(_prefix_rows(threshold)), "token long, cls long, size_at long, doc_id long, line long")
+        rows = docs.mapInArrow(each(_prefix_rows(threshold)), "token int, cls long, parity long, size_at long, doc_id long, line long")
         pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_token_pairs(threshold, probes), "later long, earlier long")
         return stored(pairs.distinct(), "line-pairs")
 
@@ -276,14 +285,14 @@ def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str =
 
 def deduplicated(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines removed from its text; all columns and rows stay."""
-    gone = removals(docs, threshold, least, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(-1)) == gone["_id"], "left").drop("_id")
+    gone = removals(docs, threshold, least, id_col, text_col).select(F.col("doc_id").alias("__line_id"), F.col("lines").alias("__gone"))
+    joined = docs.join(gone.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(-1)) == gone["__line_id"], "left").drop("__line_id")
     names = list(docs.columns)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = column(b, "_gone")
+            gone = column(b, "__gone")
             texts = column(b, text_col)
             if gone.null_count < len(gone):
                 new = texts.to_pylist()
@@ -296,4 +305,4 @@ def deduplicated(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: s
             cols[at] = texts
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*[joined[c] for c in names], "_gone").mapInArrow(run, docs.schema)
+    return joined.select(*[joined[c] for c in names], "__gone").mapInArrow(run, docs.schema)

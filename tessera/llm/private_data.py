@@ -190,15 +190,15 @@ def found(docs: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFra
 def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with each span in its text replaced by its kind. Rows that repeat an id share added spans."""
     scan = stored(scanned(docs, id_col, text_col), "private-scan")
-    more = scan.select("row", "doc_id").join(_added(scan, support, confidence), "row").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("_more"))
-    joined = docs.join(more.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_id"), "left")
+    more = scan.select("row", "doc_id").join(_added(scan, support, confidence), "row").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("__more"))
+    joined = docs.join(more.withColumnRenamed("doc_id", "__span_id").hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__span_id"), "left")
     names = list(docs.columns)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, extra in zip((x.as_py() for x in b.column(at)), column(b, "_more").to_pylist(), strict=True):
+            for text, extra in zip((x.as_py() for x in b.column(at)), column(b, "__more").to_pylist(), strict=True):
                 if text:
                     spans = fixed_spans(text) + [(x["start"], x["kind"], x["end"]) for x in extra or () if x["end"] <= len(text)]
                     text = redacted(text, spans) if spans else text
@@ -207,7 +207,7 @@ def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.
             cols[at] = pa.array(out, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*[docs[c] for c in names], "_more").mapInArrow(run, docs.schema)
+    return joined.select(*[docs[c] for c in names], "__more").mapInArrow(run, docs.schema)
 
 
 def spans_text(spans: Column | str) -> Column:

@@ -219,9 +219,9 @@ class Model:
         return marginals(gain, t.first, self.trans)
 
     def expected(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each document: the expected number of toxic tokens, each weighted by its own probability once more, so that
-        the background of a long document does not add up to a toxic token."""
-        sums = np.concatenate([[0.0], np.cumsum(p * p)])
+        """Of each document: the expected number of toxic tokens, each weighted by the square of its own probability, so
+        that the background of a long document does not add up to a toxic token."""
+        sums = np.concatenate([[0.0], np.cumsum(p * p * p)])
         return sums[first[1:]] - sums[first[:-1]]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     hashed = rows.select(F.xxhash64(id_col).alias("h"), id_col, "_toxic")
     picked = [r for toxic in (0, 1) for r in hashed.where(F.col("_toxic") == toxic).orderBy("h", id_col).limit(SAMPLE[toxic]).select(id_col, "_toxic").collect()]
     ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], f"{id_col} long, _toxic int").dropDuplicates([id_col])
-    got = [(r[text_col], r["_toxic"]) for r in docs.join(F.broadcast(ids), id_col).where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).orderBy(id_col, text_col).select(text_col, "_toxic").collect()]
+    got = [(r[text_col], r["_toxic"]) for r in docs.select(id_col, text_col).join(F.broadcast(ids), id_col).where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).orderBy(id_col, text_col).select(text_col, "_toxic").collect()]
     got = list(dict.fromkeys(got))  # copies teach nothing
     y = np.array([t for _, t in got], bool)
     t = Tokens(pa.array([x for x, _ in got], pa.string()))
