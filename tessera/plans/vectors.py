@@ -83,13 +83,10 @@ SELECT CASE WHEN id % 2 = 0 THEN 'precision' ELSE 'recall' END AS name, round(av
 def manifold_pr(spark, d):
     """Share of even vectors within the odd ones' manifold (precision), and the other way round (recall)."""
     v, radii = _vectors(spark, d), _radii(spark, d)
-    n = v.count()
     out = None
     for side, name in ((0, "precision"), (1, "recall")):
         own, other = v.where(F.col("vec_id") % 2 == side), v.where(F.col("vec_id") % 2 == 1 - side)
-        # every distance counts here, so all of the other side are asked for; it is bounded by the sample that the metric uses
-        near = V.nearest(other, own, n, "vec_id", "embedding", "l2").join(radii.select("id", "radius"), "id")
-        per = near.groupBy("query").agg(F.bool_or(F.col("measure") <= F.col("radius") + 1e-12).alias("hit"), F.max(F.col("radius") / (F.col("measure") + 1e-6)).alias("realism"))
+        per = V.within(other.join(radii.select(F.col("id").alias("vec_id"), "radius"), "vec_id"), own, "vec_id", "embedding", "radius")
         row = per.agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("value"), F.round(F.max("realism"), 4).alias("realism")).withColumn("name", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
