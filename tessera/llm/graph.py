@@ -20,7 +20,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        moved = stored(moved, "cc-labels")
         up = moved.select(F.col("node").alias("at"), F.col("label").alias("up"))
         jumped = moved.join(up, moved["label"] == up["at"], "left").select("node", "was", F.coalesce(F.least("label", "up"), F.col("label")).alias("label"))
         jumped = stored(jumped, "cc-labels")

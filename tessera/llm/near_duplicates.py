@@ -193,12 +193,11 @@ def _children(branches: float | list[tuple[int, list[int]]]):
 
 
 def _against_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds in how many places each row's sketch agrees with its head's."""
+    """In how many places each class's sketch agrees with its head's."""
     for b in batches:
         if b.num_rows:
-            agree = (_sketch_matrix(column(b, "sketch")) == _sketch_matrix(column(b, "head_sketch"))).sum(1)
-            cols = [column(b, c) for c in ("node", "cls", "head", "sketch")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(agree.astype(np.int32))], names=["node", "cls", "head", "sketch", "agree"])
+            agree = (_sketch_matrix(column(b, "brief"), np.uint16) == _sketch_matrix(column(b, "head_brief"), np.uint16)).sum(1)
+            yield pa.RecordBatch.from_arrays([column(b, "cls"), column(b, "head"), pa.array(agree.astype(np.int32))], names=["cls", "head", "agree"])
 
 
 def candidate_links(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame:
@@ -216,13 +215,15 @@ def candidate_links(classes: DataFrame, trees: int, small: int, depth: int) -> D
         many = shared.where(F.col("size") > small)
         if many.limit(1).count() == 0:
             break
-        heads = full.select(F.col("cls").alias("head"), F.col("sketch").alias("head_sketch"))
-        met = many.where("cls <> head").join(full, "cls").join(heads, "head").select("node", "cls", "head", "sketch", "head_sketch")
-        met = stored(met.mapInArrow(_against_heads, "node long, cls long, head long, sketch binary, agree int"), "met-heads")
+        # a group of near copies has the same head in many nodes: each (class, head) is compared once
+        heads = brief.select(F.col("cls").alias("head"), F.col("brief").alias("head_brief"))
+        pairs = many.where("cls <> head").select("cls", "head").distinct()
+        met = stored(pairs.join(brief, "cls").join(heads, "head").select("cls", "head", "brief", "head_brief").mapInArrow(_against_heads, "cls long, head long, agree int"), "met-heads")
         linked = F.col("agree") >= (LEAST if level < depth else 0)
-        found.append(stored(met.where(linked).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "head-links"))
+        found.append(met.where(linked).select(F.col("head").alias("a"), F.col("cls").alias("b")))
         if level < depth:
-            rows = stored(met.where(F.col("agree") < CLOSE).select("node", "cls", "sketch").mapInArrow(_children(4 / 3), "node long, cls long"), "paths")
+            apart = many.join(met.where(F.col("agree") < CLOSE).select("cls", "head"), ["cls", "head"], "left_semi").select("node", "cls")
+            rows = stored(apart.join(full, "cls").select("node", "cls", "sketch").mapInArrow(_children(4 / 3), "node long, cls long"), "paths")
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
