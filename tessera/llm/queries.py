@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bit_packing, line_dedup, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, toxic_spans
+from tessera.llm import bit_packing, line_dedup, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, sql, toxic_spans
 
 
 def _path(name: str) -> str:
@@ -84,4 +84,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
