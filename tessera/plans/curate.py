@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import curate as C
-from tessera.operators.common import numbered, row_number
+from tessera.operators.common import numbered
 from tessera.plans.registry import query, table
 
 ALLOWED, DISALLOWED = ["the", "that"], ["and"]
@@ -188,7 +188,7 @@ def samplers(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     few = C.sample_n(docs, "doc_id", 5, "few").select(F.lit("few").alias("kind"), F.col("doc_id").alias("draw"), F.col("doc_id").alias("pick"))
     some = docs.where("doc_id < 50")
-    epoch = some.select(F.lit("epoch").alias("kind"), row_number([], [C.hash_order("e1", "doc_id"), "doc_id"]).alias("draw"), F.col("doc_id").alias("pick"))
+    epoch = numbered(some, [C.hash_order("e1", "doc_id"), "doc_id"], "draw", 1).select(F.lit("epoch").alias("kind"), "draw", F.col("doc_id").alias("pick"))
     regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), (F.col("r_regionkey") + 1).alias("weight"))
     drawn = C.weighted_draws(regions, "k", "weight", 200, "w").select(F.lit("weighted").alias("kind"), "draw", F.col("k").alias("pick"))
     unit = F.conv(F.substring(C.hash_order("c", "event_id"), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
