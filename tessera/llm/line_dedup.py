@@ -152,7 +152,9 @@ def _parities(x: Batch, k: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bit, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(k) else np.zeros(0, np.uint64)
 
 
-def _prefix_rows(threshold: int):
+def _prefix_rows(threshold: int, tokens=None):
+    """tokens: a table of the (short) tokens that are asked for, else all."""
+
     def make(x: Batch) -> pa.RecordBatch:
         """Prefix tokens that may occur elsewhere, once a set; size and place in one number. 32 bits of a token bring together
         what must meet; what they bring together besides is told apart later."""
@@ -163,9 +165,11 @@ def _prefix_rows(threshold: int):
         owner, flat = np.repeat(k, take), _flat(x.at[k], take)
         token = x.tokens[flat]
         keep = token >> np.uint64(56) > 1
-        owner, flat, token = owner[keep], flat[keep], token[keep]
-        size_at = x.n[owner] << 32 | flat - x.at[owner]
         short = (token >> np.uint64(8)).astype(np.uint32).view(np.int32)
+        if tokens is not None:
+            keep &= _has(tokens.value, short.astype(np.int64))
+        owner, flat, short = owner[keep], flat[keep], short[keep]
+        size_at = x.n[owner] << 32 | flat - x.at[owner]
         return pa.RecordBatch.from_arrays(
             [pa.array(short), pa.array(x.cls[owner]), pa.array(parity[owner].view(np.int64)), pa.array(size_at), pa.array(x.doc[owner]), pa.array(x.line[owner])],
             names=["token", "cls", "parity", "size_at", "doc_id", "line"],
@@ -210,7 +214,7 @@ def _bit_table(cls: DataFrame) -> np.ndarray:
 
 def _token_pairs(threshold: int, probes):
     """later, earlier: candidate pairs of the sets of each token. Without probes each set meets the FIRST candidates before it,
-    and a row (later, null) says that it may have more; with probes only these sets meet all their candidates."""
+    and a row (later, null, token) says that there may be more; with probes only these sets meet all their candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, ["token"]):
@@ -241,9 +245,11 @@ def _token_pairs(threshold: int, probes):
                 met[j[ok]] += 1
                 step += 1
                 live = live[(before[live] >= step) & ((met[live] < FIRST) if probes is None else True)]
-            more = cls[(met >= FIRST) & (before > 0)] if probes is None else cls[:0]
-            a, c = np.concatenate([*later, more]), np.concatenate([*earlier, np.zeros(len(more), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c, mask=np.arange(len(a)) >= len(a) - len(more))], names=["later", "earlier"])
+            capped = np.flatnonzero((met >= FIRST) & (before > 0)) if probes is None else np.zeros(0, np.int64)
+            a, c = np.concatenate([*later, cls[capped]]), np.concatenate([*earlier, np.zeros(len(capped), np.int64)])
+            pair = np.arange(len(a)) < len(a) - len(capped)
+            of = np.concatenate([np.zeros(len(a) - len(capped), np.int32), token[capped]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c, mask=~pair), pa.array(of, mask=pair)], names=["later", "earlier", "token"])
 
     return run
 
@@ -256,9 +262,9 @@ def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str =
     each = lambda make: _each(ranks, least, id_col, text_col, make)
     lines = stored(docs.mapInArrow(each(_line_rows), "doc_id long, line long, cls long"), "lines")
 
-    def candidates(probes) -> DataFrame:
-        rows = docs.mapInArrow(each(_prefix_rows(threshold)), "token int, cls long, parity long, size_at long, doc_id long, line long")
-        pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_token_pairs(threshold, probes), "later long, earlier long")
+    def candidates(probes=None, tokens=None) -> DataFrame:
+        rows = docs.mapInArrow(each(_prefix_rows(threshold, tokens)), "token int, cls long, parity long, size_at long, doc_id long, line long")
+        pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_token_pairs(threshold, probes), "later long, earlier long, token int")
         return stored(pairs.distinct(), "line-pairs")
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -270,13 +276,13 @@ def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str =
         common = F.size(F.array_intersect("t", "u"))
         return stored(both.where((100 + threshold) * common >= threshold * (F.size("t") + F.size("u"))).select(F.col("later").alias("cls")).distinct(), "later-sets")
 
-    pairs = candidates(None)
+    pairs = candidates()
     later = matched(pairs)
-    unsettled = stored(pairs.where("earlier is null").select(F.col("later").alias("cls")).join(later, "cls", "left_anti"), "unsettled")
+    unsettled = stored(pairs.where("earlier is null").select(F.col("later").alias("cls"), "token").join(later, "cls", "left_anti"), "unsettled")
     if unsettled.limit(1).count():
-        probes = spark.sparkContext.broadcast(_bit_table(unsettled))
-        # what shares a bit with an unsettled set is compared again, to no harm
-        later = later.unionByName(matched(candidates(probes))).distinct()
+        # only the tokens at which these sets have more are read again; what shares a bit with them does no harm
+        probes, tokens = (spark.sparkContext.broadcast(_bit_table(unsettled.select(F.col(c).cast("long").alias("cls")))) for c in ("cls", "token"))
+        later = later.unionByName(matched(candidates(probes, tokens))).distinct()
     firsts = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"))
     losing = firsts.join(later.withColumn("later", F.lit(True)), "cls", "left").where((F.col("copies") > 1) | F.col("later"))
     gone = lines.join(losing.select("cls", "first", F.coalesce("later", F.lit(False)).alias("later")), "cls").where(F.col("later") | (F.struct("doc_id", "line") != F.col("first")))
