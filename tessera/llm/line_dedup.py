@@ -11,7 +11,8 @@ as the sets have tokens apart), and are verified on their whole sets. A line goe
 One earlier match is enough. So a set first meets the FIRST candidates before it of each of its prefix tokens; only sets that
 may have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
 
-Lines with fewer than `least` distinct words (blank ones too) always stay. Null texts stay null, empty ones empty; a
+Lines without words always stay, as do those with fewer than `least` distinct words; `op4_line_dedup` and the pipeline ask for
+one word. A set too small to match any but an equal one needs no prefix: copies are found by the sets' hashes. Null texts stay null, empty ones empty; a
 document whose lines all go keeps its row with an empty text. Rows that repeat an id are treated alike. Words are told
 apart by 56 bits of their hash. Sets are not carried through shuffles: texts are read again for those that are compared.
 """
@@ -161,7 +162,8 @@ def _prefix_rows(threshold: int, tokens=None):
         k = x.firsts()
         parity = np.zeros(len(x.n), np.uint64)
         parity[k] = _parities(x, k)
-        take = prefix_length(x.n[k], threshold)
+        # of n words, the closest other set has n + 1
+        take = np.where(100 * x.n[k] >= threshold * (x.n[k] + 1), prefix_length(x.n[k], threshold), 0)
         owner, flat = np.repeat(k, take), _flat(x.at[k], take)
         token = x.tokens[flat]
         keep = token >> np.uint64(56) > 1

@@ -36,7 +36,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     text = F.coalesce("text", F.lit(""))
     return clean.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
