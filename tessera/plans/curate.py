@@ -60,6 +60,14 @@ def gather_dedup(spark, d):
     return C.sorted_by_number(C.union_first([a, b], "doc_id"), "doc_id")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'a' ELSE 'b' END AS origin FROM documents")
+def gather_dedup_whole(spark, d):
+    """Two inputs that overlap and together hold all rows."""
+    docs = table(spark, d, "documents").select("doc_id")
+    a, b = docs.where("doc_id % 3 < 2").withColumn("origin", F.lit("a")), docs.where("doc_id % 3 <> 0 OR doc_id IS NULL").withColumn("origin", F.lit("b"))
+    return C.sorted_by_number(C.union_first([a, b], "doc_id"), "doc_id")
+
+
 @query("SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 ORDER BY doc_id LIMIT 500")
 def distinct_keep_first(spark, d):
     return C.keep_first(table(spark, d, "documents"), ["text"], ["doc_id"], 500).select("doc_id", "n_chars")
@@ -70,8 +78,20 @@ def distinct_keep_first(spark, d):
   'orders' AS source FROM orders WHERE o_orderkey < 500 UNION ALL SELECT l_orderkey, 'lineitem' FROM lineitem WHERE l_orderkey < 200)"""
 )
 def merge_sorted(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey < 500").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")).alias("id"), F.lit("orders").alias("source"))
-    b = table(spark, d, "lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").alias("id"), F.lit("lineitem").alias("source"))
+    return _merged(table(spark, d, "orders").where("o_orderkey < 500"), table(spark, d, "lineitem").where("l_orderkey < 200"))
+
+
+@query(
+    """SELECT id, source, row_number() OVER (ORDER BY id NULLS FIRST, source) AS place FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderkey END AS id,
+  'orders' AS source FROM orders UNION ALL SELECT l_orderkey, 'lineitem' FROM lineitem)"""
+)
+def merge_sorted_whole(spark, d):
+    return _merged(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def _merged(orders, lineitem):
+    a = orders.select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")).alias("id"), F.lit("orders").alias("source"))
+    b = lineitem.select(F.col("l_orderkey").alias("id"), F.lit("lineitem").alias("source"))
     return numbered(a.unionByName(b), ["id", "source"], "place", 1)
 
 
@@ -155,8 +175,22 @@ UNION ALL SELECT 'literal', id, origin FROM (SELECT c_custkey AS id, 'have' AS o
   UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 21))"""
 )
 def top_up(spark, d):
-    have = table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("id"), F.lit("have").alias("origin"))
-    more = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("more").alias("origin"))
+    return _topped_up(table(spark, d, "customer").where("c_custkey <= 100"), table(spark, d, "orders"))
+
+
+@query(
+    """SELECT 'intended' AS variant, id, origin FROM (SELECT c_custkey AS id, 'have' AS origin FROM customer
+  UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 20))
+UNION ALL SELECT 'literal', id, origin FROM (SELECT c_custkey AS id, 'have' AS origin FROM customer
+  UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 21))"""
+)
+def top_up_whole(spark, d):
+    return _topped_up(table(spark, d, "customer"), table(spark, d, "orders"))
+
+
+def _topped_up(customer, orders):
+    have = customer.select(F.col("c_custkey").alias("id"), F.lit("have").alias("origin"))
+    more = orders.select(F.col("o_orderkey").alias("id"), F.lit("more").alias("origin"))
     target = have.count() + 20
     both = [C.top_up(have, more, "id", target, lit).withColumn("variant", F.lit(v)) for v, lit in (("intended", False), ("literal", True))]
     return both[0].unionByName(both[1])
@@ -187,10 +221,24 @@ SELECT * FROM few UNION ALL SELECT * FROM epoch UNION ALL SELECT * FROM drawn UN
 def samplers(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     few = C.sample_n(docs, "doc_id", 5, "few").select(F.lit("few").alias("kind"), F.col("doc_id").alias("draw"), F.col("doc_id").alias("pick"))
-    some = docs.where("doc_id < 50")
-    epoch = numbered(some, [C.hash_order("e1", "doc_id"), "doc_id"], "draw", 1).select(F.lit("epoch").alias("kind"), "draw", F.col("doc_id").alias("pick"))
+    epoch = _epoch(docs.where("doc_id < 50"))
     regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), (F.col("r_regionkey") + 1).alias("weight"))
     drawn = C.weighted_draws(regions, "k", "weight", 200, "w").select(F.lit("weighted").alias("kind"), "draw", F.col("k").alias("pick"))
+    return few.unionByName(epoch).unionByName(drawn).unionByName(_choice(table(spark, d, "events").where("event_id < 200")))
+
+
+@query(
+    """SELECT 'epoch' AS kind, row_number() OVER (ORDER BY md5('e1:' || doc_id), doc_id) AS draw, doc_id AS pick FROM documents
+UNION ALL SELECT 'choice', event_id, CASE WHEN ('0x' || substr(md5('c:' || event_id), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 0 ELSE 1 END FROM events"""
+)
+def samplers_whole(spark, d):
+    return _epoch(table(spark, d, "documents").select("doc_id")).unionByName(_choice(table(spark, d, "events")))
+
+
+def _epoch(docs):
+    return numbered(docs, [C.hash_order("e1", "doc_id"), "doc_id"], "draw", 1).select(F.lit("epoch").alias("kind"), "draw", F.col("doc_id").alias("pick"))
+
+
+def _choice(events):
     unit = F.conv(F.substring(C.hash_order("c", "event_id"), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    choice = table(spark, d, "events").where("event_id < 200").select(F.lit("choice").alias("kind"), F.col("event_id").alias("draw"), F.when(unit < 0.2, 0).otherwise(1).cast("long").alias("pick"))
-    return few.unionByName(epoch).unionByName(drawn).unionByName(choice)
+    return events.select(F.lit("choice").alias("kind"), F.col("event_id").alias("draw"), F.when(unit < 0.2, 0).otherwise(1).cast("long").alias("pick"))
