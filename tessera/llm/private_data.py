@@ -4,9 +4,10 @@ Fixed patterns find emails, addresses, cards and phones; these spans stay as the
 are the one or two words that stand before an entity. Identifier-shaped strings that the fixed patterns do not accept
 (numbers with separators, words with an at sign or its spelled form) are instances yet unknown. Patterns and instances
 form a bipartite graph which Spark scores in rounds: a pattern's confidence for a kind is the smoothed mean of its
-distinct instances' belief in it, an instance's belief is that of its best pattern. Patterns with at least `support`
-distinct seeds and a confidence of at least `confidence` give their kind to the unknown instances behind them whose
-shape allows it.
+distinct instances' belief in it, an instance's belief is that of its best pattern. A pattern counts once it has `support`
+distinct seeds or instances believed with `confidence`, so found instances bring in patterns of their own. Rounds end when no
+score moves by `tolerance`. Patterns with at least that confidence give their kind to the unknown instances behind them whose
+shape allows it; the same string behind another context is judged by that one.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. A repeated row gives a repeated result.
 """
@@ -145,26 +146,39 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.monotonically_increasing_id().alias("row"), text_col).mapInArrow(run, _SCAN)
 
 
-def confident_patterns(edges: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 3) -> DataFrame:
-    """pattern, kind, confidence of the patterns that may name unknown instances. edges: pattern, instance, kind (-1 unknown), allowed."""
+def confident_patterns(edges: DataFrame, support: int = 5, confidence: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
+    """pattern, kind, confidence of the patterns that may name unknown instances. edges: pattern, instance, kind (-1 unknown), allowed.
+
+    A round solves each pattern's mean for the unknown instances that it is itself the best pattern of, given the belief of
+    the others: these would otherwise rise by ever smaller steps. Scores only grow, towards the least that agree with themselves.
+    """
     known = edges.where("kind >= 0").select("pattern", F.sha2("instance", 256).alias("instance"), "kind", F.lit("").alias("allowed"))
     lost = edges.where("kind < 0").select("pattern", F.sha2("instance", 256).alias("instance"), "kind", "allowed")
-    # unknown instances matter behind a pattern that has seeds at all; each distinct link counts once
+    # each distinct link counts once
     links = stored(known.unionByName(lost).groupBy("pattern", "instance", "kind").agg(F.max("allowed").alias("allowed")), "pattern-links")
-    seeds = links.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    seeds = seeds.where(F.col("seeds") >= support)
-    every = links.groupBy("pattern").agg(F.count("*").alias("all"))
-    scores = stored(seeds.join(every, "pattern").select("pattern", "kind", "seeds", "all", (F.col("seeds") / (F.col("all") + 1)).alias("confidence")), "pattern-scores")
-    for _ in range(rounds):
-        open_links = links.where("kind < 0").select("pattern", "instance", "allowed")
-        names = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-        reach = open_links.join(scores, "pattern").where(F.array_contains(F.split("allowed", ","), names))
-        belief = reach.groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
-        gained = open_links.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gained"))
-        scores = stored(
-            scores.drop("confidence").join(gained, ["pattern", "kind"], "left").select("pattern", "kind", "seeds", "all", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("all") + 1)).alias("confidence")),
-            "pattern-scores",
+    every = stored(links.groupBy("pattern").agg(F.count("*").alias("all")), "pattern-sizes")
+    seeds = stored(links.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")), "pattern-seeds")
+    number = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
+    open_links = links.where("kind < 0").select("pattern", "instance", F.explode(F.split("allowed", ",")).alias("name")).select("pattern", "instance", number[F.col("name")].alias("kind"))
+    scores = stored(
+        seeds.where(F.col("seeds") >= support).join(every, "pattern").select("pattern", "kind", (F.col("seeds") / (F.col("all") + 1)).alias("confidence"), F.lit(1.0).alias("moved")), "pattern-scores"
+    )
+    while scores.where(F.col("moved") >= tolerance).limit(1).count():
+        scored = scores.drop("moved")
+        reach = open_links.join(scored, ["pattern", "kind"], "left")
+        belief = reach.where("confidence is not null").groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
+        own = F.coalesce(F.col("confidence") >= F.col("belief"), F.lit(False))
+        gained = (
+            reach.join(belief, ["instance", "kind"])
+            .groupBy("pattern", "kind")
+            .agg(F.sum(own.cast("long")).alias("own"), F.sum(F.when(own, 0.0).otherwise(F.col("belief"))).alias("gained"), F.sum((F.col("belief") >= confidence).cast("long")).alias("believed"))
         )
+        n = {c: F.coalesce(c, F.lit(0)) for c in ("seeds", "own", "gained", "believed")}
+        # one that counted before counts on
+        both = seeds.join(gained, ["pattern", "kind"], "full").join(scored.withColumnRenamed("confidence", "old"), ["pattern", "kind"], "left")
+        both = both.where((n["seeds"] + n["believed"] >= support) | F.col("old").isNotNull()).join(every, "pattern")
+        new = (n["seeds"] + n["gained"]) / (F.col("all") + 1 - n["own"])
+        scores = stored(both.select("pattern", "kind", new.alias("confidence"), (new - F.coalesce("old", F.lit(-1.0))).alias("moved")), "pattern-scores")
     return scores.where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
 
 
