@@ -6,14 +6,15 @@ first tokens, the fewer candidates. Of two lines with a Jaccard similarity of at
 first n - ceil(t n) + 1 tokens and the shorter's first n - ceil(2 t n / (1 + t)) + 1 share one; candidates must also pass
 the length filter, the positional filter and a bound by 64 parities of token hashes (which differ at most in as many places
 as the sets have tokens apart), and are verified on their whole sets. A line goes if any line before it, by
-(doc_id, line number), matches it, kept or not.
+(doc_id, row, line number), matches it, kept or not. Rows are told apart by a number that a stored table gives them as they
+are read, so rows without an id (which come first) or with the same id lose only lines of their own.
 
 One earlier match is enough. So a set first meets the FIRST candidates before it of each of its prefix tokens; only sets that
 may have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
 
 Lines without words always stay, as do those with fewer than `least` distinct words; `op4_line_dedup` and the pipeline ask for
 one word. A set too small to match any but an equal one needs no prefix: copies are found by the sets' hashes. Null texts stay null, empty ones empty; a
-document whose lines all go keeps its row with an empty text. Rows that repeat an id are treated alike. Words are told
+document whose lines all go keeps its row with an empty text. Words are told
 apart by 56 bits of their hash. Sets are not carried through shuffles: texts are read again for those that are compared.
 """
 
@@ -35,6 +36,8 @@ SEGMENT = 1 << 16
 FIRST = 4
 #: Bits of the tables that tell which sets are wanted: exact tests follow.
 WANTED_BITS = 24
+#: Names a row of the stored table.
+ROW = "__row"
 
 
 def _batches(b: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -119,12 +122,13 @@ class Batch:
         x ^= x >> np.uint64(29)
         cls = np.add.reduceat(x * np.uint64(0xBF58476D1CE4E5B9), s.first[:-1]).view(np.int64) if len(n) else np.zeros(0, np.int64)
         big = n >= least
-        ids = np.array(column(part, id_col).cast(pa.int64()).fill_null(-1).to_numpy())
-        self.doc, self.line, self.cls, self.n, self.at, self.tokens = ids[s.doc[big]], s.line[big], cls[big], n[big], s.first[:-1][big], s.tokens
+        # null ids come first; that -2**63 may be an id is no matter, as rows are told apart by their own numbers
+        ids = np.array(column(part, id_col).cast(pa.int64()).fill_null(-(2**63)).to_numpy())
+        self.doc, self.row, self.line, self.cls, self.n, self.at, self.tokens = ids[s.doc[big]], column(part, ROW).to_numpy()[s.doc[big]], s.line[big], cls[big], n[big], s.first[:-1][big], s.tokens
 
     def firsts(self) -> np.ndarray:
-        """Of each set in the batch its first line by (doc, line)."""
-        order = np.lexsort((self.line, self.doc, self.cls))
+        """Of each set in the batch its first line by (doc, row, line)."""
+        order = np.lexsort((self.line, self.row, self.doc, self.cls))
         return order[np.concatenate([[True], self.cls[order][1:] != self.cls[order][:-1]])] if len(order) else order
 
 
@@ -143,7 +147,7 @@ def _flat(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(x: Batch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.line), pa.array(x.cls)], names=["doc_id", "line", "cls"])
+    return pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.row), pa.array(x.line), pa.array(x.cls)], names=["doc_id", "row", "line", "cls"])
 
 
 def _parities(x: Batch, k: np.ndarray) -> np.ndarray:
@@ -173,8 +177,8 @@ def _prefix_rows(threshold: int, tokens=None):
         owner, flat, short = owner[keep], flat[keep], short[keep]
         size_at = x.n[owner] << 32 | flat - x.at[owner]
         return pa.RecordBatch.from_arrays(
-            [pa.array(short), pa.array(x.cls[owner]), pa.array(parity[owner].view(np.int64)), pa.array(size_at), pa.array(x.doc[owner]), pa.array(x.line[owner])],
-            names=["token", "cls", "parity", "size_at", "doc_id", "line"],
+            [pa.array(short), pa.array(x.cls[owner]), pa.array(parity[owner].view(np.int64)), pa.array(size_at), pa.array(x.doc[owner]), pa.array(x.row[owner]), pa.array(x.line[owner])],
+            names=["token", "cls", "parity", "size_at", "doc_id", "row", "line"],
         )
 
     return make
@@ -220,11 +224,11 @@ def _token_pairs(threshold: int, probes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, ["token"]):
-            token, cls, parity, size_at, doc, line = (column(b, c).to_numpy() for c in ("token", "cls", "parity", "size_at", "doc_id", "line"))
-            order = np.lexsort((size_at, line, doc, cls, token))
+            token, cls, parity, size_at, doc, row, line = (column(b, c).to_numpy() for c in ("token", "cls", "parity", "size_at", "doc_id", "row", "line"))
+            order = np.lexsort((size_at, line, row, doc, cls, token))
             fresh = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]) | (token[order][1:] != token[order][:-1])])
             k = order[fresh]  # a set once a token, with its first line
-            k = k[np.lexsort((cls[k], line[k], doc[k], token[k]))]
+            k = k[np.lexsort((cls[k], line[k], row[k], doc[k], token[k]))]
             token, cls, parity, n, at = token[k], cls[k], parity[k].view(np.uint64), size_at[k] >> 32, size_at[k] & 0xFFFFFFFF
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             before = np.arange(len(k)) - np.repeat(begin, np.diff(np.append(begin, len(k))))  # sets of the token before each
@@ -257,15 +261,15 @@ def _token_pairs(threshold: int, probes):
 
 
 def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lines (sorted numbers from 0) of the documents that lose lines."""
+    """ROW, lines (sorted numbers from 0) of the rows that lose lines. docs: a stored table with a column ROW."""
     spark = docs.sparkSession
-    docs = docs.select(id_col, text_col)
+    docs = docs.select(id_col, ROW, text_col)
     ranks = spark.sparkContext.broadcast(token_ranks(docs, text_col))
     each = lambda make: _each(ranks, least, id_col, text_col, make)
-    lines = stored(docs.mapInArrow(each(_line_rows), "doc_id long, line long, cls long"), "lines")
+    lines = stored(docs.mapInArrow(each(_line_rows), "doc_id long, row long, line long, cls long"), "lines")
 
     def candidates(probes=None, tokens=None) -> DataFrame:
-        rows = docs.mapInArrow(each(_prefix_rows(threshold, tokens)), "token int, cls long, parity long, size_at long, doc_id long, line long")
+        rows = docs.mapInArrow(each(_prefix_rows(threshold, tokens)), "token int, cls long, parity long, size_at long, doc_id long, row long, line long")
         pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_token_pairs(threshold, probes), "later long, earlier long, token int")
         return stored(pairs.distinct(), "line-pairs")
 
@@ -285,16 +289,17 @@ def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str =
         # only the tokens at which these sets have more are read again; what shares a bit with them does no harm
         probes, tokens = (spark.sparkContext.broadcast(_bit_table(unsettled.select(F.col(c).cast("long").alias("cls")))) for c in ("cls", "token"))
         later = later.unionByName(matched(candidates(probes, tokens))).distinct()
-    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"))
+    firsts = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("copies"))
     losing = firsts.join(later.withColumn("later", F.lit(True)), "cls", "left").where((F.col("copies") > 1) | F.col("later"))
-    gone = lines.join(losing.select("cls", "first", F.coalesce("later", F.lit(False)).alias("later")), "cls").where(F.col("later") | (F.struct("doc_id", "line") != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    gone = lines.join(losing.select("cls", "first", F.coalesce("later", F.lit(False)).alias("later")), "cls").where(F.col("later") | (F.struct("doc_id", "row", "line") != F.col("first")))
+    return gone.groupBy(F.col("row").alias(ROW)).agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def deduplicated(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines removed from its text; all columns and rows stay."""
-    gone = removals(docs, threshold, least, id_col, text_col).select(F.col("doc_id").alias("__line_id"), F.col("lines").alias("__gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(-1)) == gone["__line_id"], "left").drop("__line_id")
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "line-rows")
+    gone = removals(keyed, threshold, least, id_col, text_col).withColumnRenamed("lines", "__gone")
+    joined = keyed.join(gone.hint("shuffle_hash"), ROW, "left")
     names = list(docs.columns)
     at = names.index(text_col)
 

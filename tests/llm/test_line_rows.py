@@ -28,3 +28,16 @@ def test_short_lines_of_query_and_stage(spark, docs, edges, monkeypatch, tmp_pat
     got = {r.doc_id: r.text_sha256 for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(want)}
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("first", [4, 0])
+def test_rows_without_an_id_or_with_the_same(spark, docs, edges, monkeypatch, first):
+    monkeypatch.setattr(line_dedup, "FIRST", first)
+    ids = [None, -1, None, 7, 7, 3, None, -(2**63), 7]
+    texts = ["one two\nthree four\nfive six", "own line\nanother own", "seven\none two\neight", "a b c d e\nnine", "ten\nnine", "ten\nfive six\nq", None, "seven", "ten\nq"]
+    rows = [(i, t, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").coalesce(1)
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, k))
+    want = dict(zip(order, lines_by_force([texts[k] for k in order], least=1), strict=True))
+    assert {r.k: r.text for r in line_dedup.deduplicated(df, least=1).collect()} == want
+    assert want[2] == "seven\neight" and want[1] == texts[1]
