@@ -3,14 +3,16 @@
 A file holds the documents of one range of ids, in ascending order. Every token id takes the minimum number of bits for
 the vocabulary. Layout, little-endian:
 
-    8 bytes   b"BITPACK1"
-    7 x int64 bits per id, ids a block, documents, ids, bytes before the block offsets, before the index, before the payload
+    8 bytes   b"BITPACK2"
+    8 x int64 bits per id, ids a block, documents, ids, bytes before the block offsets, before the index, before the payload,
+              documents without an id
     blocks    one int64 a block: where its packed bytes begin in the payload
-    index     documents x (doc_id int64, ids before it in this file int64)
+    index     documents x (doc_id int64, ids before it in this file int64); those without an id come first, with 0
     payload   blocks of `ids a block` ids, each block begun on a byte
 
 An id is read by looking up its block's offset and a shift, so any range unpacks with numpy without what precedes it.
-Null and empty texts are a document that holds the end id alone; repeated document ids keep all their rows.
+Null and empty texts are a document that holds the end id alone; documents without an id come before all others, and
+repeated or missing ids keep all their rows, in the order of their texts.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import column, new_path
 from tessera.llm.tokens import encoder
 
-MAGIC = b"BITPACK1"
+MAGIC = b"BITPACK2"
+HEAD = 72
 BLOCK = 4096
+#: Characters of a text by which rows of one id are dealt out.
+DEALT_BY = 64
 #: Documents of a file are buffered as packed ids until it holds this many, then the next file begins.
 FILE_IDS = 8_000_000
 
@@ -58,15 +63,15 @@ def unpack(data: np.ndarray, first: int, n: int, bits: int) -> np.ndarray:
     return ((wide >> shift) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def file_image(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
+def file_image(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int, nulls: int = 0) -> bytes:
+    """nulls: of the first so many documents the ids are missing."""
     blocks = [pack(ids[k : k + BLOCK], bits) for k in range(0, len(ids), BLOCK)]
     sizes = np.array([len(b) for b in blocks], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("<i8") if len(sizes) else np.zeros(0, "<i8")
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("<i8") if len(lengths) else np.zeros(0, "<i8")
     index = np.stack([doc_ids.astype("<i8"), starts], axis=1) if len(doc_ids) else np.zeros((0, 2), "<i8")
-    head = 64
-    places = [head, head + 8 * len(offsets), head + 8 * len(offsets) + 16 * len(doc_ids)]
-    header = np.array([bits, BLOCK, len(doc_ids), len(ids), *places], "<i8")
+    places = [HEAD, HEAD + 8 * len(offsets), HEAD + 8 * len(offsets) + 16 * len(doc_ids)]
+    header = np.array([bits, BLOCK, len(doc_ids), len(ids), *places, nulls], "<i8")
     return b"".join([MAGIC, header.tobytes(), offsets.tobytes(), index.tobytes(), *[b.tobytes() for b in blocks]])
 
 
@@ -77,7 +82,7 @@ class BitFile:
         data = np.frombuffer(image, np.uint8)
         if data[:8].tobytes() != MAGIC:
             raise ValueError("not a bit-packed token file")
-        self.bits, self.block, self.n_docs, self.n_ids, a, b, c = (int(x) for x in data[8:64].view("<i8"))
+        self.bits, self.block, self.n_docs, self.n_ids, a, b, c, self.nulls = (int(x) for x in data[8:HEAD].view("<i8"))
         self.offsets = data[a:b].view("<i8")
         index = data[b:c].view("<i8").reshape(-1, 2)
         self.doc_ids, self.starts = index[:, 0], index[:, 1]
@@ -103,7 +108,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
     """Write all documents under `folder` (a store that pyarrow.fs can open from executors). The manifest has a row a file:
     its path, its place in the order, documents, ids, and ids of all files before it.
 
-    Documents are dealt out by ranges of their ids and encoded afterwards, so that only texts are shuffled. A file is
+    Documents are dealt out by ranges of their ids and texts' beginnings and encoded afterwards, so that only texts are shuffled. A file is
     written under a name of its own and renamed, so a repeated task leaves no half-written file in the manifest.
     """
     bits = max(1, int(vocabulary - 1).bit_length())
@@ -113,14 +118,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
         store, root = pafs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         count, made = 0, []
 
         def flush() -> None:
             nonlocal count
             if not doc_ids:
                 return
-            image = file_image(np.array(doc_ids, np.int64), np.array([len(x) for x in held], np.int64), np.concatenate(held), bits)
+            known = [x for x in doc_ids if x is not None]
+            nulls = len(doc_ids) - len(known)  # they come first
+            image = file_image(np.array([0] * nulls + known, np.int64), np.array([len(x) for x in held], np.int64), np.concatenate(held), bits, nulls)
             name = f"{root}/part-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.bits"
             with store.open_output_stream(f"{name}.tmp") as f:
                 f.write(image)
@@ -145,7 +152,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
             schema=pa.schema([("file", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64())]),
         )
 
-    dealt = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(id_col).isNotNull()).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    # one id may have very many rows, so their texts' beginnings deal them out too; null comes first
+    dealt = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(F.col(id_col), F.substring(text_col, 1, DEALT_BY)).sortWithinPartitions(id_col, text_col)
     rows = dealt.mapInArrow(run, "file string, part long, seq long, n_docs long, n_ids long, first_doc long").collect()  # a row a file
     before, manifest = 0, []
     for r in sorted(rows, key=lambda r: (r["part"], r["seq"])):
@@ -175,7 +183,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         crc[k] = zlib.crc32(ids[int(file.starts[k]) - lo : int(ends[k]) - lo])
                     at = to
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids), pa.array(file.starts + before), pa.array(ends - file.starts), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [pa.array(file.doc_ids, mask=np.arange(file.n_docs) < file.nulls), pa.array(file.starts + before), pa.array(ends - file.starts), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
     spark = manifest.sparkSession
