@@ -154,3 +154,26 @@ def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: str) -> D
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", unit)
     # few shards, many draws: the shards are the side that is sent
     return draws.join(F.broadcast(ranges), (F.col("u") * F.col("total") >= F.col("lo")) & (F.col("u") * F.col("total") < F.col("hi"))).select("draw", key)
+
+
+def large_enough(width: Column, height: Column, least: int) -> Column:
+    """valid: 1 if the shorter side has `least` pixels; 0 for smaller and for unreadable (null) images, whose rows stay."""
+    return F.when(width.isNotNull() & height.isNotNull() & (F.least(width, height) >= least), 1).otherwise(0)
+
+
+def rank_shards(df: DataFrame, order: Sequence[str], world: int, global_batch: int, fill_last: bool = False) -> DataFrame:
+    """rank and place within it: contiguous shares of the rows by order. With fill_last the last batch is filled with the first rows."""
+    n = df.count()
+    fill = min(n, -n % global_batch) if fill_last else 0
+    total = max(n + fill, 1)
+    rows = numbered(df, order, "_pos")
+    if fill:
+        rows = rows.unionByName(rows.where(F.col("_pos") < fill).withColumn("_pos", F.col("_pos") + n))
+    rank = F.floor(((F.col("_pos") + 1) * world - 1) / total).cast("long")
+    rows = rows.withColumn("rank", rank)
+    return rows.withColumn("place", F.col("_pos") - F.floor(F.col("rank") * total / world).cast("long")).drop("_pos")
+
+
+def interleaved_index(i: Column, rank: Column, world: int, total: Column) -> Column:
+    """The running number over all ranks of a rank's i-th sample, after `total` samples of the batches before."""
+    return i * world + rank + total

@@ -89,3 +89,18 @@ def prioritised(frames: Sequence[DataFrame], key: str) -> DataFrame:
         f = f.withColumn("_p", F.lit(k))
         out = f if out is None else out.unionByName(f)
     return top_k(out, [key], [F.desc("_p")]).drop("_p")
+
+
+def _iou(a: Column, b: Column) -> Column:
+    side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
+    area = lambda x: (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])
+    both = side("x0", "x1") * side("y0", "y1")
+    return F.try_divide(both, area(a) + area(b) - both)
+
+
+def distinct_boxes(boxes: Column, threshold: float) -> Column:
+    """Boxes (x0, y0, x1, y1, label) in their order, without those that overlap a kept one of their label by `threshold`.
+
+    The reference takes its test of overlap from a module that it does not hold, so the threshold is the caller's."""
+    hit = lambda kept, b: F.exists(kept, lambda k: (k["label"] == b["label"]) & F.coalesce(_iou(k, b) >= threshold, F.lit(False)))
+    return F.aggregate(boxes, F.filter(boxes, lambda b: F.lit(False)), lambda kept, b: F.when(hit(kept, b), kept).otherwise(F.concat(kept, F.array(b))))

@@ -143,3 +143,26 @@ def inception(df: DataFrame, probabilities: str, split: str) -> DataFrame:
     rows = long.withColumn("kl", F.when(F.col("p") > 0, F.col("p") * (F.log("p") - F.log(mean))).otherwise(0.0))
     per = rows.groupBy("split", "id").agg(F.sum("kl").alias("kl"))
     return per.groupBy("split").agg(F.exp(F.avg("kl")).alias("score"))
+
+
+def entropy_loss(df: DataFrame, book: np.ndarray, vector: str, sharpness: float) -> float:
+    """Mean entropy of the rows' softmax over the codes (by squared distance), minus the entropy of the mean softmax."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, own, probs = 0, 0.0, np.zeros(len(book))
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                x = np.stack(b[vector].iloc[at : at + 1024].to_numpy()).astype(float)
+                z = -sharpness * ((x**2).sum(1, keepdims=True) + (book**2).sum(1) - 2 * x @ book.T)
+                z -= z.max(1, keepdims=True)
+                log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+                p = np.exp(log_p)
+                n, own, probs = n + len(x), own - (p * log_p).sum(), probs + p.sum(0)
+        yield pd.DataFrame({"n": [n], "own": [own], "probs": [probs]})
+
+    parts = df.select(vector).where(F.col(vector).isNotNull()).mapInPandas(run, "n long, own double, probs array<double>").collect()  # a row a task
+    n = sum(r.n for r in parts)
+    if not n:
+        return float("nan")
+    mean = sum(np.array(r.probs) for r in parts) / n
+    return float(sum(r.own for r in parts) / n + (mean * np.log(mean + 1e-7)).sum())
