@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import line_dedup, queries
+from tests.llm import test_pipeline
 from tests.llm.test_documents import copies, lines_by_force
 
 
@@ -41,3 +42,8 @@ def test_rows_without_an_id_or_with_the_same(spark, docs, edges, monkeypatch, fi
     want = dict(zip(order, lines_by_force([texts[k] for k in order], least=1), strict=True))
     assert {r.k: r.text for r in line_dedup.deduplicated(df, least=1).collect()} == want
     assert want[2] == "seven\neight" and want[1] == texts[1]
+
+
+def test_all_stages_with_short_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(test_pipeline, "lines_by_force", lambda texts: lines_by_force(texts, least=1))
+    test_pipeline.test_stages(spark, tmp_path)
