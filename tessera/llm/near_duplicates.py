@@ -3,19 +3,23 @@
 1. A document's set is its distinct word 5-shingles (as 64-bit hashes); documents with equal sets are one class.
 2. A class has a sketch of WIDTH minwise tokens. In each of `trees` independent trees the root selects coordinates, and
    classes with the same token in a selected coordinate go to the same child. Nodes of at most `small` classes are
-   compared exhaustively by their sketches. In larger ones all are compared with one head; those very close to it need no
-   further company (whoever is linked with them is close enough to the head, too), the others select coordinates again
-   (the choice follows from the path) and branch, `depth` times. What then still is large is one candidate group.
+   compared exhaustively by their sketches, but for classes so close to one already compared that whoever is linked with
+   them has been found. In larger ones all are compared with one head. A class goes on to select coordinates again (the
+   choice follows from the path) and branch, up to `depth` times, only if it might be linked with one that is not linked with
+   the head: if its sketch agrees with the head's in few enough places more than the best of those does. What then still is
+   large is one candidate group.
 3. Candidate links make groups, and within a group all links are decided on the full sets, with an inverted index a block.
    Groups of more than BLOCK_CLASSES classes or BLOCK_SHINGLES shingles are dealt into blocks. Blocks are compared within,
-   then all with every block's most central member, then what is still apart from the group's main component with all
-   blocks: so no pair of different components is left uncompared, and no task holds more than a block.
+   then all with the group's most central member, then with all blocks what is not in the block's own component of a member
+   linked with that one: so no pair of different components is left uncompared, and no task holds more than a block.
 4. Components of the links give each document the smallest id it can reach.
 
 Only sketches are approximate: a pair at the threshold shares a child of a root with probability 1 - exp(-1.5) a tree, and
 its sketches agree in LEAST places or more but for one in a hundred million.
 
-Null texts and texts without words have no shingles and are linked with nothing. Repeated rows are equal documents.
+Null texts and texts without words have no shingles and are linked with nothing. Repeated rows are equal documents. Texts are
+told apart by what they hold, not by their ids: rows that share an id but not a text are documents of their own, as are rows
+without an id, which are always kept and whose component is the smallest id they reach, or null.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from tessera.llm.shared import Words, column, mixed, runs_of, stored
 
 SHINGLE = 5
 WIDTH, LEAST, CLOSE = 64, 28, 52
+#: Names a row of the stored table.
+ROW = "__row"
+#: Places by which two linked classes may differ in their agreement with a third.
+SLACK = CLOSE - LEAST + 1
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
 _RNG = np.random.default_rng(1299709)
 _ODD = _RNG.integers(1, 2**63, size=(WIDTH, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,15 +92,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (a hash of the set; null without shingles), sketch, and the sketch in half the bits,
-    which is enough to compare but not to branch."""
+def described(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, text_key (a hash of its text) and other columns of docs asked for, n_shingles, cls (a hash of the set;
+    null without shingles), sketch, and the sketch in half the bits, which is enough to compare but not to branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets, first = shingle_sets(column(part, text_col))
+                sets, first = shingle_sets(column(part, "text"))
                 n = np.diff(first)
                 some = n > 0
                 cls = np.zeros(len(n), np.uint64)
@@ -101,11 +109,13 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     cls[some] = mixed(sums + n[some].astype(np.uint64) * _PLACE[0])
                 sk = sketches(sets, first)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, id_col).cast(pa.int64()), pa.array(n), pa.array(_signed(cls), mask=~some), pa.array([s.tobytes() for s in sk], pa.binary()), pa.array([s.tobytes() for s in sk.astype(np.uint16)], pa.binary())],
-                    names=["doc_id", "n_shingles", "cls", "sketch", "brief"],
+                    [column(part, "doc_id"), column(part, "text_key"), column(part, "row"), pa.array(n), pa.array(_signed(cls), mask=~some), pa.array([s.tobytes() for s in sk], pa.binary()), pa.array([s.tobytes() for s in sk.astype(np.uint16)], pa.binary())],
+                    names=["doc_id", "text_key", "row", "n_shingles", "cls", "sketch", "brief"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary, brief binary")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), row.alias("row"), F.col(text_col).alias("text"))
+    return read.mapInArrow(run, "doc_id long, text_key long, row long, n_shingles long, cls long, sketch binary, brief binary")
 
 
 def _starts(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -146,6 +156,20 @@ def _edges_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
+def _node_links(sk: np.ndarray, cls: np.ndarray) -> list[tuple[int, int]]:
+    """Each class meets all that are left; those that agree with it in CLOSE places need meet no other."""
+    forest, left, pairs = _Forest(len(sk)), np.arange(len(sk)), []
+    while len(left) > 1 and forest.parts > 1:
+        head, rest = int(left[0]), left[1:]
+        agree = (sk[rest] == sk[head]).sum(1)
+        for j in rest[agree >= LEAST].tolist():
+            if forest.join(head, j):
+                pairs.append((int(cls[head]), int(cls[j])))
+        # one that is linked with a member that goes must be linked with the head
+        left = rest[agree < CLOSE]
+    return pairs
+
+
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each small node's classes whose sketches agree."""
     for b in runs_of(batches, ["node"]):
@@ -156,13 +180,7 @@ def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         hit = (sk[two] == sk[two + 1]).sum(1) >= LEAST
         pairs += zip(cls[two[hit]].tolist(), cls[two[hit] + 1].tolist(), strict=True)
         for s, m in zip(at[:-1][n > 2].tolist(), n[n > 2].tolist(), strict=True):
-            part, forest = sk[s : s + m], _Forest(m)
-            for i in range(m - 1):
-                for j in np.flatnonzero((part[i + 1 :] == part[i]).sum(1) >= LEAST).tolist():
-                    if forest.join(i, i + 1 + j):
-                        pairs.append((int(cls[s + i]), int(cls[s + i + 1 + j])))
-                if forest.parts == 1:
-                    break
+            pairs += _node_links(sk[s : s + m], cls[s : s + m])
         yield _edges_batch(pairs)
 
 
@@ -222,7 +240,9 @@ def candidate_links(classes: DataFrame, trees: int, small: int, depth: int) -> D
         linked = F.col("agree") >= (LEAST if level < depth else 0)
         found.append(met.where(linked).select(F.col("head").alias("a"), F.col("cls").alias("b")))
         if level < depth:
-            apart = many.join(met.where(F.col("agree") < CLOSE).select("cls", "head"), ["cls", "head"], "left_semi").select("node", "cls")
+            own = many.join(met, ["cls", "head"]).select("node", "cls", "agree")
+            best = own.where(F.col("agree") < LEAST).groupBy("node").agg(F.max("agree").alias("best"))
+            apart = own.join(best, "node").where(F.col("agree") < F.col("best") + SLACK).select("node", "cls")
             rows = stored(apart.join(full, "cls").select("node", "cls", "sketch").mapInArrow(_children(4 / 3), "node long, cls long"), "paths")
     links = found[0]
     for f in found[1:]:
@@ -230,10 +250,11 @@ def candidate_links(classes: DataFrame, trees: int, small: int, depth: int) -> D
     return links
 
 
-def _exact_links(threshold: int, pivots: bool):
+def _exact_links(threshold: int):
     """Links between the members of each (grp, block): residents with residents, or probes with residents if there are any.
 
-    Yields a, b and, with pivots, a row (cls, null) for the block's most central resident."""
+    Yields grp, a, b for each link found that joins two parts; without probes also (grp, block's root, member, share) for each
+    resident, where share tells how central it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["grp", "block"]
@@ -242,12 +263,16 @@ def _exact_links(threshold: int, pivots: bool):
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 part = b.slice(s, e - s)
                 cls, probe = column(part, "cls").to_numpy(), column(part, "probe").to_numpy(zero_copy_only=False)
-                yield _block_links(column(part, "text"), cls, probe, threshold, pivots)
+                a, c, share = _block_links(column(part, "text"), cls, probe, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([column(part, "grp")[0].as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(share, pa.float64())], names=["grp", "a", "b", "share"])
 
     return run
 
 
-def _block_links(texts: pa.Array, cls: np.ndarray, probe: np.ndarray, threshold: int, pivots: bool) -> pa.RecordBatch:
+LINKS = "grp long, a long, b long, share double"
+
+
+def _block_links(texts: pa.Array, cls: np.ndarray, probe: np.ndarray, threshold: int) -> tuple[list, list, list]:
     sets, first = shingle_sets(texts)
     n = np.diff(first)
     _, ids = np.unique(sets, return_inverse=True)
@@ -273,57 +298,85 @@ def _block_links(texts: pa.Array, cls: np.ndarray, probe: np.ndarray, threshold:
         for j in np.flatnonzero(linked & resident).tolist():
             if forest.join(d, j):
                 pairs.append((int(cls[d]), int(cls[j])))
-    a, b = ([p[k] for p in pairs] for k in range(2))
-    if pivots and len(n):
-        a, b = [*a, int(cls[int(np.argmax(share))])], [*b, None]
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    if probe.any():
+        return [a for a, _ in pairs], [b for _, b in pairs], [None] * len(pairs)
+    return [int(cls[forest.find(k)]) for k in range(len(n))], cls.tolist(), share.tolist()
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.select("grp", "block", "cls", "probe", "text").repartition("grp", "block").sortWithinPartitions("grp", "block")
 
 
-def exact_links(groups: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """a, b: links between the classes of each candidate group, decided on full sets, enough for its components.
-    groups: cls, grp, n_shingles, doc_id; texts: doc_id, text."""
+def exact_parts(groups: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """cls, component (one of its classes) of each class of the candidate groups, decided on full sets.
+    groups: cls, grp, n_shingles, doc_id, text_key; texts: doc_id, text_key, text."""
     sizes = groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     placed = groups.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.select("grp", "block", "blocks", "cls", F.col("doc_id").alias("id_of"), F.col("text_key").alias("key_of"))
     # the small side is hashed: texts are shuffled, not sorted
-    held = stored(texts.join(placed.hint("shuffle_hash"), "doc_id").dropDuplicates(["cls"]).select("grp", "block", "blocks", "cls", F.lit(False).alias("probe"), "text"), "group-texts")
-    once = stored(_dealt(held).mapInArrow(_exact_links(threshold, True), "a long, b long"), "exact-links")
-    links = once.where("b is not null")
+    of = (F.col("text_key") == F.col("key_of")) & F.col("doc_id").eqNullSafe(F.col("id_of"))
+    held = stored(texts.join(placed.hint("shuffle_hash"), of).select("grp", "block", "blocks", "cls", F.lit(False).alias("probe"), "text").dropDuplicates(["cls"]), "group-texts")
+    once = stored(_dealt(held).mapInArrow(_exact_links(threshold), LINKS), "block-parts")
     hot = held.where("blocks > 1")
+    whole = once.select(F.col("b").alias("cls"), F.col("a").alias("component"))
     if hot.limit(1).count() == 0:
-        return links
+        return whole
+    parts = hot.select("grp", "cls", "block", "blocks").join(once.select(F.col("b").alias("cls"), F.col("a").alias("part"), "share"), "cls")
+    parts = stored(parts, "hot-parts")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
 
     def against(probes: DataFrame) -> DataFrame:
-        """Links of the probes with all blocks of their group but their own."""
+        """a, b: links of the probes with all blocks of their group but their own."""
         sent = probes.withColumn("own", F.col("block")).withColumn("block", each).where("block <> own").withColumn("probe", F.lit(True))
-        return stored(_dealt(hot.select("grp", "block", "cls", "probe", "text").unionByName(sent.select("grp", "block", "cls", "probe", "text"))).mapInArrow(_exact_links(threshold, False), "a long, b long"), "exact-links")
-
-    central = once.where("b is null").select(F.col("a").alias("cls"))
-    links = links.unionByName(against(hot.join(central, "cls", "left_semi")))
-    parts = hot.select("cls", "grp").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    main = parts.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    apart = parts.join(main, "grp").where("component <> main").select("cls")
-    return links.unionByName(against(hot.join(apart, "cls", "left_semi")))
+        both = hot.select("grp", "block", "cls", "probe", "text").unionByName(sent.select("grp", "block", "cls", "probe", "text"))
+        return stored(_dealt(both).mapInArrow(_exact_links(threshold), LINKS).where("share is null").select("grp", "a", "b"), "exact-links")
+
+    chief = stored(parts.groupBy("grp").agg(F.max_by(F.struct("cls", "part"), F.struct("share", "cls")).alias("chief")).select("grp", "chief.*"), "chiefs")
+    near = against(hot.join(chief.select("cls"), "cls", "left_semi"))
+    # parts of a block that hold the chief or a member linked with it are settled
+    reached = parts.join(near.select(F.col("b").alias("cls")), "cls", "left_semi").select("part").unionByName(chief.select("part")).distinct()
+    apart = parts.join(reached, "part", "left_anti").select("cls")
+    links = near.unionByName(against(hot.join(apart, "cls", "left_semi"))).select("a", "b").unionByName(parts.select(F.col("part").alias("a"), F.col("cls").alias("b")))
+    joined = components(links).withColumnRenamed("node", "cls")
+    return whole.join(parts.select("cls"), "cls", "left_anti").unionByName(joined)
+
+
+def _components(rows: DataFrame, texts: DataFrame, threshold: int, trees: int, small: int, depth: int) -> DataFrame:
+    """cls, component (a class) and least (its smallest doc_id, if any has one) of all classes that are linked with others.
+    rows: of described()."""
+    classes = stored(
+        rows.where("cls is not null").groupBy("cls")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("n_shingles").alias("n_shingles")),
+        "classes",
+    )
+    grouped = components(candidate_links(classes, trees, small, depth)).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    groups = classes.select("cls", "n_shingles", "at.doc_id", "at.text_key").join(grouped, "cls")
+    parts = stored(exact_parts(groups, texts, threshold).join(classes.select("cls", "least"), "cls"), "parts")
+    return classes.select("cls", F.col("least").alias("own")).join(
+        parts.join(parts.groupBy("component").agg(F.min("least").alias("smallest")), "component").select("cls", "component", "smallest"), "cls", "left"
+    ).select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("smallest", "own").alias("least"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = 16, small: int = 128, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = 16, small: int = 8192, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     rows = stored(described(docs, id_col, text_col), "described")
-    classes = stored(
-        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("n_shingles").alias("n_shingles")), "classes"
-    )
-    grouped = components(candidate_links(classes, trees, small, depth)).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    groups = classes.drop("sketch", "brief").join(grouped, "cls")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = components(exact_links(groups, texts, threshold)).withColumnRenamed("node", "cls")
-    least = parts.join(classes.select("cls", "doc_id"), "cls").groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked = parts.join(least, "component").select("cls", "least")
-    of_class = classes.select("cls", F.col("doc_id").alias("own")).join(linked, "cls", "left").select("cls", F.coalesce("least", "own").alias("least"))
+    linked = _components(rows, _texts(docs, id_col, text_col), threshold, trees, small, depth).select("cls", "least")
     component: Column = F.coalesce("least", "doc_id")
-    joined = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    joined = rows.select("doc_id", "n_shingles", "cls").join(linked, "cls", "left")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, threshold: int = 75, trees: int = 16, small: int = 8192, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the first by (doc_id, row), rows without an id last. Rows without shingles stay."""
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "copies-rows")
+    rows = stored(described(keyed, id_col, text_col, ROW), "described")
+    linked = _components(rows, _texts(keyed, id_col, text_col), threshold, trees, small, depth).select("cls", "component")
+    of = rows.where("cls is not null").select("cls", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("place"))
+    first = of.groupBy("cls").agg(F.min("place").alias("place")).join(linked, "cls").groupBy("component").agg(F.min("place").alias("place"))
+    kept = first.select(F.col("place.row").alias(ROW)).unionByName(rows.where("cls is null").select(F.col("row").alias(ROW)))
+    return keyed.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
