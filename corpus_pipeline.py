@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), with docs the Parquet that the stage before wrote, and decides on all of it. All
 but the last return the columns of documents (n_chars is that of the new text). Nothing else removes rows: a document
-whose lines all repeat earlier ones stays with an empty text. Of rows that repeat an id, all stay or all go.
+whose lines all repeat earlier ones stays with an empty text. Rows are told apart by themselves, whether ids are null or repeat.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return near_duplicates.without_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
