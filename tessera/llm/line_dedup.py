@@ -14,9 +14,9 @@ dense bytes; the number of parts follows from the number of prefix rows, which b
 frequent in the corpus are dealt by bands of set sizes besides: sets that match lie in the same band or in neighbouring ones.
 Within a token, sets sorted by size meet those of the sizes that can match.
 
-One earlier match is enough. So a set first meets the FIRST candidates before it of each of its prefix tokens, the closest of
-all tokens first; only sets that may have more and found no match meet all the others. In a group of thousands of near
-copies nearly all are settled at once.
+One earlier match is enough. So a set first meets the FIRST candidates before it of each of its prefix tokens; only sets that
+may have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
+Candidates are compared by SIGNATURE parities before whole sets are, and of what is left the closest candidate comes first.
 
 Lines without words always stay, as do those with fewer than `least` distinct words; `op4_line_dedup` and the pipeline ask for
 one word. A set too small to match any but an equal one needs no prefix: copies are found by the sets' hashes. Null texts stay
@@ -39,7 +39,9 @@ from tessera.llm.shared import Words, column, mixed, stored, text_bytes
 BITS = 22
 SEGMENT = 1 << 16
 #: Candidates of a token that are tried at first.
-FIRST = 4
+FIRST = 16
+#: Parities that candidates are compared by before their sets are.
+SIGNATURE = 512
 #: Bits of the tables that tell which sets, rows or lines are wanted: exact tests follow.
 WANTED_BITS = 24
 #: Names a row of the stored table.
@@ -412,8 +414,15 @@ def _spot(row: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mixed(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) >> np.uint64(8)).view(np.int64)
 
 
+def _signatures(s: LineSets) -> list[bytes]:
+    """Of each set, for SIGNATURE classes of token hashes, whether it has an odd number of them."""
+    cell = np.repeat(np.arange(len(s.n)) * SIGNATURE, s.n) + ((s.tokens >> np.uint64(6)) & np.uint64(SIGNATURE - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(s.n) * SIGNATURE) & 1).astype(np.uint8).reshape(-1, SIGNATURE)
+    return [x.tobytes() for x in np.packbits(odd, axis=1)]
+
+
 def _wanted_sets(rows, spots, text_col: str):
-    """cls and sorted token hashes (6 bytes each) of the lines that are asked for by tables of their rows and places."""
+    """cls, size, signature and sorted token hashes (6 bytes each) of the lines that are asked for by tables of their rows and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -435,7 +444,7 @@ def _wanted_sets(rows, spots, text_col: str):
                     s = LineSets(texts, None)
                     packed = np.ascontiguousarray(s.tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                     lists = [packed[6 * a : 6 * (a + n)] for a, n in zip(s.at.tolist(), s.n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.classes()), pa.array(lists, pa.binary())], names=["cls", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.classes()), pa.array(s.n, pa.int32()), pa.array(_signatures(s), pa.binary()), pa.array(lists, pa.binary())], names=["cls", "n", "sig", "tokens"])
 
     return run
 
@@ -448,6 +457,29 @@ def _wide(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), np.array(pa.compute.binary_length(lists).to_numpy(zero_copy_only=False), np.int64) // 6
 
 
+def _near(threshold: int):
+    """The pairs whose signatures allow that they match, and in how many parities these differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                t, u = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("t", "u"))
+                apart = np.bitwise_count(t ^ u).sum(1, dtype=np.int64)
+                both = column(b, "n").to_numpy().astype(np.int64) + column(b, "m").to_numpy()
+                keep = pa.array((100 + threshold) * apart <= (100 - threshold) * both)
+                yield pa.RecordBatch.from_arrays([column(b, "later"), column(b, "earlier"), pa.array(apart)], names=["later", "earlier", "apart"]).filter(keep)
+
+    return run
+
+
+def _asked(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_has(wanted.value, column(b, "cls").to_numpy())))
+
+    return run
+
+
 def _confirmed(threshold: int):
     """cls of the later sets of the pairs whose whole sets are as close as that."""
 
@@ -482,30 +514,42 @@ def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str =
         blocks = docs.mapInArrow(_prefix_blocks(ranks, threshold, least, id_col, text_col, parts, tokens), "part int, blob binary")
         return stored(blocks.repartitionById(parts, F.col("part")).mapInArrow(_token_pairs(threshold, probes), PAIR_ROWS), "line-pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct()
-        places = stored(firsts.select("cls", "first.row", "first.line").join(wanted, "cls", "left_semi").mapInArrow(_places, "cls long, row long, spot long"), "wanted")
-        tables = [spark.sparkContext.broadcast(_bit_table(places.select(F.col(c).alias("cls")))) for c in ("row", "spot")]
-        return stored(docs.mapInArrow(_wanted_sets(*tables, text_col), "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
-
-    def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """cls of the later sets that one of their pairs confirms."""
-        both = pairs.select("later", "earlier").join(sets.select(F.col("cls").alias("earlier"), F.col("tokens").alias("t")), "earlier").join(sets.select(F.col("cls").alias("later"), F.col("tokens").alias("u")), "later")
-        return stored(both.select("later", "t", "u").mapInArrow(_confirmed(threshold), "cls long").distinct(), "later-sets")
+    def table(cls: DataFrame):
+        return spark.sparkContext.broadcast(_bit_table(cls))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("later", "earlier")).alias("cls"))
+
+    def both(pairs: DataFrame, sets: DataFrame, **of: tuple[str, str]) -> DataFrame:
+        """The pairs with columns of the earlier set and of the later one."""
+        for k, end in enumerate(("earlier", "later")):
+            pairs = pairs.join(sets.select(F.col("cls").alias(end), *[F.col(c).alias(names[k]) for c, names in of.items()]), end)
+        return pairs
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        asked = sets.select("cls", "tokens").mapInArrow(_asked(table(ends(pairs))), "cls long, tokens binary")
+        return stored(both(pairs.select("later", "earlier"), asked, tokens=("t", "u")).select("later", "t", "u").mapInArrow(_confirmed(threshold), "cls long").distinct(), "later-sets")
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """cls of the later sets that one of their pairs confirms. pairs: later, earlier."""
+        pairs = stored(pairs.distinct(), "line-pairs")
+        places = stored(firsts.select("cls", "first.row", "first.line").join(ends(pairs).distinct(), "cls", "left_semi").mapInArrow(_places, "cls long, row long, spot long"), "wanted")
+        rows, spots = (table(places.select(F.col(c).alias("cls"))) for c in ("row", "spot"))
+        sets = stored(docs.mapInArrow(_wanted_sets(rows, spots, text_col), "cls long, n int, sig binary, tokens binary"), "sets")
+        near = both(pairs, sets, n=("n", "m"), sig=("t", "u")).mapInArrow(_near(threshold), "later long, earlier long, apart long")
+        near = stored(near, "near-pairs")
+        best = stored(near.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")), "best-pairs")
+        later = confirmed(best, sets)
+        others = stored(near.join(later.withColumnRenamed("cls", "later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti"), "other-pairs")
+        return later.unionByName(confirmed(others, sets)) if others.limit(1).count() else later
 
     found = candidates()
-    pairs = stored(found.where("earlier is not null").groupBy("later", "earlier").agg(F.min("apart").alias("apart")), "line-pairs")
-    sets = sets_of(pairs)
-    best = stored(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")), "best-pairs")
-    later = matched(best, sets)
-    others = pairs.join(later.withColumnRenamed("cls", "later"), "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
-    later = later.unionByName(matched(others, sets))
+    later = matched(found.where("earlier is not null").select("later", "earlier"))
     unsettled = stored(found.where("earlier is null").select(F.col("later").alias("cls"), "token").join(later, "cls", "left_anti"), "unsettled")
     if unsettled.limit(1).count():
         # only the tokens at which these sets have more are read again; what shares a bit with them does no harm
-        probes, tokens = (spark.sparkContext.broadcast(_bit_table(unsettled.select(F.col(c).cast("long").alias("cls")))) for c in ("cls", "token"))
-        more = stored(candidates(probes, tokens).select("later", "earlier").distinct(), "line-pairs")
-        later = later.unionByName(matched(more, sets_of(more)))
+        probes, tokens = (table(unsettled.select(F.col(c).cast("long").alias("cls"))) for c in ("cls", "token"))
+        later = later.unionByName(matched(candidates(probes, tokens).select("later", "earlier")))
     later = later.distinct().withColumn("later", F.lit(True))
     losing = firsts.join(later, "cls", "left").where((F.col("copies") > 1) | F.col("later"))
     losing = losing.select("cls", F.explode("salts").alias("salt"), "first", F.coalesce("later", F.lit(False)).alias("later"))
