@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,15 +34,36 @@ def hash_order(seed: str, key: str | Column) -> Column:
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "ord", start: int = 0) -> DataFrame:
     """A running number over the whole table without one task seeing every row.
 
-    Rows are dealt out by ranges of the order; each range is numbered by itself and moved by the sizes of those before.
+    Rows are dealt out by ranges of the order and laid out once as files, each row with its range and place; each range is
+    then moved by the sizes of those before. (Two runs of a range exchange need not cut at the same rows.)
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"_k{i}" for i in range(len(order))]
     parts = df.select("*", *[c.alias(k) for c, k in zip(cols(order), keys, strict=True)])
-    dealt = parts.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    dealt = laid_out(parts.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = sizes.select("_part", "_from", before.alias("_before"))
-    return dealt.join(places, "_part").withColumn(name, (F.col("_at") - F.col("_from") + F.col("_before") + start).cast("long")).drop("_part", "_at", "_from", "_before", *keys)
+    # a row a range, whose number is that of the shuffle's partitions
+    return dealt.join(F.broadcast(places), "_part").withColumn(name, (F.col("_at") - F.col("_from") + F.col("_before") + start).cast("long")).drop("_part", "_at", "_from", "_before")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset on one machine (tests), a new temporary folder."""
+    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not kept:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        kept = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.sparkContext.setCheckpointDir(kept)
+    return kept.rstrip("/")
+
+
+def laid_out(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again, so that all that follows sees the same rows in the same places."""
+    path = f"{shared_folder(df.sparkSession)}/tables/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def r6(c: Column) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.common import hash_order, numbered, row_number, top_k
 
+#: Rows that a limit may gather in one partition.
+LIMIT_ROWS = 10_000
+
 
 def running_ids(df: DataFrame, prefix: Column, by: Sequence[str], order: Sequence[str], cap: int | None = None, literal_cap: bool = False) -> DataFrame:
     """item_id: the prefix and a six-digit number that runs from 0 in each group. literal_cap keeps one row beyond the cap."""
@@ -75,9 +78,11 @@ def keep_first(df: DataFrame, key: Sequence[str | Column], order: Sequence[str],
 
 def stratified_split(df: DataFrame, by: str, key: str, ratio: float, seed: str) -> DataFrame:
     """split: floor(n * ratio) rows of each stratum are val, by a repeatable random order; the rest is train."""
-    n = F.count("*").over(Window.partitionBy(by))
-    rank = row_number([by], [hash_order(seed, key), key])
-    return df.withColumn("split", F.when(rank <= F.floor(n * ratio), "val").otherwise("train"))
+    # strata may be few and large: ranks follow from running numbers over the whole table, not from a window a stratum
+    ranked = numbered(df, [by, hash_order(seed, key), key], "_ord")
+    strata = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_ord").alias("_first"), F.count("*").alias("_n"))
+    of = ranked.join(strata, F.col(by).eqNullSafe(F.col("_by")))
+    return of.withColumn("split", F.when(F.col("_ord") - F.col("_first") < F.floor(F.col("_n") * ratio), "val").otherwise("train")).drop("_ord", "_by", "_first", "_n")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -87,8 +92,12 @@ def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 def head_fraction(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """The first floor(n * fraction) rows by key."""
-    n = int(df.count() * fraction)
-    return df.orderBy(key).limit(n)
+    return first_rows(df, key, int(df.count() * fraction))
+
+
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows by key. A limit gathers its rows in one partition, so many are told by their running numbers."""
+    return df.orderBy(key).limit(n) if n <= LIMIT_ROWS else numbered(df, [key], "_ord").where(F.col("_ord") < n).drop("_ord")
 
 
 def k_per_class(df: DataFrame, by: str, key: str, k: int, seed: str) -> DataFrame:
@@ -131,7 +140,7 @@ def top_up(have: DataFrame, more: DataFrame, key: str, target: int, literal: boo
     that is only checked afterwards does."""
     missing = target - have.count()
     n = max(1, missing + 1) if literal else max(0, missing)
-    return have.unionByName(more.orderBy(key).limit(n))
+    return have.unionByName(first_rows(more, key, n))
 
 
 def unfinished(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -10,9 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.common import laid_out, numbered
+
+#: Numbers of a codebook that are sent to the executors at once: 64 MB.
+BOOK_NUMBERS = 8_000_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -92,19 +98,55 @@ def positions(df: DataFrame, vector: str, *keep: str) -> DataFrame:
 
 def centroids(df: DataFrame, by: str, vector: str, unit: bool = True) -> DataFrame:
     """Mean of the (unit) vectors of each group, made a unit vector again."""
-    v = F.transform(vector, lambda x: x / norm(F.col(vector))) if unit else F.col(vector)
-    means = positions(df.select(by, v.alias("v")), "v", by).groupBy(by, "pos").agg(F.avg("value").alias("value"))
-    out = means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))
-    return out.withColumn("centroid", F.transform("centroid", lambda x: x / norm(F.col("centroid")))) if unit else out
+    # the norm is a column below the generator, so it is computed once a row
+    long = positions(df.select(by, F.col(vector).alias("v"), (norm(F.col(vector)) if unit else F.lit(1.0)).alias("size")), "v", by, "size")
+    means = long.groupBy(by, "pos").agg(F.avg(F.col("value") / F.col("size")).alias("value"))
+    if unit:
+        sizes = means.groupBy(by).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+        means = means.join(sizes, by).select(by, "pos", (F.col("value") / F.col("size")).alias("value"))
+    return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))
 
 
 def assigned(df: DataFrame, book: DataFrame, code: str, vector: str) -> DataFrame:
-    """df with the code whose centroid has the largest cosine (the smallest code of equals). The codebook's size is that of
-    its codes, and it is sent to all rows as one array."""
-    codes = book.agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("code"), F.col("centroid").alias("c")))).alias("book"))
-    scored = F.transform("book", lambda s: F.struct(F.round(cosine(F.col(vector), s["c"]), 9).alias("score"), (-s["code"]).alias("neg")))
-    best = F.array_max(scored)
-    return df.join(F.broadcast(codes)).withColumn("best", best).withColumns({"code": -F.col("best.neg"), "score": F.col("best.score")}).drop("book", "best")
+    """df with the code whose centroid has the largest cosine (the smallest code of equals); null vectors get none.
+
+    Rows meet the codebook in one matrix product a batch. It is sent to the executors in parts of at most BOOK_NUMBERS
+    numbers, so a codebook of any size takes bounded memory and no shuffle of the rows.
+    """
+    width = book.select(F.max(F.size("centroid"))).first()[0]
+    total = book.count()
+    per = max(1, BOOK_NUMBERS // max(width or 1, 1))
+    rows = laid_out(numbered(book.select(F.col(code).cast("long").alias("code"), "centroid"), ["code"], "place")) if total > per else book.select(F.col(code).cast("long").alias("code"), "centroid", F.lit(0).cast("long").alias("place"))
+    out = df.withColumns({"code": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})
+    for at in range(0, max(total, 1), per):
+        part = rows.where((F.col("place") >= at) & (F.col("place") < at + per)).select("code", "centroid").orderBy("code").collect()  # at most `per` codes
+        if part:
+            sent = df.sparkSession.sparkContext.broadcast((np.array([r["code"] for r in part], np.int64), np.array([r["centroid"] for r in part], float)))
+            out = out.mapInArrow(_nearest_code(sent, vector), out.schema)
+    return out
+
+
+def _nearest_code(sent, vector: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, book = sent.value
+        unit = book / np.sqrt((book**2).sum(1))[:, None]
+        for b in batches:
+            names = b.schema.names
+            col, had, was = (b.column(names.index(c)) for c in (vector, "code", "score"))
+            some = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+            new_code, new_score = had.to_pylist(), was.to_pylist()
+            if len(some):
+                x = col.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1)
+                scores = np.round(x @ unit.T / np.sqrt((x**2).sum(1))[:, None], 9)
+                best = scores.argmax(1)
+                for k, c, s in zip(some.tolist(), codes[best].tolist(), scores[np.arange(len(some)), best].tolist(), strict=True):
+                    if new_score[k] is None or s > new_score[k]:
+                        new_code[k], new_score[k] = c, s
+            cols = list(b.columns)
+            cols[names.index("code")], cols[names.index("score")] = pa.array(new_code, pa.int64()), pa.array(new_score, pa.float64())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
+from tessera.operators.common import laid_out, numbered
 from tessera.plans.registry import query, table
 
+_FRAME_BLOCK = 65_536
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _L2 = "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
@@ -41,7 +43,7 @@ FROM b LEFT JOIN best USING (code) GROUP BY 1"""
 )
 def nn_codebook(spark, d):
     v = _vectors(spark, d)
-    book = V.centroids(v, "label", "embedding").withColumnRenamed("label", "code")
+    book = laid_out(V.centroids(v, "label", "embedding").withColumnRenamed("label", "code"))
     near = V.assigned(v, book, "code", "embedding").groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
     totals = near.agg(F.sum("n").alias("total"))
     codes = book.select("code").join(near, "code", "left").join(F.broadcast(totals))
@@ -122,9 +124,14 @@ SELECT s.vec_id, l.code, l.n, r.used, round(greatest(log10(greatest(sqrt(n2) / l
 )
 def code_usage(spark, d):
     """Distinct codes among the last 64 vectors, and the log10 magnitude floored at -10."""
-    w = Window.partitionBy(F.lit(0)).orderBy("vec_id").rowsBetween(-63, 0)
     v = _vectors(spark, d)
-    n = F.count("*").over(Window.partitionBy("label"))
-    m = V.norm(F.col("embedding")) / n
-    used = F.size(F.array_distinct(F.collect_list("label").over(w))).cast("long")
-    return v.select("vec_id", F.col("label").alias("code"), n.alias("n"), used.alias("used"), F.round(F.when(m > 1e-9, F.log10(m)).otherwise(-10.0), 6).alias("magnitude"))
+    # blocks of running numbers, each with the 63 rows before it
+    rows = numbered(v.select("vec_id", "label", V.norm(F.col("embedding")).alias("size")), ["vec_id"])
+    own = F.floor(F.col("ord") / _FRAME_BLOCK)
+    carried = F.when(F.col("ord") % _FRAME_BLOCK >= _FRAME_BLOCK - 63, F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy("block").orderBy("ord").rowsBetween(-63, 0)
+    framed = rows.withColumn("block", F.explode(carried)).withColumn("used", F.size(F.array_distinct(F.collect_list("label").over(w))).cast("long"))
+    framed = framed.where(F.col("block") == own)
+    counts = v.groupBy("label").agg(F.count("*").alias("n"))
+    m = F.col("size") / F.col("n")
+    return framed.join(counts, "label").select("vec_id", F.col("label").alias("code"), "n", "used", F.round(F.when(m > 1e-9, F.log10(m)).otherwise(-10.0), 6).alias("magnitude"))
