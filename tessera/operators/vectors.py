@@ -113,8 +113,7 @@ def assigned(df: DataFrame, book: DataFrame, code: str, vector: str) -> DataFram
     Rows meet the codebook in one matrix product a batch. It is sent to the executors in parts of at most BOOK_NUMBERS
     numbers, so a codebook of any size takes bounded memory and no shuffle of the rows.
     """
-    width = book.select(F.max(F.size("centroid"))).first()[0]
-    total = book.count()
+    width, total = book.select(F.max(F.size("centroid")), F.count("*")).first()
     per = max(1, BOOK_NUMBERS // max(width or 1, 1))
     rows = laid_out(numbered(book.select(F.col(code).cast("long").alias("code"), "centroid"), ["code"], "place")) if total > per else book.select(F.col(code).cast("long").alias("code"), "centroid", F.lit(0).cast("long").alias("place"))
     out = df.withColumns({"code": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})

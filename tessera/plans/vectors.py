@@ -45,11 +45,10 @@ def nn_codebook(spark, d):
     v = _vectors(spark, d)
     book = laid_out(V.centroids(v, "label", "embedding").withColumnRenamed("label", "code"))
     near = V.assigned(v, book, "code", "embedding").groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
-    totals = near.agg(F.sum("n").alias("total"))
-    codes = book.select("code").join(near, "code", "left").join(F.broadcast(totals))
-    size = book.agg(F.count("*").alias("size"))
+    every = Window.partitionBy(F.lit(0))  # a row a code
+    codes = book.select("code").join(near, "code", "left").withColumns({"total": F.sum("n").over(every), "size": F.count("*").over(every)})
     share = F.coalesce("n", F.lit(0)) / F.col("total")
-    return codes.join(F.broadcast(size)).select("code", F.coalesce("n", F.lit(0)).alias("n"), F.round(share, 6).alias("share"), (share > 0.01 / F.col("size")).alias("used"), "score")
+    return codes.select("code", F.coalesce("n", F.lit(0)).alias("n"), F.round(share, 6).alias("share"), (share > 0.01 / F.col("size")).alias("used"), "score")
 
 
 _RADII = f"""WITH d AS (SELECT a.vec_id AS id, {_L2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_L2}, b.vec_id) AS r
