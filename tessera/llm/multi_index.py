@@ -7,7 +7,8 @@ precision.
 
 Codebooks are fitted on a sample of at most SAMPLE vectors (by a hash of the id); every vector is indexed. Cells are
 dealt into buckets of about `bucket_rows` vectors, and a cell that holds more is split over several, so a cell with a
-third of all vectors is shared out. Queries go to the buckets that hold their cells in blocks of `query_block`.
+third of all vectors is shared out. Vectors are shuffled once, queries go to the buckets that hold their cells, and a task
+holds the vectors of one bucket while the bucket's queries pass by in batches.
 
 Vectors that are null, of another length than most, zero, or hold null or non-finite components take no part. Rows that
 repeat an id count as one. Ties go to the smaller id; a query with fewer than k other vectors gets all of them.
@@ -19,7 +20,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import column, stored
 
 SAMPLE = 16_384
+#: Queries whose cells one task looks up.
+ROUTED = 128
 
 
 def usable(col: str) -> Column:
@@ -80,7 +82,6 @@ def search(
     cells: int = 64,
     visit: float = 0.55,
     bucket_rows: int = 8192,
-    query_block: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -129,7 +130,7 @@ def search(
         else:
             room -= counts[c]
     queries = index.where("q")
-    blocks = -(-max(1, queries.count()) // query_block)
+    routes = max(1, -(-queries.count() // ROUTED))
     placed = spark.sparkContext.broadcast((counts, first, parts))
     want = max(k + 1, int(np.ceil(visit * total)))
 
@@ -162,22 +163,53 @@ def search(
                     names=names,
                 )
 
-    def rerank(_key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        rows = rows.sort_values("cell", kind="stable")
-        x, ids, cell = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
-        u = _unit(x)
-        keys, at, n = np.unique(cell, return_index=True, return_counts=True)
-        place = {int(c): (int(a), int(a + m)) for c, a, m in zip(keys, at, n, strict=True)}
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by bucket, its vectors before its queries."""
+        at, held, index_of = None, [], None
+        for b in batches:
+            bucket = column(b, "bucket").to_numpy()
+            asks = column(b, "asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (asks[1:] != asks[:-1])]))
+            for s, e in zip(cuts.tolist(), np.append(cuts[1:], b.num_rows).tolist(), strict=True):
+                part = b.slice(s, e - s)
+                if bucket[s] != at:
+                    at, held, index_of = bucket[s], [], None
+                if not asks[s]:
+                    held.append(part)
+                elif held:
+                    index_of = index_of or _Bucket(held)
+                    yield index_of.nearest(part, k)
+
+    rows = index.select("vec_id", "v", "cell").mapInArrow(place, "vec_id long, v array<double>, cell long, bucket long")
+    rows = rows.select("bucket", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v", "cell", F.lit(None).cast("array<long>").alias("visits"))
+    asked = queries.select("vec_id", "v").repartition(routes, F.xxhash64("vec_id")).mapInArrow(route, "query_id long, qv array<double>, bucket long, visits array<long>")
+    asked = asked.select("bucket", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("qv").alias("v"), F.lit(None).cast("long").alias("cell"), "visits")
+    met = rows.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "asks")
+    near = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class _Bucket:
+    """The vectors of a bucket by cell."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        cell = rows.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.u = _unit(np.concatenate([_matrix(column(p, "v")) for p in parts])[order])
+        self.ids = rows.column("id").to_numpy()[order]
+        keys, at, n = np.unique(cell[order], return_index=True, return_counts=True)
+        self.place = {int(c): (int(a), int(a + m)) for c, a, m in zip(keys, at, n, strict=True)}
+
+    def nearest(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
         out = []
-        for qid, q, visits in zip(asked["query_id"], asked["qv"], asked["visits"], strict=True):
-            spans = [place[c] for c in visits if c in place]
+        for qid, q, visits in zip(column(asked, "id").to_pylist(), _unit(_matrix(column(asked, "v"))), column(asked, "visits").to_pylist(), strict=True):
+            spans = [self.place[c] for c in visits if c in self.place]
             if not spans:
                 continue
             take = np.concatenate([np.arange(a, e) for a, e in spans])
-            score = np.einsum("nd,d->n", u[take], _unit(np.asarray(q)[None, :])[0])
-            own = ids[take]
+            score, own = np.einsum("nd,d->n", self.u[take], q), self.ids[take]
             keep = own != qid
             score, own = score[keep], own[keep]
             if len(score) > 64:  # all that tie with the k-th stay
@@ -186,12 +218,4 @@ def search(
             best = np.lexsort((own, -score))[:k]
             out.append((np.full(len(best), qid), own[best], score[best]))
         q, o, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        return pd.DataFrame({"query_id": q, "vec_id": o, "score": s})
-
-    rows = index.select("vec_id", "v", "cell").mapInArrow(place, "vec_id long, v array<double>, cell long, bucket long")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select("vec_id", "v").repartition(F.xxhash64("vec_id")).mapInArrow(route, "query_id long, qv array<double>, bucket long, visits array<long>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    near = rows.groupBy("bucket", "block").cogroup(asked.groupBy("bucket", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
