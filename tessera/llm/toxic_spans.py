@@ -7,8 +7,8 @@ accepted one after another, each the one that explains most toxic documents of t
 of the token, and the transitions) is trained on these token labels. Forward-backward marginals give the offending
 offsets, and the document's score is a logistic function of the (weighted) expected number of toxic tokens.
 
-The field is fitted on a bounded sample of labelled rows (SAMPLE of the labels 0 and 1 by a hash of the id, of at most
-SAMPLE_BYTES bytes each); every document is scored whole. Null and empty texts have no tokens and get the base score.
+The field is fitted on a bounded sample of labelled rows (SAMPLE of the labels 0 and 1 by a hash of the id), whole texts of
+any length; every document is scored whole. Null and empty texts have no tokens and get the base score.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import column, mixed, runs, span_hashes, text_bytes
 
-SAMPLE, SAMPLE_BYTES = (2500, 1000), 20_000
+SAMPLE = (2500, 1000)
 FREQUENT = 2000
 #: Added to the expected number before its logarithm is taken: less than this many toxic tokens are none.
 FLOOR = 0.02
@@ -255,11 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     text = F.col(text_col)
     marks = labels.select(F.col("doc_id").alias(id_col), F.col("toxic").cast("int").alias("_toxic")).where(F.col(id_col).isNotNull() & F.col("_toxic").isin(0, 1)).groupBy(id_col).agg(F.max("_toxic").alias("_toxic"))
     # ids and labels are joined without texts; then the sample's texts are fetched by its at most sum(SAMPLE) ids
-    rows = docs.where(training & text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(id_col).join(marks, id_col)
+    rows = docs.where(training & text.isNotNull()).select(id_col).join(marks, id_col)
     hashed = rows.select(F.xxhash64(id_col).alias("h"), id_col, "_toxic")
     picked = [r for toxic in (0, 1) for r in hashed.where(F.col("_toxic") == toxic).orderBy("h", id_col).limit(SAMPLE[toxic]).select(id_col, "_toxic").collect()]
     ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], f"{id_col} long, _toxic int").dropDuplicates([id_col])
-    got = [(r[text_col], r["_toxic"]) for r in docs.select(id_col, text_col).join(F.broadcast(ids), id_col).where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).orderBy(id_col, text_col).select(text_col, "_toxic").collect()]
+    got = [(r[text_col], r["_toxic"]) for r in docs.select(id_col, text_col).join(F.broadcast(ids), id_col).where(text.isNotNull()).orderBy(id_col, text_col).select(text_col, "_toxic").collect()]
     got = list(dict.fromkeys(got))  # copies teach nothing
     y = np.array([t for _, t in got], bool)
     t = Tokens(pa.array([x for x, _ in got], pa.string()))
