@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Fixed patterns find emails, addresses, cards and phones; these spans stay as they are and are the seeds. Lexical patterns
-are the one or two words that stand before an entity. Identifier-shaped strings that the fixed patterns do not accept
+are the one or two words that stand before an entity, and the word before together with the word behind. Identifier-shaped strings that the fixed patterns do not accept
 (numbers with separators, words with an at sign or its spelled form) are instances yet unknown. Patterns and instances
 form a bipartite graph which Spark scores in rounds: a pattern's confidence for a kind is the smoothed mean of its
 distinct instances' belief in it, an instance's belief is that of its best pattern. A pattern counts once it has `support`
@@ -18,6 +18,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import column, stored
 
+#: Names a row of the stored table.
+ROW = "__row"
 KINDS = ("email", "ip", "card", "phone")
 # Emails are found from their at signs, so that long words are not scanned again from each of their letters.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -34,9 +37,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What might be an identifier: a number with separators, or a word with an at sign or its spelled form.
-UNKNOWN_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){5,24}")
+UNKNOWN_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){5,}")
 UNKNOWN_AT = re.compile(r"@|\(at\)|\[at\]")
-UNKNOWN_TAIL = re.compile(r"[A-Za-z0-9.-]{0,252}[A-Za-z0-9]")
+UNKNOWN_TAIL = re.compile(r"[A-Za-z0-9.-]*[A-Za-z0-9]")
 BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = re.compile(r"^\W+|[^\w]+$")
 
@@ -79,28 +82,55 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 _HAS_DIGIT = re.compile("[0-9]")
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The word before, and the two words before, in lower case without outer punctuation; what stands on the same line."""
-    head = text[max(text.rfind("\n", 0, start) + 1, start - 80) : start]
-    words = [w for w in (_TRIM.sub("", x).lower() for x in BEFORE.findall(head)) if w][-2:]
-    return [" ".join(words[-n:]) for n in range(1, len(words) + 1)]
+def _words(part: str) -> list[str]:
+    return [w for w in (_TRIM.sub("", x).lower() for x in BEFORE.findall(part)) if w]
+
+
+def _beside(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """Up to two words before and one behind, in lower case without outer punctuation; what stands on the same line.
+
+    Windows grow until they hold the words whole, however far away these are."""
+    line, size = text.rfind("\n", 0, start) + 1, 64
+    while True:
+        at = max(line, start - size)
+        before = _words(text[at:start])
+        if at == line or len(before) > 2:  # the first of three may be cut
+            break
+        size *= 4
+    stop, size = text.find("\n", end), 64
+    stop = len(text) if stop < 0 else stop
+    while True:
+        at = min(stop, end + size)
+        behind = _words(text[end:at])
+        if at == stop or len(behind) > 1:
+            break
+        size *= 4
+    return before[-2:], behind[:1]
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The word before, the two words before, and the word before with the one behind."""
+    before, behind = _beside(text, start, end)
+    return [" ".join(before[-n:]) for n in range(1, len(before) + 1)] + [f"{before[-1]} _ {w}" for w in behind if before]
 
 
 def unknowns(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, the kinds that the shape allows, contexts) of identifier-shaped strings that overlap no fixed span."""
     out = []
     found = [(*m.span(), False) for m in UNKNOWN_NUMBER.finditer(text)] if _HAS_DIGIT.search(text) else []
+    free = 0
     for m in UNKNOWN_AT.finditer(text):
-        head = text[max(0, m.start() - 64) : m.start()]
+        head = text[free : m.start()]  # what stands before a sign is no part of the next one's word
+        free = m.end()
         tail = UNKNOWN_TAIL.match(text, m.end())
         if tail and (own := len(head) - len(head.rstrip(LOCAL))):
             found.append((m.start() - own, tail.end(), True))
-    spans = [(s, e) for s, _, e in taken]
-    starts = [s for s, _ in spans]
+    starts = [s for s, _, _ in taken]
+    reach = list(accumulate((e for _, _, e in taken), max))  # how far the spans up to each reach
     last = -1
     for s, e, word in sorted(found):
-        near = bisect_left(starts, s)
-        if s < last or any(s < b and a < e for a, b in spans[max(0, near - 4) : near + 4]):
+        near = bisect_left(starts, e)
+        if s < last or (near and reach[near - 1] > s):
             continue
         digits = len(_digits(text[s:e]))
         if word:
@@ -108,7 +138,7 @@ def unknowns(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, in
         else:
             allowed = ",".join(k for k, ok in (("ip", text[s:e].count(".") == 3), ("card", 12 <= digits <= 19), ("phone", 7 <= digits <= 15)) if ok)
         if allowed:
-            out.append((s, e, allowed, contexts(text, s)))
+            out.append((s, e, allowed, contexts(text, s, e)))
             last = e
     return out
 
@@ -122,8 +152,8 @@ _EDGE = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind",
 _SCAN = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, edges array<struct<pattern:string,instance:string,kind:int,start:long,end:long,allowed:string>>"
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row its fixed spans, and an edge for each context of each seed (its kind) and each unknown (kind -1)."""
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Per row (numbered, or by a column that numbers it) its fixed spans, and an edge for each context of each seed (its kind) and each unknown (kind -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +163,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 spans = fixed_spans(text)
                 edges = []
                 for s, k, e in spans:
-                    edges += [(p, text[s:e], k, s, e, "") for p in contexts(text, s)]
+                    edges += [(p, text[s:e], k, s, e, "") for p in contexts(text, s, e)]
                 for s, e, allowed, pats in unknowns(text, spans):
                     edges += [(p, text[s:e], -1, s, e, allowed) for p in pats]
                 n = [sum(k == j for _, k, _ in spans) for j in range(4)]
@@ -143,7 +173,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             names = ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "edges"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.monotonically_increasing_id().alias("row"), text_col).mapInArrow(run, _SCAN)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), text_col).mapInArrow(run, _SCAN)
 
 
 def confident_patterns(edges: DataFrame, support: int = 5, confidence: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
@@ -202,10 +232,12 @@ def found(docs: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFra
 
 
 def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all rows and columns, with each span in its text replaced by its kind. Rows that repeat an id share added spans."""
-    scan = stored(scanned(docs, id_col, text_col), "private-scan")
-    more = scan.select("row", "doc_id").join(_added(scan, support, confidence), "row").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("__more"))
-    joined = docs.join(more.withColumnRenamed("doc_id", "__span_id").hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__span_id"), "left")
+    """docs, all rows and columns, with each span in its text replaced by its kind. Rows are told apart by a number, whether ids
+    are null or repeat."""
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "private-rows")
+    scan = stored(scanned(keyed, id_col, text_col, ROW), "private-scan")
+    more = _added(scan, support, confidence).select(F.col("row").alias(ROW), F.col("more").alias("__more"))
+    joined = keyed.join(more.hint("shuffle_hash"), ROW, "left")
     names = list(docs.columns)
     at = names.index(text_col)
 
@@ -214,14 +246,14 @@ def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.
             out = []
             for text, extra in zip((x.as_py() for x in b.column(at)), column(b, "__more").to_pylist(), strict=True):
                 if text:
-                    spans = fixed_spans(text) + [(x["start"], x["kind"], x["end"]) for x in extra or () if x["end"] <= len(text)]
+                    spans = fixed_spans(text) + [(x["start"], x["kind"], x["end"]) for x in extra or ()]
                     text = redacted(text, spans) if spans else text
                 out.append(text)
             cols = list(b.columns[: len(names)])
             cols[at] = pa.array(out, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*[docs[c] for c in names], "__more").mapInArrow(run, docs.schema)
+    return joined.select(*[keyed[c] for c in names], "__more").mapInArrow(run, docs.schema)
 
 
 def spans_text(spans: Column | str) -> Column:
