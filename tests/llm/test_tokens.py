@@ -135,3 +135,78 @@ def test_packed_documents(spark, docs, edges):
     for s in filled.values():
         assert sorted(s)[0][0] == 0 and sum(n for _, n in s) <= 512
     assert packing.packed(docs([]), P.path("word_bpe_49k.json")).count() == 0
+
+
+def model_of(tmp_path, charsmap=b"", rules=None, squeeze=False, dummy=True):
+    """A model of merges with a compiled character map, as a file."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 2, True
+    m.normalizer_spec.name = "user_defined" if charsmap else "identity"
+    m.normalizer_spec.precompiled_charsmap = charsmap
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = dummy, squeeze, True
+    for piece, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3)] + [(f"<0x{k:02X}>", 6) for k in range(256)]:
+        m.pieces.add(piece=piece, score=0, type=kind)
+    for k, piece in enumerate(["▁a", "ab", "▁ab", "abc", "bc", "ss", "s", "▁▁", "X", "Xa", "a", "b", "c", "▁", "é", "▁Xab"]):
+        m.pieces.add(piece=piece, score=-k, type=1)
+    path = f"{tmp_path}/m.model"
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    return path
+
+
+def double_array(rules):
+    """A compiled map: a double-array trie of the keys, then the replacements, each ended by a zero byte."""
+    trie = {}
+    texts, places = b"", {}
+    for key, value in rules.items():
+        places[key] = len(texts)
+        texts += value + b"\0"
+        node = trie
+        for byte in key:
+            node = node.setdefault(byte, {})
+        node[None] = places[key]
+    units, used = {0: 0}, {0}
+    todo = [(0, trie)]
+    while todo:
+        at, node = todo.pop(0)
+        labels = [0 if k is None else k for k in node]
+        # children stand at base ^ label, with base = at ^ offset; offsets below 2**21 are written as they are
+        offset = next(o for o in range(1, 1 << 16) if all((at ^ o ^ b) not in used for b in labels) and (at ^ o) not in used)
+        units[at] = units[at] | offset << 10 | (256 if None in node else 0)
+        for k, child in node.items():
+            place = at ^ offset ^ (0 if k is None else k)
+            used.add(place)
+            if k is None:
+                units[place] = 1 << 31 | child
+            else:
+                units[place] = k
+                todo.append((place, child))
+        used.add(at ^ offset)
+    size = (max(used) // 256 + 2) * 256
+    words = np.zeros(size, "<u4")
+    for k, v in units.items():
+        words[k] = v
+    return (4 * size).to_bytes(4, "little") + words.tobytes() + texts
+
+
+RULES = {b"A": b"a", "ß".encode(): b"ss", b"ab": b"X", "ﬁ".encode(): b"c", b"abc": b"abc", " ".encode(): b" ", b"\t": b" "}
+
+
+@pytest.mark.parametrize(("squeeze", "dummy", "mapped"), [(False, True, True), (True, True, True), (False, False, True), (True, True, False), (False, True, False), (False, False, False)])
+def test_segments_of_models_equal_the_library(tmp_path, squeeze, dummy, mapped):
+    coder = sentence_pieces.PieceCoder(model_of(tmp_path, double_array(RULES) if mapped else b"", squeeze=squeeze, dummy=dummy))
+    rng = random.Random(8)
+    for _ in range(1500):
+        text = "".join(rng.choice([*"abcAs \tß", "ﬁ", " ", "  ", "é", "zz", "abc", "\n", "日"]) for _ in range(rng.choice([0, 1, 5, 12, 90])))
+        ids, ends = coder.encode(text)
+        assert ids.tolist() == coder.sp.encode(text), text
+        assert not len(ends) or (np.diff(ends) >= 0).all() and ends[-1] <= len(text.encode())
+
+
+def test_longest_keys_of_a_compiled_map():
+    found = sentence_pieces.CharacterMap(double_array(RULES))
+    for text in (b"abc", b"abd", b"Aab", "ßx".encode(), b"zz", b"a"):
+        want = max((k for k in RULES if text.startswith(k)), key=len, default=None)
+        assert found.longest(text, 0) == (None if want is None else (len(want), RULES[want]))
