@@ -150,13 +150,19 @@ def _line_rows(threshold: int, least: int, id_col: str, text_col: str):
     """A row for each line, and the counts of the task's tokens by segments of the hashed table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total, held, waiting = np.zeros(1 << BITS, np.int64), [], 0
         for b in batches:
             for part in _batches(b, text_col):
                 x = Batch(part, None, least, id_col, text_col)
-                total += np.bincount((x.hashes >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) if len(x.hashes) else 0
+                held.append((x.hashes >> np.uint64(64 - BITS)).astype(np.int32))
+                waiting += len(x.hashes)
+                if waiting >= 1 << BITS:  # the table is long: it is not walked for each batch
+                    total += np.bincount(np.concatenate(held), minlength=1 << BITS)
+                    held, waiting = [], 0
                 none = [pa.nulls(len(x.n), t) for t in (pa.int32(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.row), pa.array(x.line), pa.array(x.cls), pa.array(_prefix_sizes(x.n, threshold)), *none], names=["doc_id", "row", "line", "cls", "prefix", "segment", "at", "count"])
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << BITS)
         for s in range(0, 1 << BITS, SEGMENT):
             part = total[s : s + SEGMENT]
             at = np.flatnonzero(part)
@@ -312,9 +318,13 @@ class _Sets:
         rank[np.lexsort((rows, ids))] = np.arange(len(rows))
         order = rank[place] << 32 | line  # (doc, row, line) in one number
         band = np.where(stands == WHOLE, -1, _band(n, threshold) + (stands == VISITOR))
-        k = np.lexsort((order, cls, band, token))
-        same = (token[k][1:] == token[k][:-1]) & (band[k][1:] == band[k][:-1])
-        k = k[np.concatenate([[True], ~same | (cls[k][1:] != cls[k][:-1])])]  # a set once a group, with its first line
+        k = np.argsort(mixed(cls.view(np.uint64) + ((token.astype(np.uint64) << np.uint64(9)) + (band + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)))
+        fresh = np.concatenate([[True], (token[k][1:] != token[k][:-1]) | (band[k][1:] != band[k][:-1]) | (cls[k][1:] != cls[k][:-1])])
+        run = np.cumsum(fresh) - 1
+        again = np.flatnonzero(np.bincount(run)[run] > 1)  # these stand by order within their run
+        k[again] = k[again[np.lexsort((order[k[again]], run[again]))]]
+        k = k[fresh]  # a set once a group, with its first line
+        k = k[np.argsort(token[k].astype(np.int64) << 10 | band[k] + 1)]
         self.token, self.band, self.cls, self.parity, self.n, self.at, self.visitor, self.order = token[k], band[k], cls[k], parity[k].view(np.uint64), n[k].astype(np.int64), at[k].astype(np.int64), stands[k] == VISITOR, order[k]
         fresh = np.concatenate([[True], (self.token[1:] != self.token[:-1]) | (self.band[1:] != self.band[:-1])])
         begin = np.flatnonzero(fresh)
@@ -340,7 +350,7 @@ class _Sets:
     def by_size(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """later, earlier, parities apart: all candidate pairs of the small groups."""
         k = np.flatnonzero(~self.wide)
-        k = k[np.lexsort((self.order[k], self.n[k], self.group[k]))]
+        k = k[np.argsort(self.group[k] << 32 | self.n[k])]
         n, group = self.n[k], self.group[k]
         # of each set, how far back the sizes go that can match
         least = -(-self.threshold * n // 100)
