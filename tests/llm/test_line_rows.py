@@ -47,3 +47,12 @@ def test_rows_without_an_id_or_with_the_same(spark, docs, edges, monkeypatch, fi
 def test_all_stages_with_short_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(test_pipeline, "lines_by_force", lambda texts: lines_by_force(texts, least=1))
     test_pipeline.test_stages(spark, tmp_path)
+
+
+def test_lines_by_bands_and_in_wide_groups(spark, docs, monkeypatch):
+    """All tokens count as frequent, and all groups as too wide to meet by size."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 1)
+    monkeypatch.setattr(line_dedup, "WINDOW", 0)
+    texts = short_lines([]) + copies(9, 6)
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(texts), least=1).collect()}
+    assert got == dict(enumerate(lines_by_force(texts, least=1)))
