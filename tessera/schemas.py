@@ -35,7 +35,17 @@ DISALLOWED_NUMBERS = [
     "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety",
     "hundred", "thousand", "million", "billion",
 ]
-# Perturbation methods by kind of sub-category.
-PERTURBATIONS = {"attribute": ["replace", "replace", "replace"], "layout": ["replace", "drop", "replace"], "complex": ["replace", "swap", "drop"]}
+# Perturbation methods by sub-category.
+PERTURBATIONS = {
+    "attribute1_color": ["replace", "replace", "replace"],
+    "attribute1_texture": ["replace", "replace", "replace"],
+    "attribute1_shape": ["replace", "replace", "replace"],
+    "layout2": ["replace", "replace", "replace"],
+    "non-spatial": ["replace", "drop", "replace"],
+    "complex": ["replace", "swap", "drop"],
+    "attribute2": ["replace", "swap", "drop"],
+    "layout1": ["replace", "swap", "drop"],
+    "layout3": ["replace", "swap", "drop"],
+}
 # Words that are no nouns to look for.
 NOUN_STOPS = ["left", "right", "bottom", "top", "side", "row", "rows", "column", "columns", "front", "behind", "range"]

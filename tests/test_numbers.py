@@ -22,3 +22,13 @@ def test_a_million_rows_are_numbered_once(spark):
 
 def test_nothing_is_numbered(spark):
     assert numbered(spark.range(0), ["id"]).count() == 0
+
+
+def test_fixed_methods_by_sub_category(spark):
+    from tessera import schemas
+    from tessera.operators.curate import rule_column
+
+    value = F.col("sub")
+    rules = [(value == k, F.array(*map(F.lit, v))) for k, v in schemas.PERTURBATIONS.items()]
+    df = spark.createDataFrame([(k,) for k in schemas.PERTURBATIONS], "sub string")
+    assert {r.sub: r.m for r in df.select("sub", rule_column(value, rules).alias("m")).collect()} == schemas.PERTURBATIONS
