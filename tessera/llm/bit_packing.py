@@ -47,6 +47,8 @@ def pack(ids: np.ndarray, bits: int) -> np.ndarray:
     if bits == 0:
         return np.zeros(0, np.uint8)
     words = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes
+        return words[:, : bits // 8].reshape(-1)
     return np.packbits(np.unpackbits(words, axis=1, bitorder="little")[:, :bits].reshape(-1), bitorder="little")
 
 
@@ -54,6 +56,11 @@ def unpack(data: np.ndarray, first: int, n: int, bits: int) -> np.ndarray:
     """n ids that begin at the first-th of a packed block."""
     if n <= 0:
         return np.zeros(0, np.uint32)
+    if bits % 8 == 0:  # whole bytes
+        size = bits // 8
+        words = np.zeros((n, 4), np.uint8)
+        words[:, :size] = data[first * size : (first + n) * size].reshape(n, size)
+        return words.view("<u4").reshape(-1)
     at = (np.arange(first, first + n, dtype=np.int64)) * bits
     byte, shift = at >> 3, (at & 7).astype(np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -15,6 +16,11 @@ import numpy as np
 CACHE_SEGMENTS = 500_000
 #: Longer segments are encoded each time.
 CACHE_CHARS = 48
+#: Control characters that Python and the tokenizers treat differently.
+SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+DOUBLED = ("  ", "\n\n", " \n", "\n ")
+#: Signs that make one unit after letters; the apostrophe may belong to what follows.
+SIGNS = string.punctuation.replace("'", "")
 
 
 class _Segments(dict):
@@ -37,7 +43,7 @@ class Encoder:
     kind "spaces": byte-level pieces, cut before a space that a non-blank follows. kind "words": white space is dropped
     by the tokenizer, so any white space cuts. Texts with anything for which these cuts might not hold (the strings of
     special tokens, separators on which Python and the tokenizer differ) are encoded whole. A segment of Latin letters
-    and at most one full stop or comma is one or two units of the merging model, which then is asked directly.
+    and then ASCII signs other than the apostrophe is one or two units of the merging model, which then is asked directly.
     """
 
     def __init__(self, path: str, kind: str):
@@ -45,48 +51,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.kind = kind
-        self.odd = re.compile("<\\||[\x1c-\x1f]")
-        self.doubled = re.compile(r"\s\s")
         self.cut = re.compile(r" (?=\S)")
-        self.cache = _Segments(self._one)
-        self.marks = {m: array("I", self.tok.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+        self.heads, self.spaced = _Segments(lambda w: self._one(w, "")), _Segments(lambda w: self._one(w, " "))
+        self.tails = _Segments(self._whole)
+        self.line_end = self._whole("\n")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in set(shown)]
         # byte-level tokenizers write each byte as a visible character
         self.visible = {**{b: b for b in shown}, **{b: 256 + k for k, b in enumerate(hidden)}}
+        self.space = " ".translate(self.visible)
 
-    def _one(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        core, mark = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
-        letters = core[1:] if core[:1] == " " else core
-        if letters.isalpha() and max(letters) < "\u0250" and len(piece) <= CACHE_CHARS and (self.kind == "spaces" or "\u0130" not in core):
-            if mark:
-                return self.cache[core] + self.marks[mark]
-            if self.kind == "words" and (low := core.lower()) != core:
-                return self.cache[low]
-            unit = core.encode().decode("latin-1").translate(self.visible)
-            return array("I", [t.id for t in self.tok.model.tokenize(unit)]).tobytes()
+    def _whole(self, piece: str) -> bytes:
         return array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _plain(self, letters: str) -> bool:
+        """Latin letters, which stay letters in lower case."""
+        return letters.isascii() or (max(letters) < "\u0250" and (self.kind == "spaces" or "\u0130" not in letters))
+
+    def _one(self, word: str, space: str) -> bytes:
+        """Ids of a segment; space is what stands before it."""
+        if not word.isalpha():
+            core = word.rstrip(SIGNS)
+            if len(core) < len(word) and core.isalpha() and self._plain(core):
+                return (self.spaced if space else self.heads)[core] + self.tails[word[len(core) :]]
+            return self._whole(space + word)
+        if len(word) > CACHE_CHARS or not self._plain(word):
+            return self._whole(space + word)
+        if self.kind == "words" and (low := word.lower()) != word:
+            return self.heads[low]
+        unit = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.model.tokenize(self.space + unit if space else unit)]).tobytes()
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.odd.search(text):
+        used = set(text)
+        if "<|" in text or not used.isdisjoint(SEPARATORS):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        cache = self.cache
-        if len(cache) > CACHE_SEGMENTS:
-            cache.clear()
+        for cache in (self.heads, self.spaced, self.tails):
+            if len(cache) > CACHE_SEGMENTS:
+                cache.clear()
+        head, spaced = self.heads.__getitem__, self.spaced.__getitem__
         if self.kind == "words":
-            made = b"".join([cache[p] for p in text.split()])
-        elif "\0" not in text and not self.doubled.search(text) and not any(c.isspace() for c in set(text) - {" ", "\n"}):
+            made = b"".join(map(head, text.split()))
+        elif not any(d in text for d in DOUBLED) and not any(c.isspace() for c in used - {" ", "\n"}):
             # single spaces and line ends only: a line end between other characters is a piece of its own
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            made = b"".join([cache[p] for p in pieces])
+            lines = (line.split(" ") for line in text.split("\n"))
+            made = self.line_end.join([b"".join([head(first), *map(spaced, rest)]) for first, *rest in lines])
         else:
-            head, *rest = self.cut.split(text)
-            made = b"".join([cache[head], *[cache[" " + p] for p in rest]])
+            first, *rest = self.cut.split(text)
+            made = b"".join([head(first), *map(spaced, rest)])
         return np.frombuffer(made, np.uint32)
 
 
