@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,3 +128,42 @@ def sample_groups(df: DataFrame, prefix: str, suffix: str, by: Sequence[str], or
     folded = runs.groupBy(*by, "_run").agg(steps.alias("_rows")).withColumn("_g", F.aggregate("_rows", start, fold, lambda a: a["out"]))
     each = folded.select(*by, "_run", F.explode(F.arrays_zip("_rows", "_g")).alias("_x"))
     return each.select(*by, "_run", *[F.col(f"_x._rows.{c}").alias(c) for c in order], F.col("_x._rows._p").alias(prefix), F.col("_x._rows._s").alias(suffix), F.col("_x._g").cast("long").alias("group"))
+
+
+def natural_key(text: Column) -> Column:
+    """An array that sorts as people do: text in lower case and numbers by value, in turn, of any length; text comes first."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    keys = F.transform(parts, lambda x: F.when(F.rlike(x, F.lit("^[0-9]")), F.concat(F.lpad(F.length(digits(x)).cast("string"), 9, "0"), digits(x))).otherwise(x))
+    return F.when(F.rlike(text, F.lit("^[0-9]")), F.concat(F.array(F.lit("")), keys)).otherwise(keys)
+
+
+def containing(df: DataFrame, text: Column, words: DataFrame, name: str = "word") -> DataFrame:
+    """Rows with each word that their text contains. The words are at most SIDE_VALUES, which is checked; a map over the rows, not a join."""
+    found = sorted(r[0] for r in words.where(F.col(words.columns[0]).isNotNull()).distinct().limit(SIDE_VALUES + 1).collect())
+    if len(found) > SIDE_VALUES:
+        raise ValueError(f"more than {SIDE_VALUES} words")
+    held = F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
+    return df.withColumn(name, F.explode(F.filter(held, lambda w: F.contains(text, w))))
+
+
+def even_chunks(rows: DataFrame, group: str, item: str, length: str, chunks: int) -> DataFrame:
+    """group, item, length, chunk and slot: the items of a group, longest first, go to the chunk of the least total length that is not
+    full; where the items do not divide evenly, they are dealt in turn. A group is a batch of bounded size."""
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([length, item], ascending=[False, True], kind="stable")
+        n = len(pdf)
+        if n % chunks:
+            return pdf.assign(chunk=np.arange(n) % chunks, slot=np.arange(n) // chunks)
+        open_chunks, chunk, slot = [(0, c, 0) for c in range(chunks)], [], []
+        for x in pdf[length].tolist():
+            load, c, held = heapq.heappop(open_chunks)
+            chunk.append(c)
+            slot.append(held)
+            if held + 1 < n // chunks:
+                heapq.heappush(open_chunks, (load + x, c, held + 1))
+        return pdf.assign(chunk=chunk, slot=slot)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(group, item, length).schema) + ", chunk long, slot long"
+    return rows.select(group, item, length).groupBy(group).applyInPandas(deal, schema)

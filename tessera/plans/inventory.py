@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import curate as C
 from tessera.operators import evaluate as E
 from tessera.operators import inventory as I
 from tessera.operators import prefer as P
+from tessera.operators.common import numbered
 from tessera.plans.registry import query, table
 
 _TEMPLATES = ["a photo of {c}.", "a drawing of {c}.", "the {c}."]
@@ -188,3 +190,56 @@ def decisions(spark, d):
     made = P.decision(p, F.when(F.col("p_size") == 25, F.lit(26)).otherwise(F.lit(25)))
     score = F.when(F.col("p_size") % 5 == 0, F.lit(float("nan"))).otherwise(1.0)
     return table(spark, d, "part").select("p_partkey", F.when(F.isnan(score), "no_score").otherwise(made).alias("decision"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, lower(p_brand || '/' || p_size || '-' || p_name || '.' || p_partkey) AS t FROM part),
+k AS (SELECT p_partkey, [CASE WHEN e[1] BETWEEN '0' AND '9' THEN lpad(CAST(length(ltrim(e, '0')) AS VARCHAR), 9, '0') || ltrim(e, '0') ELSE e END FOR e IN regexp_extract_all(t, '[0-9]+|[^0-9]+')] AS k FROM t)
+SELECT p_partkey, row_number() OVER (ORDER BY k, p_partkey) AS place FROM k"""
+)
+def natural_order(spark, d):
+    """Names with several numbers in them."""
+    name = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("-"), "p_name", F.lit("."), F.col("p_partkey").cast("string"))
+    return numbered(table(spark, d, "part").select("p_partkey", I.natural_key(name).alias("k")), ["k", "p_partkey"], "place", 1).drop("k")
+
+
+@query(
+    """SELECT label, word FROM (SELECT DISTINCT lower(p_name || ' ' || p_type) AS label FROM part) l
+JOIN (SELECT lower(string_split(p_type, ' ')[-1]) AS word FROM part UNION SELECT lower(string_split(p_name, ' ')[1]) FROM part) w ON contains(label, word)"""
+)
+def label_words(spark, d):
+    """Labels with each word of a small table that they contain."""
+    parts = table(spark, d, "part")
+    word = lambda c, k: parts.select(F.lower(F.element_at(F.split(c, " "), k)).alias("word"))
+    labels = parts.select(F.lower(F.concat("p_name", F.lit(" "), "p_type")).alias("label")).distinct()
+    return I.containing(labels, F.col("label"), word("p_type", -1).union(word("p_name", 1)))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, p_size, p_name, CASE WHEN p_size % 2 = 0 THEN 'Question: ' || p_name || ' Question: ' || p_type ELSE p_name || ' Question: ' || p_type END AS q,
+  CASE WHEN p_size % 3 = 0 THEN p_size || ', 12 x' ELSE p_name END || chr(10) || p_brand || chr(10) || p_type AS l FROM part)
+SELECT p_partkey, CASE WHEN starts_with(q, 'Question: ') THEN replace(q, 'Question: ', '') ELSE q END AS bare, array_to_string(string_split(l, chr(10))[2:], chr(10)) AS tail,
+  array_to_string(string_split(l, chr(10))[:-2], chr(10)) AS head, CASE WHEN p_size % 3 = 0 THEN array_to_string(string_split(l, chr(10))[2:], chr(10)) ELSE l END AS unnumbered,
+  CAST(p_partkey AS VARCHAR) AS stem, CAST(p_size AS VARCHAR) AS folder,
+  CASE WHEN greatest(p_size, 20) > greatest(30, p_size % 40) THEN 'yes' WHEN greatest(p_size, 20) < greatest(30, p_size % 40) THEN 'no' ELSE 'tie' END AS answer FROM t"""
+)
+def text_trims(spark, d):
+    """Prefixes, hanging lines, lines of numbers, pieces of paths, and answers by the likelier of two spellings."""
+    size, end = F.col("p_size"), F.lit("\n")
+    asked = F.concat(F.when(size % 2 == 0, "Question: ").otherwise(""), "p_name", F.lit(" Question: "), "p_type")
+    first = F.when(size % 3 == 0, F.concat(size.cast("string"), F.lit(", 12 x"))).otherwise(F.col("p_name"))
+    text = F.concat(first, end, "p_brand", end, "p_type")
+    path = F.concat(F.lit("/data/"), size.cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    answer = P.decision(F.greatest(size, F.lit(20)), F.greatest(F.lit(30), size % 40))
+    return table(spark, d, "part").select(
+        "p_partkey", X.without_prefix(asked, "Question: ").alias("bare"), X.without_lines(text, 1).alias("tail"), X.without_lines(text, 1, first=False).alias("head"),
+        X.without_number_line(text).alias("unnumbered"), X.stem(path).alias("stem"), X.path_part(path, 2).alias("folder"), answer.alias("answer"),
+    )
+
+
+@query()
+def length_chunks(spark, d):
+    """Documents in megabatches of 64 by a seeded order, each split evenly by length over 8 workers."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.md5(F.concat(F.lit("mega:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))
+    mega = numbered(docs, ["h", "doc_id"]).withColumn("megabatch", F.floor(F.col("ord") / 64).cast("long"))
+    return I.even_chunks(mega, "megabatch", "doc_id", "n_chars", 8)

@@ -175,7 +175,10 @@ def category_maps(spark, d):
     return rows.select("item_id", eight[first].alias("eight"), four[first].alias("four"), object_.alias("object")).join(back, "item_id")
 
 
-@query()
+@query(
+    """WITH m AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY md5('mega:' || doc_id), doc_id) - 1) // 64 AS megabatch FROM documents)
+SELECT doc_id, megabatch, row_number() OVER (PARTITION BY megabatch ORDER BY n_chars DESC, doc_id) AS place FROM m"""
+)
 def length_buckets(spark, d):
     """Documents in megabatches of 64 by a seeded order, longest first within each."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.md5(F.concat(F.lit("mega:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))

@@ -15,6 +15,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,39 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str
     return df if file_col is None else df.withColumn(file_col, F.input_file_name())
 
 
+def jsonl_roots(spark: SparkSession, roots: str, schema: T.StructType | str, separator: str = "^^") -> DataFrame:
+    """All files of one or more folders, named in one text, with root and file: rows in the order of (root, file) are those of the
+    folders one after another, each by its files' names."""
+    made = None
+    for k, folder in enumerate(roots.split(separator)):
+        one = spark.read.schema(schema).json(folder).withColumn("root", F.lit(k)).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def arrow_folder(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
+    """A dataset saved as Arrow streams or files, folder/*.arrow; the executors read them a batch at a time, which must have the columns of the schema."""
+    names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                store, path = pafs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as f:
+                    is_file = f.read(6) == b"ARROW1"
+                    f.seek(0)
+                    if is_file:
+                        source = pa.ipc.open_file(f)
+                        found = (source.get_batch(k) for k in range(source.num_record_batches))
+                    else:
+                        found = pa.ipc.open_stream(f)
+                    for x in found:
+                        yield x.select(names)
+
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("path")
+    return paths.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(run, schema)
+
+
 def jsonl_keyed(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
     """One row a key, the last line of each, sorted by key."""
     rows = lines(spark, path).withColumn("_r", F.from_json("text", schema)).select("file", "line", "_r.*")

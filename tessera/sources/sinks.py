@@ -9,6 +9,7 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import blob_type
 from tessera.operators.common import top_k
@@ -97,6 +98,26 @@ def normalised_blobs(bytes_col: Column | None, path_col: Column | None) -> Colum
     return F.array(F.struct((bytes_col if bytes_col is not None else none.cast("binary")).alias("bytes"), (path_col if path_col is not None else none.cast("string")).alias("path")))
 
 
+def normalised_values(df: DataFrame, name: str) -> Column:
+    """array<struct<bytes, path>> of a column that holds bytes, a path, a struct with either or both, or an array of one of these; a column
+    of another type is kept as it is. Null stays null."""
+
+    def one(value: Column, kind: T.DataType) -> Column | None:
+        none, fields = F.lit(None), kind.names if isinstance(kind, T.StructType) else []
+        data = value if isinstance(kind, T.BinaryType) else value["bytes"] if "bytes" in fields else None
+        path = value if isinstance(kind, T.StringType) else value["path"] if "path" in fields else None
+        if data is None and path is None:
+            return None
+        made = F.struct((none.cast("binary") if data is None else data).alias("bytes"), (none.cast("string") if path is None else path).alias("path"))
+        return F.when(value.isNotNull(), made)
+
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: one(x, kind.elementType)) if one(value, kind.elementType) is not None else value
+    made = one(value, kind)
+    return value if made is None else F.when(value.isNotNull(), F.array(made))
+
+
 def key_value_object(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """One row: a JSON object {key: value} in order of keys. It is one value, so it must fit in memory."""
     return df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))))).alias("value"))

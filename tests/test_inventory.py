@@ -1,11 +1,14 @@
 """Methods of the inventory that no query holds: J22, A48, F33, F46, W17, R13, R18."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import curate, evaluate, vectors
+from tessera.operators import inventory as I
 
 
 def test_boxes_go_in_order(spark):
@@ -63,3 +66,35 @@ def test_rank_shards(spark, n, fill):
     want = [(r, k, i) for r in range(3) for k, i in enumerate(ids[len(ids) * r // 3 : len(ids) * (r + 1) // 3])]
     got = curate.rank_shards(spark.range(n), ["id"], 3, 6, fill).collect()
     assert sorted((r.rank, r.place, r.id) for r in got) == want
+
+
+def test_natural_keys(spark):
+    words = ["z9", "z10", "Z2a3", "z2a10", "7", "07b", "", "a", "z" + "9" * 30, "z1" + "0" * 30]
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(3)
+    key = lambda w: [int(x) if x.isdigit() else x.lower() for x in re.split("([0-9]+)", w)]
+    assert [r.w for r in df.orderBy(I.natural_key(F.col("w")), "w").collect()] == sorted(words, key=lambda w: (key(w), w))
+
+
+def test_words_in_labels(spark):
+    df = spark.createDataFrame([("red car",), ("cargo",), (None,)], "label string")
+    words = spark.createDataFrame([("car",), ("red",), ("car",), (None,)], "w string")
+    assert sorted(tuple(r) for r in I.containing(df, F.col("label"), words).collect()) == [("cargo", "car"), ("red car", "car"), ("red car", "red")]
+    assert I.containing(df, F.col("label"), words.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="words"):
+        I.containing(df, F.col("label"), spark.range(1001).select(F.col("id").cast("string")))
+
+
+@pytest.mark.parametrize("n", [0, 7, 8, 12])
+def test_even_chunks(spark, n):
+    rows = [(g, i, (i * 37 + g * 11) % 10) for g in range(3) for i in range(n)]
+    want = set()
+    for g in range(3):
+        items = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        chunks = [[] for _ in range(4)]
+        for k, r in enumerate(items):
+            room = [c for c in range(4) if len(chunks[c]) < n // 4]
+            c = k % 4 if n % 4 else min(room, key=lambda c: (sum(x[2] for x in chunks[c]), c))
+            want.add((*r, c, len(chunks[c])))
+            chunks[c].append(r)
+    df = spark.createDataFrame(rows, "g long, i long, x long").repartition(3)
+    assert {tuple(r) for r in I.even_chunks(df, "g", "i", "x", 4).collect()} == want

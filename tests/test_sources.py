@@ -3,6 +3,7 @@ import json
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,3 +107,31 @@ def test_small_writers(spark, tmp_path):
     assert json.loads(K.key_value_object(df, F.concat(F.lit("v1_"), "id"), F.col("v")).first()[0]) == {"v1_1": "a", "v1_2": "b"}
     with pytest.raises(ValueError):
         K.exactly(df, 3)
+
+
+def test_roots_and_arrow_folders(spark, tmp_path):
+    for folder, name, n in [("b", "1.jsonl", 1), ("b", "0.jsonl", 2), ("a", "5.jsonl", 3)]:
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(json.dumps({"id": "x", "n": n}))
+    got = R.jsonl_roots(spark, f"{tmp_path}/b^^{tmp_path}/a", SCHEMA).orderBy("root", "file").collect()
+    assert [(r.root, r.file, r.n) for r in got] == [(0, "0.jsonl", 2), (0, "1.jsonl", 1), (1, "5.jsonl", 3)]
+    rows = pa.table({"n": pa.array([1, 2, 3], pa.int64()), "more": ["x", "y", None], "id": ["a", None, "c"]})
+    (tmp_path / "saved").mkdir()
+    for name, writer in [("data-0.arrow", pa.ipc.new_stream), ("data-1.arrow", pa.ipc.new_file)]:
+        with writer(f"{tmp_path}/saved/{name}", rows.schema) as w:
+            w.write_table(rows, max_chunksize=2)
+    (tmp_path / "saved" / "state.json").write_text("{}")
+    got = R.arrow_folder(spark, f"{tmp_path}/saved", "id string, n long").collect()
+    assert sorted((r.n, r.id) for r in got) == [(1, "a"), (1, "a"), (2, None), (2, None), (3, "c"), (3, "c")]
+
+
+def test_values_of_any_form(spark):
+    df = spark.createDataFrame(
+        [(b"x", "p", {"bytes": b"y", "path": None}, ["p", None], [{"path": "q"}], 5), (None, None, None, None, None, None)],
+        "b binary, s string, d struct<bytes:binary,path:string>, l array<string>, a array<struct<path:string>>, other int",
+    )
+    got, empty = df.select(*[K.normalised_values(df, c).alias(c) for c in df.columns]).collect()
+    want = {"b": [(b"x", None)], "s": [(None, "p")], "d": [(b"y", None)], "l": [(None, "p"), None], "a": [(None, "q")]}
+    for c, values in want.items():
+        assert [x and (x["bytes"] and bytes(x["bytes"]), x["path"]) for x in got[c]] == values
+    assert got["other"] == 5 and all(v is None for v in empty)
