@@ -29,6 +29,10 @@ from tessera.llm.shared import column, stored
 SAMPLE = 16_384
 #: Queries whose cells one task looks up.
 ROUTED = 128
+#: Queries that are multiplied with a bucket at once, pairs scored at once, and more than products of unit vectors differ by rounding.
+PRODUCTS = 64
+SCORED = 65_536
+ROUNDING = 1e-9
 
 
 def usable(col: str) -> Column:
@@ -67,7 +71,9 @@ def cells_in_order(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, i
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return np.array(col.to_pylist(), np.float64)
+    """Vectors of one length without nulls as rows."""
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(col), len(flat) // max(1, len(col)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -199,23 +205,32 @@ class _Bucket:
         order = np.argsort(cell, kind="stable")
         self.u = _unit(np.concatenate([_matrix(column(p, "v")) for p in parts])[order])
         self.ids = rows.column("id").to_numpy()[order]
-        keys, at, n = np.unique(cell[order], return_index=True, return_counts=True)
-        self.place = {int(c): (int(a), int(a + m)) for c, a, m in zip(keys, at, n, strict=True)}
+        self.cells, self.cell = np.unique(cell[order], return_inverse=True)
 
     def nearest(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        out = []
-        for qid, q, visits in zip(column(asked, "id").to_pylist(), _unit(_matrix(column(asked, "v"))), column(asked, "visits").to_pylist(), strict=True):
-            spans = [self.place[c] for c in visits if c in self.place]
-            if not spans:
-                continue
-            take = np.concatenate([np.arange(a, e) for a, e in spans])
-            score, own = np.einsum("nd,d->n", self.u[take], q), self.ids[take]
-            keep = own != qid
-            score, own = score[keep], own[keep]
-            if len(score) > 64:  # all that tie with the k-th stay
-                cut = score >= np.partition(score, len(score) - k)[len(score) - k]
-                score, own = score[cut], own[cut]
-            best = np.lexsort((own, -score))[:k]
-            out.append((np.full(len(best), qid), own[best], score[best]))
-        q, o, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+        """The k best of the visited cells for each query: products of a block of queries leave out what cannot be among them by more
+        than rounding, and the rest is scored and ordered vector by vector, so equal vectors have equal scores."""
+        ids, visits = column(asked, "id").to_numpy(), column(asked, "visits")
+        q = _unit(_matrix(column(asked, "v")))
+        found = []
+        for s in range(0, len(ids), PRODUCTS):
+            block = q[s : s + PRODUCTS]
+            lists = visits.slice(s, len(block))
+            visited = np.zeros((len(block), len(self.cells)), bool)
+            cell, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+            here = self.cells[at] == cell
+            visited[of[here], at[here]] = True
+            near = block @ self.u.T
+            near[~visited[:, self.cell] | (self.ids == ids[s : s + PRODUCTS, None])] = -np.inf
+            last = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(block), -np.inf)
+            row, col = np.nonzero((near >= last[:, None] - ROUNDING) & (near > -np.inf))
+            score = np.empty(len(row))
+            for t in range(0, len(row), SCORED):  # many may tie
+                score[t : t + SCORED] = np.einsum("nd,nd->n", block[row[t : t + SCORED]], self.u[col[t : t + SCORED]])
+            order = np.lexsort((self.ids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((ids[s + row[best]], self.ids[col[best]], score[best]))
+        names = ["query_id", "vec_id", "score"]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
