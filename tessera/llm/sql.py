@@ -6,9 +6,21 @@ from tessera.llm.quality_rules import GRID
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER_LINE = _LOWER.replace("coalesce(text, '')", "line")
 _CUTS = " UNION ALL ".join(f"SELECT '{r}' AS rule, {c} AS cutoff" for r, cuts in GRID.items() for c in cuts)
 _MANY = sum(map(len, GRID.values()))
 
+LINE_DEDUP = rf"""
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+s AS (SELECT r, line, row_number() OVER (ORDER BY r, k) AS place, list_sort(list_distinct(regexp_extract_all({_LOWER_LINE}, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+u AS (SELECT w, len(w) AS n, min(place) AS place FROM s WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT *, unnest(w) AS x FROM u),
+p AS (SELECT place, n, w, x FROM t JOIN (SELECT x, count(*) AS f FROM t GROUP BY x) USING (x) QUALIFY row_number() OVER (PARTITION BY place ORDER BY f, x) <= n - (4 * n + 4) // 5 + 1),
+m AS (SELECT DISTINCT b.place FROM p a JOIN p b ON a.x = b.x AND a.place < b.place AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n WHERE 180 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n)),
+k AS (SELECT r, string_agg(line, chr(10) ORDER BY place) AS text FROM s WHERE len(w) = 0 OR place IN (SELECT place FROM u WHERE place NOT IN (FROM m)) GROUP BY r)
+SELECT doc_id, length(coalesce(k.text, '')) AS n_chars, sha256(coalesce(k.text, '')) AS text_sha256 FROM d LEFT JOIN k USING (r)"""
+
 NEAR_DUPLICATES = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
@@ -41,4 +53,4 @@ c AS (SELECT lang, rule, min(cutoff) AS cutoff FROM t GROUP BY 1, 2),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN c ON c.lang IS NOT DISTINCT FROM v.lang AND c.rule = v.rule AND value > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 
-SQL = {"op9_quality_rules": QUALITY_RULES, "op10_near_duplicates": NEAR_DUPLICATES}
+SQL = {"op4_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES, "op10_near_duplicates": NEAR_DUPLICATES}

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from tessera.llm import line_dedup, queries
+from tessera.llm import line_dedup, queries, sql
 from tests.llm import test_pipeline
 from tests.llm.test_documents import copies, lines_by_force
 
@@ -56,3 +57,16 @@ def test_lines_by_bands_and_in_wide_groups(spark, docs, monkeypatch):
     texts = short_lines([]) + copies(9, 6)
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(texts), least=1).collect()}
     assert got == dict(enumerate(lines_by_force(texts, least=1)))
+
+
+def test_sql_twin(spark, docs, edges, tmp_path):
+    """The SQL, the query and brute force give the same texts."""
+    texts = short_lines(edges) + copies(5, 9)
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    twin = con.sql(sql.SQL["op4_line_dedup"])
+    got = queries.op4_line_dedup(spark, str(tmp_path))
+    assert got.columns == twin.columns
+    want = {(i, len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(lines_by_force(texts, least=1))}
+    assert set(twin.fetchall()) == want == {tuple(r) for r in got.collect()}
