@@ -97,8 +97,15 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: a["total"])
 
 
+def surely_rare(k: Column, n: Column, p: float, level: Column) -> Column:
+    """P(Binomial(n, p) <= k) <= level, for levels under a half. A median is at most n p rounded up, so that no k of n p or
+    more can hold, however large: only the terms below n p are ever summed."""
+    return F.when(k < n * p, binomial_tail(k, n, p) <= level).otherwise(F.lit(False))
+
+
 def fit_cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
-    """stratum, rule, cutoff: the strictest cutoff whose false rejections are bounded by risk / rules. scored: of signals()."""
+    """stratum, rule, cutoff: the strictest cutoff whose false rejections are bounded by risk / rules. scored: of signals();
+    confidence: over a half."""
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in _values().items()])).alias("s")
     good = labels.where("quality = 1").select(F.col("doc_id")).where("doc_id is not null").distinct()
     cuts = F.create_map(*[x for r, c in GRID.items() for x in (F.lit(r), F.array(*map(F.lit, c)))])
@@ -111,7 +118,7 @@ def fit_cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.02, confid
     tested = groups.withColumn("strata", F.size(F.collect_set(F.coalesce(F.col("stratum").cast("string"), F.lit("\0"))).over(Window.partitionBy("rule")))).select("stratum", "rule", "n", "by", "strata", F.posexplode(cuts[F.col("rule")]).alias("at", "cutoff"))
     rejected = F.aggregate(F.filter("by", lambda x: x["above"] > F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     tested = tested.withColumn("rejected", rejected)
-    allowed = tested.where(binomial_tail(F.col("rejected"), F.col("n"), risk / len(GRID)) <= (1 - confidence) / (many * F.col("strata")))
+    allowed = tested.where(surely_rare(F.col("rejected"), F.col("n"), risk / len(GRID), (1 - confidence) / (many * F.col("strata"))))
     return allowed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 

@@ -123,6 +123,19 @@ def test_cutoffs_hold_the_risk(spark):
     for n, k, p in ((100, 3, 0.05), (40, 0, 0.02), (1000, 12, 0.01)):
         want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
         assert spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_verdicts_of_the_bound(spark):
+    """As the exact tail says around n p, and without its terms where all of a large stratum is rejected."""
+    p, level = 0.005, 0.0005
+    cases = [(k, n) for n in (0, 1, 199, 2000, 3000, 9000) for k in range(0, min(n, 60) + 1, 3)]
+    large = [(10**9, 10**9), (5 * 10**6, 10**9)]
+    rows = spark.createDataFrame(cases + large, "k long, n long")
+    rare = quality_rules.surely_rare(F.col("k"), F.col("n"), p, F.lit(level))
+    got = {(r.k, r.n): r.rare for r in rows.select("k", "n", rare.alias("rare")).collect()}
+    want = {(k, n): sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) <= level for k, n in cases}
+    assert got == want | dict.fromkeys(large, False)
+    assert any(want.values())
     docs = spark.createDataFrame([(i, ("word " * 9 + f"other{i} ") + ("### " * 5 if i >= 2900 else ""), "en") for i in range(3000)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 2905)) for i in range(3000)], "doc_id long, quality int")
     kept = {r.doc_id: r.kept for r in quality_rules.judged(docs.withColumn("text", F.concat_ws(" ", *[F.md5(F.concat("doc_id", F.lit(k)).cast("binary")) for k in range(12)], F.when(F.col("doc_id") >= 2900, F.lit("### *** $$$ %%% &&& ||| <<< >>> " * 4)))), labels).collect()}
