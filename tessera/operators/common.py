@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def cols(names: Sequence[str | Column]) -> list[Column]:
@@ -31,21 +32,51 @@ def hash_order(seed: str, key: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """The names, each lengthened until none of the taken ones (nor another of them) reads the same."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _has_map(kind: DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
+def ranged(df: DataFrame, order: Sequence[str | Column], n: int, part: str, at: str) -> DataFrame:
+    """df laid out once as n ranges of the order, each row with its range and a number that rises within it.
+
+    Equal keys are no unit: rows of one key are told apart by a hash of all they hold, and equal rows by their place in
+    their part of the input, so that a key or a row that fills a third of the table is cut over as many ranges as any other
+    third. The parts are sorted before places are given: a task that runs again gives each row the same place. (Maps cannot be
+    hashed and are left out; rows that differ in maps alone count as equal.)
+    """
+    *keys, tie, place = fresh(df.columns, *[f"_k{i}" for i in range(len(order))], "_tie", "_place")
+    held = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
+    rows = df.select("*", *[c.alias(k) for c, k in zip(cols(order), keys, strict=True)], F.xxhash64(*held).alias(tie))
+    rows = rows.sortWithinPartitions(*keys, tie).withColumn(place, F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *keys, tie, place).sortWithinPartitions(*keys, tie, place).drop(*keys, tie, place)
+    return laid_out(rows.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "ord", start: int = 0) -> DataFrame:
-    """A running number over the whole table without one task seeing every row.
+    """A running number over the whole table without one task seeing every row, however many rows share a key.
 
     Rows are dealt out by ranges of the order and laid out once as files, each row with its range and place; each range is
     then moved by the sizes of those before. (Two runs of a range exchange need not cut at the same rows.)
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [f"_k{i}" for i in range(len(order))]
-    parts = df.select("*", *[c.alias(k) for c, k in zip(cols(order), keys, strict=True)])
-    dealt = laid_out(parts.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = sizes.select("_part", "_from", before.alias("_before"))
+    part, at, first, before = fresh([*df.columns, name], "_part", "_at", "_from", "_before")
+    dealt = ranged(df, order, n, part, at)
+    sizes = dealt.groupBy(part).agg(F.count("*").alias(name), F.min(at).alias(first))
+    moved = F.coalesce(F.sum(name).over(Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select(part, first, moved.alias(before))
     # a row a range, whose number is that of the shuffle's partitions
-    return dealt.join(F.broadcast(places), "_part").withColumn(name, (F.col("_at") - F.col("_from") + F.col("_before") + start).cast("long")).drop("_part", "_at", "_from", "_before")
+    return dealt.join(F.broadcast(places), part).withColumn(name, (F.col(at) - F.col(first) + F.col(before) + start).cast("long")).drop(part, at, first, before)
 
 
 def shared_folder(spark: SparkSession) -> str:

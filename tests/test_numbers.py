@@ -1,9 +1,10 @@
 """Running numbers over many rows with a payload, and what is built on them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import curate as C
-from tessera.operators.common import numbered
+from tessera.operators.common import numbered, ranged
 
 
 def test_a_million_rows_are_numbered_once(spark):
@@ -20,6 +21,29 @@ def test_a_million_rows_are_numbered_once(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_a_key_of_a_third_of_the_rows_is_cut(spark, alike):
+    """Whether the rows of the key differ elsewhere or not, no range holds twice the mean; columns named as the working ones stay."""
+    n, parts = 300_000, 8
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
+    df = spark.range(n).select(hot.alias("key"), (hot if alike else F.col("id")).alias("_tie"), F.lit("x").alias("_k0"), F.lit("y").alias("_part")).repartition(5)
+    sizes = [r["count"] for r in ranged(df, ["key"], parts, "range", "at").groupBy("range").count().collect()]
+    assert len(sizes) == parts and max(sizes) < 2 * n / parts and sum(sizes) == n
+    rows = numbered(df, ["key"])
+    assert rows.columns == [*df.columns, "ord"]
+    r = rows.agg(F.countDistinct("ord"), F.min("ord"), F.max("ord"), F.count_if((F.col("_k0") != "x") | (F.col("_part") != "y"))).first()
+    assert tuple(r) == (n, 0, n - 1, 0)
+    assert rows.groupBy("key").agg((F.max("ord") - F.min("ord") + 1 != F.count("*")).alias("broken")).where("broken").count() == 0
+
+
+def test_numbers_follow_all_keys(spark):
+    """The number is the place in the table sorted by all keys, nulls first."""
+    values = [None, 3, 1, 1, None, 2, 2, 2, 9, 0]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int")
+    got = [r.v for r in numbered(df, [-F.col("v"), "i"]).orderBy("ord").collect()]
+    assert got == [None, None, 9, 3, 2, 2, 2, 1, 1, 0]
+
+
 def test_nothing_is_numbered(spark):
     assert numbered(spark.range(0), ["id"]).count() == 0
 
