@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bit_packing, line_dedup, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, sql, toxic_spans
+from tessera.llm import bit_packing, erasure, hard_negatives, line_dedup, multi_index, near_duplicates, packing, partial_matching, private_data, quality_rules, sentence_pieces, sql, toxic_spans, virtual_slots
 
 
 def _path(name: str) -> str:
@@ -68,6 +68,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.erasure(*[_table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines")])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_slots.sharded(_table(spark, sf_dir, "documents"), 16)
+
+
 def queries():
     return {
         "op1_multi_index": op1_multi_index,
@@ -80,6 +94,9 @@ def queries():
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_erasure": op11_erasure,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_virtual_slots": op13_virtual_slots,
     }
 
 

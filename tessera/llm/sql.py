@@ -53,4 +53,12 @@ c AS (SELECT lang, rule, min(cutoff) AS cutoff FROM t GROUP BY 1, 2),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN c ON c.lang IS NOT DISTINCT FROM v.lang AND c.rule = v.rule AND value > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 
-SQL = {"op4_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES, "op10_near_duplicates": NEAR_DUPLICATES}
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+SQL = {"op4_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES, "op10_near_duplicates": NEAR_DUPLICATES, "op12_hard_negatives": HARD_NEGATIVES}
