@@ -18,10 +18,10 @@ One earlier match is enough. So a set first meets the FIRST candidates before it
 may have more and found no match meet all the others. In a group of thousands of near copies nearly all are settled at once.
 Candidates are compared by SIGNATURE parities before whole sets are, and of what is left the closest candidate comes first.
 
-Lines without words always stay, as do those with fewer than `least` distinct words; `op4_line_dedup` and the pipeline ask for
-one word. A set too small to match any but an equal one needs no prefix: copies are found by the sets' hashes. Null texts stay
+Lines without words always stay, as do those with fewer than `least` distinct words, where more than
+one are asked for. A set too small to match any but an equal one needs no prefix: copies are found by the sets' hashes. Null texts stay
 null, empty ones empty; a document whose lines all go keeps its row with an empty text. Words are told apart by 44 bits of
-their hash, sets by 64. Sets are not carried through shuffles: the lines that are compared are read again.
+their hash, sets by 64, in the verified similarity, too: it is exact up to collisions of these. Sets are not carried through shuffles: the lines that are compared are read again.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Words, column, mixed, stored, text_bytes
+from tessera.llm.shared import Words, column, mixed, positional, stored, text_bytes
 
 BITS = 22
 SEGMENT = 1 << 16
@@ -507,7 +507,7 @@ def _confirmed(threshold: int):
     return run
 
 
-def removals(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, threshold: int = 80, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ROW, lines (sorted numbers from 0) of the rows that lose lines. docs: a stored table with a column ROW."""
     spark = docs.sparkSession
     docs = docs.select(id_col, ROW, text_col)
@@ -573,18 +573,19 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(b, "cls"), column(b, "row"), pa.array(spot)], names=["cls", "row", "spot"])
 
 
-def deduplicated(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines removed from its text; all columns and rows stay."""
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "line-rows")
-    gone = removals(keyed, threshold, least, id_col, text_col).withColumnRenamed("lines", "__gone")
+def deduplicated(docs: DataFrame, threshold: int = 80, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the lines removed from its text; all columns, whatever their names, and rows stay."""
+    plain, (id_at, text_at) = positional(docs, id_col, text_col)
+    keyed = stored(plain.withColumn(ROW, F.monotonically_increasing_id()), "line-rows")
+    gone = removals(keyed, threshold, least, id_at, text_at).withColumnRenamed("lines", "gone")
     joined = keyed.join(gone.hint("shuffle_hash"), ROW, "left")
     names = list(docs.columns)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = column(b, "__gone")
-            texts = column(b, text_col)
+            gone = column(b, "gone")
+            texts = b.column(at)
             if gone.null_count < len(gone):
                 new = texts.to_pylist()
                 for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
@@ -596,4 +597,4 @@ def deduplicated(docs: DataFrame, threshold: int = 80, least: int = 5, id_col: s
             cols[at] = texts
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*[joined[c] for c in names], "__gone").mapInArrow(run, docs.schema)
+    return joined.select(*plain.columns, "gone").mapInArrow(run, docs.schema)

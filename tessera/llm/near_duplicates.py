@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.shared import Words, column, mixed, runs_of, stored
+from tessera.llm.shared import Words, column, mixed, positional, runs_of, stored
 
 SHINGLE = 5
 WIDTH, LEAST, CLOSE = 64, 28, 52
@@ -359,23 +359,24 @@ def _components(rows: DataFrame, texts: DataFrame, threshold: int, trees: int, s
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = 16, small: int = 8192, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs."""
+    """doc_id, n_shingles, component_id, kept of each row of docs. A row without an id is kept where no row of its component has one."""
     rows = stored(described(docs, id_col, text_col), "described")
     linked = _components(rows, _texts(docs, id_col, text_col), threshold, trees, small, depth).select("cls", "least")
     component: Column = F.coalesce("least", "doc_id")
     joined = rows.select("doc_id", "n_shingles", "cls").join(linked, "cls", "left")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_copies(docs: DataFrame, threshold: int = 75, trees: int = 16, small: int = 8192, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the first by (doc_id, row), rows without an id last. Rows without shingles stay."""
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "copies-rows")
-    rows = stored(described(keyed, id_col, text_col, ROW), "described")
-    linked = _components(rows, _texts(keyed, id_col, text_col), threshold, trees, small, depth).select("cls", "component")
+    plain, (id_at, text_at) = positional(docs, id_col, text_col)
+    keyed = stored(plain.withColumn(ROW, F.monotonically_increasing_id()), "copies-rows")
+    rows = stored(described(keyed, id_at, text_at, ROW), "described")
+    linked = _components(rows, _texts(keyed, id_at, text_at), threshold, trees, small, depth).select("cls", "component")
     of = rows.where("cls is not null").select("cls", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("place"))
     first = of.groupBy("cls").agg(F.min("place").alias("place")).join(linked, "cls").groupBy("component").agg(F.min("place").alias("place"))
     kept = first.select(F.col("place.row").alias(ROW)).unionByName(rows.where("cls is null").select(F.col("row").alias(ROW)))
-    return keyed.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

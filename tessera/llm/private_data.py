@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import column, stored
+from tessera.llm.shared import column, positional, stored
 
 #: Names a row of the stored table.
 ROW = "__row"
@@ -234,9 +234,10 @@ def found(docs: DataFrame, support: int = 5, confidence: float = 0.8) -> DataFra
 def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with each span in its text replaced by its kind. Rows are told apart by a number, whether ids
     are null or repeat."""
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "private-rows")
-    scan = stored(scanned(keyed, id_col, text_col, ROW), "private-scan")
-    more = _added(scan, support, confidence).select(F.col("row").alias(ROW), F.col("more").alias("__more"))
+    plain, (id_at, text_at) = positional(docs, id_col, text_col)
+    keyed = stored(plain.withColumn(ROW, F.monotonically_increasing_id()), "private-rows")
+    scan = stored(scanned(keyed, id_at, text_at, ROW), "private-scan")
+    more = _added(scan, support, confidence).select(F.col("row").alias(ROW), "more")
     joined = keyed.join(more.hint("shuffle_hash"), ROW, "left")
     names = list(docs.columns)
     at = names.index(text_col)
@@ -244,7 +245,7 @@ def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, extra in zip((x.as_py() for x in b.column(at)), column(b, "__more").to_pylist(), strict=True):
+            for text, extra in zip((x.as_py() for x in b.column(at)), column(b, "more").to_pylist(), strict=True):
                 if text:
                     spans = fixed_spans(text) + [(x["start"], x["kind"], x["end"]) for x in extra or ()]
                     text = redacted(text, spans) if spans else text
@@ -253,7 +254,7 @@ def redacted_documents(docs: DataFrame, support: int = 5, confidence: float = 0.
             cols[at] = pa.array(out, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*[keyed[c] for c in names], "__more").mapInArrow(run, docs.schema)
+    return joined.select(*plain.columns, "more").mapInArrow(run, docs.schema)
 
 
 def spans_text(spans: Column | str) -> Column:

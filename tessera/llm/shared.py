@@ -43,6 +43,12 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def positional(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1 and so on, which no working column is, and what the used ones are called there."""
+    names = list(docs.columns)
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]), [f"c{names.index(u)}" for u in used]
+
+
 def blank_table() -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(BLANKS)] = True

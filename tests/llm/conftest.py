@@ -1,12 +1,12 @@
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = ", cls string, kept string, row string, token string, start string, held string"
+ODD = ", cls string, kept string, row string, token string, start string, held string, __row string, __gone string, __more string, gone string, more string, c0 string"
 
 
 def make(spark, texts, extra=False):
     """documents of the given texts; with extra, columns whose names the operators use themselves."""
-    rows = [(i, t, "en", "s", len(t or "")) + (("x",) * 6 if extra else ()) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", "s", len(t or "")) + (("x",) * 12 if extra else ()) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS + (ODD if extra else ""))
 
 

@@ -69,13 +69,13 @@ def test_near_duplicates_of_nothing(spark, docs):
     assert near_duplicates.near_duplicates(docs([None, ""])).where("kept").count() == 2
 
 
-def lines_by_force(texts, t=80, least=5):
+def lines_by_force(texts, t=80):
     seen, out = [], []
     for text in texts:
         keep = []
         for line in (text or "").split("\n"):
             s = set(words(line))
-            if len(s) >= least:
+            if s:
                 hit = any(100 * len(s & o) >= t * len(s | o) for o in seen)
                 seen.append(s)
                 if hit:

@@ -8,7 +8,6 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import line_dedup, queries, sql
-from tests.llm import test_pipeline
 from tests.llm.test_documents import copies, lines_by_force
 
 
@@ -24,7 +23,7 @@ def short_lines(edges):
 def test_short_lines_of_query_and_stage(spark, docs, edges, monkeypatch, tmp_path, first):
     monkeypatch.setattr(line_dedup, "FIRST", first)
     texts = short_lines(edges)
-    want = lines_by_force(texts, least=1)
+    want = lines_by_force(texts)
     df = docs(texts)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_sha256 for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
@@ -40,23 +39,18 @@ def test_rows_without_an_id_or_with_the_same(spark, docs, edges, monkeypatch, fi
     rows = [(i, t, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
     df = spark.createDataFrame(rows, "doc_id long, text string, k int").coalesce(1)
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, k))
-    want = dict(zip(order, lines_by_force([texts[k] for k in order], least=1), strict=True))
-    assert {r.k: r.text for r in line_dedup.deduplicated(df, least=1).collect()} == want
+    want = dict(zip(order, lines_by_force([texts[k] for k in order]), strict=True))
+    assert {r.k: r.text for r in line_dedup.deduplicated(df).collect()} == want
     assert want[2] == "seven\neight" and want[1] == texts[1]
 
 
-def test_all_stages_with_short_lines(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(test_pipeline, "lines_by_force", lambda texts: lines_by_force(texts, least=1))
-    test_pipeline.test_stages(spark, tmp_path)
-
-
 def test_lines_by_bands_and_in_wide_groups(spark, docs, monkeypatch):
     """All tokens count as frequent, and all groups as too wide to meet by size."""
     monkeypatch.setattr(line_dedup, "FREQUENT", 1)
     monkeypatch.setattr(line_dedup, "WINDOW", 0)
     texts = short_lines([]) + copies(9, 6)
-    got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(texts), least=1).collect()}
-    assert got == dict(enumerate(lines_by_force(texts, least=1)))
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs(texts)).collect()}
+    assert got == dict(enumerate(lines_by_force(texts)))
 
 
 def test_sql_twin(spark, docs, edges, tmp_path):
@@ -68,5 +62,5 @@ def test_sql_twin(spark, docs, edges, tmp_path):
     twin = con.sql(sql.SQL["op4_line_dedup"])
     got = queries.op4_line_dedup(spark, str(tmp_path))
     assert got.columns == twin.columns
-    want = {(i, len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(lines_by_force(texts, least=1))}
+    want = {(i, len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(lines_by_force(texts))}
     assert set(twin.fetchall()) == want == {tuple(r) for r in got.collect()}

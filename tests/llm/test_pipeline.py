@@ -59,6 +59,19 @@ def test_stages(spark, tmp_path):
         assert at <= 4096
 
 
+def test_stages_keep_columns_of_any_name(spark, docs, edges):
+    """Columns named as the working ones, in full after each stage but the last."""
+    texts = [*edges, "one two three four five six\nmail a@b.co now", "one two three four five six\nmail a@b.co now"]
+    df = docs(texts, True)
+    for name, stage in C.STAGES[1:4]:
+        out = stage(spark, df, FOLDER)
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert rows and all(v == "x" for r in rows for c, v in r.asDict().items() if c not in ("doc_id", "text", "lang", "source", "n_chars")), name
+        assert len(rows) == len(texts) or name.startswith("MinHash")
+    assert C.STAGES[4][1](spark, df, FOLDER).select("doc_id").distinct().count() == len(texts)
+
+
 def test_empty_documents_pass_through(spark, tmp_path):
     schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")

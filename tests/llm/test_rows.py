@@ -25,7 +25,9 @@ def test_links_of_rows_that_share_an_id(spark):
 def test_links_of_rows_without_an_id(spark):
     a, b = words(3), words(4)
     df = frame(spark, [(None, a), (None, f"{a} z"), (None, b), (7, f"{b} z"), (None, None), (8, ""), (8, b), (8, b)])
-    got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in near_duplicates.near_duplicates(df).collect()}
+    made = near_duplicates.near_duplicates(df).collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in made)  # also where both are null
+    got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in made}
     assert (7, True, 7) in got and (8, True, 7) in got and (None, True, 7) in got and (None, True, None) in got
     assert sorted(r.k for r in near_duplicates.without_copies(df).collect()) == [0, 3, 4, 5]
 
