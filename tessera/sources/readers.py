@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.common import numbered, top_k
+from tessera.sources.lines import lines
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -89,14 +90,6 @@ def json_map(spark: SparkSession, path: str, value: T.StructType, key: str = "id
     return whole.select(key, "_r.*")
 
 
-def lines(spark: SparkSession, path: str | list[str], start: int = 0) -> DataFrame:
-    """file, stem, line, text of each line; a final line end begins no line. A file is read whole, as its lines have no other order."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n$", "")
-    rows = whole.where(F.length("value") > 0).select("file", F.posexplode(F.split(text, "\n")).alias("line", "text"))
-    return rows.select("file", F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), (F.col("line") + start).cast("long").alias("line"), "text")
-
-
 def line_slice(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
     return lines(spark, path).where((F.col("line") >= start) & (F.col("line") < stop))
 
