@@ -1,15 +1,13 @@
 """Readers. Each gives rows an identity that does not depend on partitioning: file and line, file rank, or key.
 
-Files are listed and read by Spark, so any store that it reaches will do. Content that Spark has no reader for (tar, npz,
-npy) is read as binary and unpacked on the executors, a file at a time.
+Files are listed and read by Spark, so any store that it reaches will do. Lines are numbered in `lines`, tar and npz are read in
+ranges in `archives`; npy, of which a file is one small mask, is read as binary and unpacked on the executors.
 """
 
 from __future__ import annotations
 
 import io
 import re
-import tarfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.common import numbered, top_k
+from tessera.sources.archives import npz_rows, tar_samples
 from tessera.sources.lines import lines
 
 
@@ -187,52 +186,11 @@ def shards(spark: SparkSession, patterns: str, weights: Sequence[float] = ()) ->
     return spark.createDataFrame(rows, "url string, weight double")
 
 
-def tar_samples(spark: SparkSession, path: str) -> DataFrame:
-    """__key__, __url__ and parts (extension -> bytes) of the samples in tar shards; members of a key are grouped. Broken
-    shards and members give rows with an error instead of ending the job."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for url, content in zip(b["path"], b["content"], strict=True):
-                found: dict[str, dict[str, bytes]] = {}
-                error = None
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        for m in t:
-                            if m.isfile():
-                                stem, _, ext = m.name.rpartition("/")[2].partition(".")
-                                key = m.name[: len(m.name) - len(ext) - 1] if ext else stem
-                                found.setdefault(key, {})[ext.lower()] = t.extractfile(m).read()
-                except (tarfile.TarError, OSError, EOFError) as e:
-                    error = str(e)[:200]
-                rows = [(k, url, list(v.items()), None) for k, v in found.items()] + ([(None, url, [], error)] if error else [])
-                yield pd.DataFrame({"__key__": [r[0] for r in rows], "__url__": [r[1] for r in rows], "parts": [[{"key": a, "value": c} for a, c in r[2]] for r in rows], "error": [r[3] for r in rows]})
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = raw.mapInPandas(run, "__key__ string, __url__ string, parts array<struct<key:string,value:binary>>, error string")
-    return out.withColumn("parts", F.map_from_entries("parts"))
-
-
 def first_of(parts: str, extensions: Sequence[str]) -> Column:
     """The first available of several extensions."""
     return F.coalesce(*[F.element_at(parts, F.lit(e)) for e in extensions])
 
 
-def npz_rows(spark: SparkSession, path: str, name: str = "arr_0", batch: int = 1024) -> DataFrame:
-    """file, row and values of the rows of an array in npz files, flattened; read in batches of rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(f"{name}.npy") as f:
-                    a = np.load(io.BytesIO(f.read()), allow_pickle=False)
-                for s in range(0, len(a), batch):
-                    part = a[s : s + batch].reshape(len(a[s : s + batch]), -1).astype(float)
-                    yield pd.DataFrame({"file": p, "row": np.arange(s, s + len(part)), "values": list(part)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, values array<double>")
-
-
 def npy_masks(spark: SparkSession, path: str, size: int = 576, side: int = 24) -> DataFrame:
     """path and mask (flat) of npy files of `size` values or side x side; others give an error."""
 
@@ -263,7 +221,7 @@ def size_of(spark: SparkSession, path: str, sizes: dict[str, int] | None = None)
     return spark.read.parquet(path).count()
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"csv": lambda s, p, schema: table_text(s, p, schema, ","), "tsv": table_text, "tar": lambda s, p, schema=None: tar_samples(s, p)}
+READERS: dict[str, Callable[..., DataFrame]] = {"csv": lambda s, p, schema: table_text(s, p, schema, ","), "tsv": table_text, "tar": lambda s, p, schema=None: tar_samples(s, p), "npz": lambda s, p, schema=None: npz_rows(s, p)}
 
 
 def read_by_extension(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
