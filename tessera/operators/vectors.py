@@ -68,29 +68,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str,
     return out.withColumn("measure", -F.col("measure")) if by == "cosine" else out
 
 
-def within(rows: DataFrame, queries: DataFrame, key: str, vector: str, radius: str, block: int = 4096, parts: int = 0) -> DataFrame:
-    """query, hit, realism: whether the query lies within the (squared) radius of any row, and the largest radius / distance.
-
-    Dealt out as in nearest(); a (part, block) yields one row a query.
-    """
-    rows = rows.select(F.col(vector).cast("array<double>").alias("v"), F.col(radius).cast("double").alias("r"), F.xxhash64(key).alias("h"))
-    queries = queries.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("q"))
-    parts = parts or max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 50_000))
-    blocks = -(-max(1, queries.count()) // block)
-
-    def reach(_key, r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if r.empty or q.empty:
-            return pd.DataFrame({"query": [], "hit": [], "realism": []}).astype({"query": "int64", "hit": "bool", "realism": "float64"})
-        a, b, radius = np.stack(r["v"]), np.stack(q["q"]), r["r"].to_numpy()
-        d = np.maximum((b**2).sum(1)[:, None] + (a**2).sum(1) - 2 * b @ a.T, 0)
-        return pd.DataFrame({"query": q["query"], "hit": (d <= radius + 1e-12).any(1), "realism": (radius / (d + 1e-6)).max(1)})
-
-    left = rows.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(reach, "query long, hit boolean, realism double")
-    return found.groupBy("query").agg(F.bool_or("hit").alias("hit"), F.max("realism").alias("realism"))
-
-
 def positions(df: DataFrame, vector: str, *keep: str) -> DataFrame:
     """Long form: pos and value of each component."""
     return df.select(*keep, F.posexplode(vector).alias("pos", "value"))

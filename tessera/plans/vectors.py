@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import pivots as P
 from tessera.operators import vectors as V
 from tessera.operators.common import laid_out, numbered
 from tessera.plans.registry import query, table
@@ -70,7 +71,7 @@ def _radii(spark, d):
     out = None
     for side in (0, 1):
         own = v.where(F.col("vec_id") % 2 == side)
-        near = V.nearest(own, own, 3, "vec_id", "embedding", "l2").where("rank = 3")
+        near = P.nearest(P.index(own, "vec_id", "embedding"), own, "vec_id", "embedding", 3)[0].where("rank = 3")
         near = near.select(F.col("query").alias("id"), F.col("measure").alias("radius"), F.lit(side).alias("side"))
         out = near if out is None else out.unionByName(near)
     return out
@@ -83,11 +84,12 @@ SELECT CASE WHEN id % 2 = 0 THEN 'precision' ELSE 'recall' END AS name, round(av
 )
 def manifold_pr(spark, d):
     """Share of even vectors within the odd ones' manifold (precision), and the other way round (recall)."""
-    v, radii = _vectors(spark, d), _radii(spark, d)
+    v, radii = _vectors(spark, d), laid_out(_radii(spark, d))
     out = None
     for side, name in ((0, "precision"), (1, "recall")):
         own, other = v.where(F.col("vec_id") % 2 == side), v.where(F.col("vec_id") % 2 == 1 - side)
-        per = V.within(other.join(radii.select(F.col("id").alias("vec_id"), "radius"), "vec_id"), own, "vec_id", "embedding", "radius")
+        limits = P.index(other.join(radii.select(F.col("id").alias("vec_id"), "radius"), "vec_id"), "vec_id", "embedding", "radius")
+        per = P.within(limits, own, "vec_id", "embedding")
         row = per.agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("value"), F.round(F.max("realism"), 4).alias("realism")).withColumn("name", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
@@ -101,14 +103,14 @@ def fid(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT vec_id, vec_id // 250 AS split, i, exp(embedding[i]::DOUBLE * 10) AS x FROM embeddings, range(1, 11) t(i)),
+    """WITH e AS (SELECT vec_id, vec_id // 250 AS split, i, exp(embedding[i]::DOUBLE * 10) AS x FROM embeddings, range(1, 65) t(i)),
 p AS (SELECT vec_id, split, i, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e),
 k AS (SELECT vec_id, split, p * (ln(p) - ln(avg(p) OVER (PARTITION BY split, i))) AS kl FROM p),
 s AS (SELECT split, vec_id, sum(kl) AS kl FROM k GROUP BY 1, 2) SELECT split, round(exp(avg(kl)), 6) AS score FROM s GROUP BY 1"""
 )
 def inception_score(spark, d):
-    """Splits of 250 by id; the first ten components, scaled and through a softmax, are the class probabilities."""
-    x = F.transform(F.slice("embedding", 1, 10), lambda c: F.exp(c.cast("double") * 10))
+    """Splits of 250 by id; all components, scaled and through a softmax, are the class probabilities."""
+    x = F.transform("embedding", lambda c: F.exp(c.cast("double") * 10))
     total = F.aggregate("x", F.lit(0.0), lambda s, c: s + c)
     rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 250).alias("split"), x.alias("x"))
     rows = rows.select("id", "split", F.transform("x", lambda c: c / total).alias("p"))
