@@ -154,17 +154,6 @@ def complete(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("_hit", F.when(F.col("_hit"), True).otherwise(F.raise_error(F.concat(F.lit("no match for "), F.col(key).cast("string"))))).where("_hit").drop("_hit")
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: str) -> DataFrame:
-    """n draws with replacement by weight: draw i takes the row whose range of cumulated weights holds its random number."""
-    w = Window.partitionBy(F.lit(0)).orderBy(key)
-    ranges = df.select(key, weight, F.sum(weight).over(w).alias("hi"), F.sum(weight).over(Window.partitionBy(F.lit(0))).alias("total"))
-    ranges = ranges.withColumn("lo", F.col("hi") - F.col(weight))
-    unit = F.conv(F.substring(hash_order(seed, "draw"), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", unit)
-    # few shards, many draws: the shards are the side that is sent
-    return draws.join(F.broadcast(ranges), (F.col("u") * F.col("total") >= F.col("lo")) & (F.col("u") * F.col("total") < F.col("hi"))).select("draw", key)
-
-
 def large_enough(width: Column, height: Column, least: int) -> Column:
     """valid: 1 if the shorter side has `least` pixels; 0 for smaller and for unreadable (null) images, whose rows stay."""
     return F.when(width.isNotNull() & height.isNotNull() & (F.least(width, height) >= least), 1).otherwise(0)

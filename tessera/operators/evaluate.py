@@ -77,6 +77,13 @@ def product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1.0), lambda a, x: a * F.coalesce(x, F.lit(1.0)))
 
 
+def product_of(x: Column) -> Column:
+    """Aggregate: the product of a group's values, from sums alone: of logarithms, of signs and of zeros. Null values contribute 1."""
+    size = F.exp(F.sum(F.when(x != 0, F.log(F.abs(x))).otherwise(0.0)))
+    sign = F.when(F.count_if(x < 0) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(F.count_if(x == 0) > 0, 0.0).otherwise(sign * size)
+
+
 def case_composite(spatial: Column, action: Column, s: Column, a: Column, c: Column) -> Column:
     """(s + a) / 2 of spatial rows, (c + a) / 2 of action rows, else the mean of all three."""
     return F.when(spatial, (s + a) / 2).when(action, (c + a) / 2).otherwise((s + a + c) / 3)

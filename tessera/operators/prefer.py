@@ -61,10 +61,9 @@ def strict_rejected(answers: Column, margin: float = 0.5) -> Column:
     return F.exists(answers, lambda a: a["p_no"] - a["p_yes"] > margin)
 
 
-def pairs_by_slot(chosen: DataFrame, rejected: DataFrame, extra: str = "ord") -> DataFrame:
-    """Each chosen candidate with the first rejected one of its item and slot."""
-    order = [extra] if extra in rejected.columns else ["local_score"]
-    first = top_k(rejected, ["item_id", "slot"], order)
+def pairs_by_slot(chosen: DataFrame, rejected: DataFrame, order: str | None = None) -> DataFrame:
+    """Each chosen candidate with the first rejected one, by the order, of its item and slot. Without an order each slot holds one."""
+    first = top_k(rejected, ["item_id", "slot"], [order]) if order else rejected
     return chosen.select("item_id", "slot", F.col("local_score").alias("chosen_score")).join(
         first.select("item_id", "slot", F.col("local_score").alias("rejected_score")), ["item_id", "slot"]
     )

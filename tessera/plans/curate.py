@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import curate as C
 from tessera.operators.common import numbered
+from tessera.operators.selection import weighted_draws
 from tessera.plans.registry import query, table
 
 ALLOWED, DISALLOWED = ["the", "that"], ["and"]
@@ -51,17 +52,8 @@ def rule_columns(spark, d):
     return part.join(F.broadcast(first)).select("p_partkey", F.array_join(methods, ",").alias("methods"), F.lit("T2I").alias("task_id"))
 
 
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'a' ELSE 'b' END AS origin FROM documents WHERE doc_id % 3 < 2 OR doc_id % 2 = 0"""
-)
-def gather_dedup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    a, b = docs.where("doc_id % 3 < 2").withColumn("origin", F.lit("a")), docs.where("doc_id % 2 = 0").withColumn("origin", F.lit("b"))
-    return C.sorted_by_number(C.union_first([a, b], "doc_id"), "doc_id")
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'a' ELSE 'b' END AS origin FROM documents")
-def gather_dedup_whole(spark, d):
+def gather_dedup(spark, d):
     """Two inputs that overlap and together hold all rows."""
     docs = table(spark, d, "documents").select("doc_id")
     a, b = docs.where("doc_id % 3 < 2").withColumn("origin", F.lit("a")), docs.where("doc_id % 3 <> 0 OR doc_id IS NULL").withColumn("origin", F.lit("b"))
@@ -73,19 +65,11 @@ def distinct_keep_first(spark, d):
     return C.keep_first(table(spark, d, "documents"), ["text"], ["doc_id"], 500).select("doc_id", "n_chars")
 
 
-@query(
-    """SELECT id, source, row_number() OVER (ORDER BY id NULLS FIRST, source) AS place FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderkey END AS id,
-  'orders' AS source FROM orders WHERE o_orderkey < 500 UNION ALL SELECT l_orderkey, 'lineitem' FROM lineitem WHERE l_orderkey < 200)"""
-)
-def merge_sorted(spark, d):
-    return _merged(table(spark, d, "orders").where("o_orderkey < 500"), table(spark, d, "lineitem").where("l_orderkey < 200"))
-
-
 @query(
     """SELECT id, source, row_number() OVER (ORDER BY id NULLS FIRST, source) AS place FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderkey END AS id,
   'orders' AS source FROM orders UNION ALL SELECT l_orderkey, 'lineitem' FROM lineitem)"""
 )
-def merge_sorted_whole(spark, d):
+def merge_sorted(spark, d):
     return _merged(table(spark, d, "orders"), table(spark, d, "lineitem"))
 
 
@@ -168,23 +152,13 @@ def lookup_filters(spark, d):
     return out.withColumn("verdict", F.when(F.col("prompt") == "", "skipped").when(F.col("output") == "", "contaminated").when(F.col("quality") == 0, "low").otherwise("keep"))
 
 
-@query(
-    """SELECT 'intended' AS variant, id, origin FROM (SELECT c_custkey AS id, 'have' AS origin FROM customer WHERE c_custkey <= 100
-  UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 20))
-UNION ALL SELECT 'literal', id, origin FROM (SELECT c_custkey AS id, 'have' AS origin FROM customer WHERE c_custkey <= 100
-  UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 21))"""
-)
-def top_up(spark, d):
-    return _topped_up(table(spark, d, "customer").where("c_custkey <= 100"), table(spark, d, "orders"))
-
-
 @query(
     """SELECT 'intended' AS variant, id, origin FROM (SELECT c_custkey AS id, 'have' AS origin FROM customer
   UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 20))
 UNION ALL SELECT 'literal', id, origin FROM (SELECT c_custkey AS id, 'have' AS origin FROM customer
   UNION ALL SELECT * FROM (SELECT o_orderkey, 'more' FROM orders ORDER BY 1 LIMIT 21))"""
 )
-def top_up_whole(spark, d):
+def top_up(spark, d):
     return _topped_up(table(spark, d, "customer"), table(spark, d, "orders"))
 
 
@@ -211,28 +185,20 @@ def submission(spark, d):
 
 @query(
     """WITH few AS (SELECT 'few' AS kind, doc_id AS draw, doc_id AS pick FROM documents ORDER BY md5('few:' || doc_id), doc_id LIMIT 5),
-epoch AS (SELECT 'epoch' AS kind, row_number() OVER (ORDER BY md5('e1:' || doc_id), doc_id) AS draw, doc_id AS pick FROM documents WHERE doc_id < 50),
-w AS (SELECT r_regionkey AS k, sum(r_regionkey + 1) OVER (ORDER BY r_regionkey) AS hi, r_regionkey + 1 AS weight, sum(r_regionkey + 1) OVER () AS total FROM region),
-draws AS (SELECT i AS draw, ('0x' || substr(md5('w:' || i), 1, 8))::BIGINT / 4294967296.0 AS u FROM range(200) t(i)),
+epoch AS (SELECT 'epoch' AS kind, row_number() OVER (ORDER BY md5('e1:' || doc_id), doc_id) AS draw, doc_id AS pick FROM documents),
+c AS (SELECT c_custkey AS k, c_custkey % 7 AS weight FROM customer WHERE c_custkey % 7 > 0),
+w AS (SELECT k, sum(weight) OVER (ORDER BY k) AS hi, weight, sum(weight) OVER () AS total FROM c),
+draws AS (SELECT i AS draw, ('0x' || substr(md5('w:' || i), 1, 8))::BIGINT / 4294967296.0 AS u FROM range((SELECT count(*) FROM customer)) t(i)),
 drawn AS (SELECT 'weighted' AS kind, draw, k AS pick FROM draws JOIN w ON u * total >= hi - weight AND u * total < hi),
-choice AS (SELECT 'choice' AS kind, event_id AS draw, CASE WHEN ('0x' || substr(md5('c:' || event_id), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 0 ELSE 1 END AS pick FROM events WHERE event_id < 200)
+choice AS (SELECT 'choice' AS kind, event_id AS draw, CASE WHEN ('0x' || substr(md5('c:' || event_id), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 0 ELSE 1 END AS pick FROM events)
 SELECT * FROM few UNION ALL SELECT * FROM epoch UNION ALL SELECT * FROM drawn UNION ALL SELECT * FROM choice"""
 )
 def samplers(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     few = C.sample_n(docs, "doc_id", 5, "few").select(F.lit("few").alias("kind"), F.col("doc_id").alias("draw"), F.col("doc_id").alias("pick"))
-    epoch = _epoch(docs.where("doc_id < 50"))
-    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), (F.col("r_regionkey") + 1).alias("weight"))
-    drawn = C.weighted_draws(regions, "k", "weight", 200, "w").select(F.lit("weighted").alias("kind"), "draw", F.col("k").alias("pick"))
-    return few.unionByName(epoch).unionByName(drawn).unionByName(_choice(table(spark, d, "events").where("event_id < 200")))
-
-
-@query(
-    """SELECT 'epoch' AS kind, row_number() OVER (ORDER BY md5('e1:' || doc_id), doc_id) AS draw, doc_id AS pick FROM documents
-UNION ALL SELECT 'choice', event_id, CASE WHEN ('0x' || substr(md5('c:' || event_id), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 0 ELSE 1 END FROM events"""
-)
-def samplers_whole(spark, d):
-    return _epoch(table(spark, d, "documents").select("doc_id")).unionByName(_choice(table(spark, d, "events")))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"), (F.col("c_custkey") % 7).alias("weight"))
+    drawn = weighted_draws(customers, "k", "weight", customers.count(), "w").select(F.lit("weighted").alias("kind"), "draw", F.col("k").alias("pick"))
+    return few.unionByName(_epoch(docs)).unionByName(drawn).unionByName(_choice(table(spark, d, "events")))
 
 
 def _epoch(docs):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as E
 from tessera.operators.common import numbered, top_k
+from tessera.operators.selection import quantile
 from tessera.plans.registry import query, table
 
 
@@ -149,8 +150,8 @@ def anls(spark, d):
     """SELECT l_orderkey, round(product(1 - l_discount), 10) AS reward, round(avg(round(1 - l_discount, 4)), 8) AS mean FROM lineitem GROUP BY 1"""
 )
 def product_reward(spark, d):
-    kept = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(1 - F.col("l_discount")).alias("x"), F.round(F.avg(F.round(1 - F.col("l_discount"), 4)), 8).alias("mean"))
-    return kept.select("l_orderkey", F.round(E.product(F.col("x")), 10).alias("reward"), "mean")
+    x = 1 - F.col("l_discount")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(E.product_of(x), 10).alias("reward"), F.round(F.avg(F.round(x, 4)), 8).alias("mean"))
 
 
 @query(
@@ -167,17 +168,6 @@ def composite_score(spark, d):
     return E.prioritised([first, first.where("user_id % 7 = 0").withColumn("score", F.lit(-1.0))], "user_id").select("user_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    """WITH o AS (SELECT l_orderkey, l_returnflag AS obj, count(*) AS n FROM lineitem GROUP BY 1, 2),
-w AS (SELECT l_orderkey, count(*) AS k FROM o GROUP BY 1)
-SELECT l_orderkey, round(sum((0.5 + CASE WHEN n = 2 THEN 0.5 ELSE 0 END) / k), 6) AS score FROM o JOIN w USING (l_orderkey) GROUP BY 1"""
-)
-def numeracy_score(spark, d):
-    """Half for each object that is present, half if its count is as asked (2); objects weigh alike."""
-    objects = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
-    return objects.groupBy("l_orderkey").agg(F.round(F.sum(0.5 + F.when(F.col("n") == 2, 0.5).otherwise(0.0)) / F.count("*"), 6).alias("score"))
-
-
 @query(
     """SELECT 'type' AS level, event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(count(*) FILTER (value > 50) / nullif(count(*), 0), 0), 6) AS share,
   round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 2
@@ -186,10 +176,12 @@ UNION ALL SELECT 'class', CAST(quality AS VARCHAR), count(*), 0, 0, 0 FROM label
 )
 def means_guarded(spark, d):
     share = F.coalesce(F.try_divide(F.count_if(F.col("value") > 50), F.count("*")), F.lit(0.0))
-    stats = [F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(share, 6).alias("share"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95")]
-    events = table(spark, d, "events")
-    by = events.groupBy(F.col("event_type").alias("name")).agg(*stats).withColumn("level", F.lit("type"))
-    whole = events.agg(*stats).withColumns({"level": F.lit("all"), "name": F.lit("all")})
+    stats = [F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(share, 6).alias("share")]
+    events = table(spark, d, "events").select(F.col("event_type").alias("name"), "value")
+    p95 = F.round("quantile", 6).alias("p95")
+    tails = quantile(events, "value", 0.95, "name").select(F.col("name").alias("of"), p95)
+    by = events.groupBy("name").agg(*stats).withColumn("level", F.lit("type")).join(tails, F.col("name").eqNullSafe(F.col("of")), "left").drop("of")
+    whole = events.agg(*stats).withColumns({"level": F.lit("all"), "name": F.lit("all")}).join(quantile(events, "value", 0.95).select(p95), how="left")
     zero = F.lit(0.0)
     classes = table(spark, d, "labels").groupBy(F.col("quality").cast("string").alias("name")).agg(F.count("*").alias("n")).where("n >= 10").withColumns({"mean": zero, "share": zero, "p95": zero, "level": F.lit("class")})
     return by.unionByName(whole).unionByName(classes)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import pivots as P
 from tessera.operators import vectors as V
 from tessera.operators.common import laid_out, numbered
+from tessera.operators.selection import quantile
 from tessera.plans.registry import query, table
 
 _FRAME_BLOCK = 65_536
@@ -59,8 +60,8 @@ k AS (SELECT id, d2 AS radius FROM d WHERE r = 3)"""
 
 @query(_RADII + " SELECT id, round(radius, 6) AS radius, round(CASE WHEN radius > quantile_cont(radius, 0.9) OVER (PARTITION BY id % 2) THEN 0 ELSE radius END, 6) AS clamped FROM k")
 def knn_radius(spark, d):
-    radii = _radii(spark, d)
-    cut = radii.groupBy("side").agg(F.percentile("radius", F.lit(0.9)).alias("cut"))
+    radii = laid_out(_radii(spark, d))
+    cut = quantile(radii, "radius", 0.9, "side").withColumnRenamed("quantile", "cut")
     clamped = F.when(F.col("radius") > F.col("cut"), 0.0).otherwise(F.col("radius"))
     return radii.join(F.broadcast(cut), "side").select("id", F.round("radius", 6).alias("radius"), F.round(clamped, 6).alias("clamped"))
 

@@ -143,3 +143,16 @@ def test_islands_and_ema(spark):
     for i in range(1, 5):
         want = 0.9 * want + 0.1 * i
     assert meters.ema(df, "v", ["u"], ["i"]).first().ema == pytest.approx(want)
+
+
+def test_products_from_sums(spark):
+    from tessera.operators.evaluate import product_of
+
+    groups = {"a": [2.0, -3.0, None, 0.5], "b": [0.0, -1.0, 5.0], "c": [-1.0, -1.0, -7.25], "d": [None], "e": [1e200, 1e-200, 3.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
+    got = {r.g: r.p for r in df.groupBy("g").agg(product_of(F.col("x")).alias("p")).collect()}
+    for g, xs in groups.items():
+        want = 1.0
+        for x in xs:
+            want *= 1.0 if x is None else x
+        assert abs(got[g] - want) <= 1e-9 * max(1.0, abs(want))
