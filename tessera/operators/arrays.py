@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,30 +104,3 @@ def smoothed(grid: DataFrame, by: Sequence[str], x: str, y: str, value: str, sig
     sums = moved.groupBy(*by, x, y).agg((F.sum("_v") / F.sum("_w")).alias("smooth"))
     return grid.join(sums, [*by, x, y])
 
-
-def labelled_components(grid: DataFrame, by: str, x: str, y: str, on: str) -> DataFrame:
-    """component (from 0 by first cell, row by row) and its mass for the cells of each group's grid that are on; eight
-    neighbours. A group is one grid, of bounded size."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {(int(a), int(b)) for a, b, o in zip(pdf[x], pdf[y], pdf[on], strict=True) if o}
-        found: dict[tuple[int, int], int] = {}
-        n = 0
-        for c in sorted(cells):
-            if c in found:
-                continue
-            stack = [c]
-            found[c] = n
-            while stack:
-                i, j = stack.pop()
-                for other in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                    if other in cells and other not in found:
-                        found[other] = n
-                        stack.append(other)
-            n += 1
-        out = pdf[[by, x, y]].copy()
-        out["component"] = [found.get((int(a), int(b)), -1) for a, b in zip(pdf[x], pdf[y], strict=True)]
-        return out
-
-    kinds = dict(grid.dtypes)
-    return grid.select(by, x, y, on).groupBy(by).applyInPandas(label, f"{by} {kinds[by]}, {x} {kinds[x]}, {y} {kinds[y]}, component long")

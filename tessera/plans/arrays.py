@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import arrays as A
 from tessera.operators.common import r6
+from tessera.operators.regions import labelled_components
 from tessera.plans.registry import query, table
 
 _SOFT = """WITH e AS (SELECT event_type, event_id, exp((value - max(value) OVER (PARTITION BY event_type)) / 20) AS x FROM events),
@@ -49,7 +50,7 @@ def _grid(spark, d):
     return table(spark, d, "events").select("event_type", F.hour("ts").cast("long").alias("row"), col.alias("col"), (F.col("event_id") % 2).alias("word"), "value")
 
 
-_GRID = "WITH g AS (SELECT event_type, hour(ts) AS row, least(CAST(floor(value / 100 * 24) AS BIGINT), 23) AS col, event_id % 2 AS word, value FROM events)"
+_GRID = "WITH RECURSIVE g AS (SELECT event_type, hour(ts) AS row, least(CAST(floor(value / 100 * 24) AS BIGINT), 23) AS col, event_id % 2 AS word, value FROM events)"
 
 
 @query(_GRID + " SELECT event_type, row, col, bool_or(value > 55) AS mask, round(max(value), 6) AS map, round(avg(m), 6) AS mean FROM (SELECT *, avg(value) OVER (PARTITION BY event_type, row, col, word) AS m FROM g) GROUP BY 1, 2, 3")
@@ -59,14 +60,27 @@ def mask_union(spark, d):
     return g.withColumn("m", m).groupBy("event_type", "row", "col").agg(F.bool_or(F.col("value") > 55).alias("mask"), r6(F.max("value")).alias("map"), r6(F.avg("m")).alias("mean"))
 
 
-@query()
+@query(
+    _GRID
+    + """, c AS (SELECT event_type, row, col, sum(value) AS mass FROM g GROUP BY 1, 2, 3),
+o AS (SELECT i, j, exp(-(i * i + j * j) / 2.0) AS w FROM range(-2, 3) a(i), range(-2, 3) b(j)),
+k AS (SELECT event_type, row + i AS row, col + j AS col, sum(mass * w) / sum(w) AS smooth FROM c, o GROUP BY 1, 2, 3),
+f AS (SELECT c.*, smooth > avg(smooth) OVER (PARTITION BY event_type) AS lit FROM c JOIN k USING (event_type, row, col)),
+n AS (SELECT event_type, row, col, mass FROM f WHERE lit),
+reach AS (SELECT event_type, row, col, row AS r, col AS c FROM n UNION
+  SELECT reach.event_type, reach.row, reach.col, n.row, n.col FROM reach JOIN n ON n.event_type = reach.event_type AND abs(n.row - reach.r) <= 1 AND abs(n.col - reach.c) <= 1),
+own AS (SELECT event_type, row, col, min(r * 1000 + c) AS part FROM reach GROUP BY 1, 2, 3),
+m AS (SELECT event_type, part, sum(mass) AS mass FROM own JOIN n USING (event_type, row, col) GROUP BY 1, 2),
+p AS (SELECT event_type, mass / sum(mass) OVER (PARTITION BY event_type) AS p FROM m)
+SELECT event_type, count(*) AS components, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY 1"""
+)
 def component_mass(spark, d):
     """Entropy of the masses of a map's connected components, after smoothing."""
     cells = _grid(spark, d).groupBy("event_type", "row", "col").agg(F.sum("value").alias("mass"))
     smooth = A.smoothed(cells, ["event_type"], "row", "col", "mass")
     cut = smooth.groupBy("event_type").agg(F.avg("smooth").alias("cut"))
     grid = smooth.join(cut, "event_type").withColumn("on", F.col("smooth") > F.col("cut"))
-    labels = A.labelled_components(grid, "event_type", "row", "col", "on").join(grid, ["event_type", "row", "col"]).where("component >= 0")
+    labels = labelled_components(grid, "event_type", "row", "col", "on").join(grid, ["event_type", "row", "col"]).where("component >= 0")
     parts = labels.groupBy("event_type", "component").agg(F.sum("mass").alias("mass"))
     p = F.col("mass") / F.sum("mass").over(Window.partitionBy("event_type"))
     return parts.withColumn("p", p).groupBy("event_type").agg(F.count("*").alias("components"), r6(-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
