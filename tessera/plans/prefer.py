@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import prefer as P
 from tessera.operators.common import r6
+from tessera.operators.curate import complete
 from tessera.plans.registry import query, table
 
 _CANDIDATES = """
@@ -90,7 +91,7 @@ def pair_reject_reasons(spark, d):
 def pair_join_init(spark, d):
     init = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"), "c_name")
     prompts = F.array(*[F.concat(F.lit(f"{w} "), "c_name") for w in ("first", "second", "third")])
-    best = P.best_pair(kept_pairs(spark, d)).join(init, "item_id")
+    best = complete(P.best_pair(kept_pairs(spark, d)), init, "item_id")  # a pair whose item is unknown fails the query
     return best.select("item_id", "c_name", "slot", F.element_at(prompts, (F.col("slot") + 1).cast("int")).alias("rejected_prompt"))
 
 

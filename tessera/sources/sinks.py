@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import blob_type
-from tessera.operators.common import top_k
+from tessera.operators.common import fresh, top_k
 from tessera.operators.curate import sorted_by_number
 
 
@@ -146,6 +146,34 @@ def exactly(df: DataFrame, n: int) -> DataFrame:
     return df
 
 
+def checked(df: DataFrame, path: str, checks: dict[str, Column], form: str = "parquet") -> dict[str, int]:
+    """Writes df to a new path, if no row fails a check: the rows for which each holds are counted as they are written, in the same
+    pass, and a write with failed rows is taken back and raises. Returns the number of rows."""
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(f"failed_{k}") for k, c in checks.items()])
+    marked.write.format(form).save(path)
+    failed = {k: seen.get[f"failed_{k}"] for k in checks if seen.get[f"failed_{k}"]}
+    if failed:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        raise ValueError(f"of {seen.get['rows']} rows failed: " + ", ".join(f"{k} {n}" for k, n in failed.items()))
+    return {"rows": seen.get["rows"]}
+
+
+def joined_complete(left: DataFrame, right: DataFrame, key: str, path: str, form: str = "parquet") -> dict[str, int]:
+    """Writes the join of each left row with its right one; if a left row has none, nothing is left at the path."""
+    [hit] = fresh([*left.columns, *right.columns], "hit")
+    joined = left.join(right.withColumn(hit, F.lit(True)), key, "left").withColumn(hit, F.coalesce(hit, F.lit(False)))
+    seen = Observation()
+    rows = joined.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(hit)).alias("missing"))
+    rows.where(hit).drop(hit).write.format(form).save(path)
+    if seen.get["missing"]:
+        at = left.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(left.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        raise KeyError(f"{seen.get['missing']} of {seen.get['rows']} rows have no match by {key}")
+    return {"rows": seen.get["rows"]}
+
+
 def spreadsheet(df: DataFrame, path: str, limit: int = 1_000_000) -> None:
     """A CSV that spreadsheets open; more rows than they hold are refused."""
     if df.limit(limit + 1).count() > limit:
