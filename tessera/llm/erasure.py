@@ -183,7 +183,8 @@ def erasure(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines:
     files that are left."""
     spark = clients.sparkSession
     folder = new_path(spark, "erasure")
-    of_sale = sales.where("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("of_client"))
+    # written first: a join of two plain shuffles is one that Spark can split where a sale has very many lines
+    of_sale = stored(sales.where("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("of_client")), "sale-clients")
     key, sale = fresh(sale_lines.columns, "of_client", "of_sale")
     keyed = sale_lines.join(of_sale.toDF(sale, key), F.col("sale_id") == F.col(sale), "left").select(*quoted(sale_lines.columns), crc(F.col(key)).alias(key))
     laid = {name: lay_out(df, name, folder, [crc(F.col("client_id"))], files) for name, df in (("clients", clients), ("clicks", clicks), ("sales", sales))}
