@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.common import fresh, placed
+
 
 def softmax(x: Column, by: Sequence[str], temperature: float = 1.0) -> Column:
     """Shifted by the largest, so that no exponent overflows."""
@@ -17,29 +19,51 @@ def softmax(x: Column, by: Sequence[str], temperature: float = 1.0) -> Column:
 
 
 def with_softmax(df: DataFrame, x: str, by: Sequence[str], temperature: float = 1.0, name: str = "p") -> DataFrame:
+    """For many small groups; a group is one task's."""
     w = Window.partitionBy(*by)
     shifted = df.withColumn("_e", F.exp((F.col(x) - F.max(x).over(w)) / temperature))
     return shifted.withColumn(name, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+def _with_aggregates(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
+    """df with aggregates of its group: partial ones in every task, and a join with a row a group."""
+    per = df.groupBy(*by).agg(*[v.alias(k) for k, v in aggregates.items()])
+    theirs = fresh([*df.columns, *aggregates], *[f"_of{k}" for k in range(len(by))])
+    same = F.lit(True)
+    for c, o in zip(by, theirs, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    return df.join(per.withColumnsRenamed(dict(zip(by, theirs, strict=True))), same).drop(*theirs)
+
+
+def with_softmax_of_few(df: DataFrame, x: str, by: Sequence[str], temperature: float = 1.0, name: str = "p") -> DataFrame:
+    """The same for few groups of many rows: no task sees a whole group."""
+    top, e, total = fresh(df.columns, "_top", "_e", "_total")
+    shifted = _with_aggregates(df, by, **{top: F.max(x)}).withColumn(e, F.exp((F.col(x) - F.col(top)) / temperature)).drop(top)
+    return _with_aggregates(shifted, by, **{total: F.sum(e)}).withColumn(name, F.col(e) / F.col(total)).drop(e, total)
+
+
 def concentration(df: DataFrame, p: str, by: Sequence[str], order: str, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Entropy, normalised entropy, mass of the k largest, and Gini coefficient of each group's values."""
-    up = F.row_number().over(Window.partitionBy(*by).orderBy(p, order))
-    down = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(p), order))
-    ranked = df.withColumns({"_up": up, "_down": down})
+    """Entropy, normalised entropy, mass of the k largest, and Gini coefficient of each group's values. Ranks are running numbers over
+    ranges; the largest few come from a limit in each task."""
+    ranked = placed(df.select(*by, p, order), by, [p, order], "_up")
     n, total = F.count("*"), F.sum(p)
     entropy = -F.sum(F.when(F.col(p) > 0, F.col(p) * F.log(p)).otherwise(0.0))
     gini = (2 * F.sum(F.col("_up") * F.col(p)) / total - (n + 1)) / n
-    return ranked.groupBy(*by).agg(
-        n.alias("n"), entropy.alias("entropy"), F.try_divide(entropy, F.log(n)).alias("normalised"), gini.alias("gini"), *[F.sum(F.when(F.col("_down") <= k, F.col(p))).alias(f"top_{k}") for k in ks]
-    )
-
-
-def scaled(x: Column, by: Sequence[str]) -> Column:
-    """To 0..1 within the group."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return (x - low) / (high - low + 1e-8)
+    whole = ranked.groupBy(*by).agg(n.alias("n"), entropy.alias("entropy"), F.try_divide(entropy, F.log(n)).alias("normalised"), gini.alias("gini"))
+    down = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(p), order))
+    largest = df.select(*by, p, order).withColumn("_down", down).where(F.col("_down") <= max(ks))
+    masses = largest.groupBy(*by).agg(*[F.sum(F.when(F.col("_down") <= k, F.col(p))).alias(f"top_{k}") for k in ks])
+    theirs = [f"_of{k}" for k in range(len(by))]
+    same = F.lit(True)
+    for c, o in zip(by, theirs, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    return whole.join(masses.withColumnsRenamed(dict(zip(by, theirs, strict=True))), same).drop(*theirs)
+
+
+def with_scaled(df: DataFrame, x: str, by: Sequence[str], name: str) -> DataFrame:
+    """name: x brought to 0..1 within the group."""
+    low, high = fresh([*df.columns, name], "_low", "_high")
+    return _with_aggregates(df, by, **{low: F.min(x), high: F.max(x)}).withColumn(name, (F.col(x) - F.col(low)) / (F.col(high) - F.col(low) + 1e-8)).drop(low, high)
 
 
 def otsu(df: DataFrame, value: str, by: Sequence[str], bins: int = 256) -> DataFrame:

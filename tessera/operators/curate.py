@@ -154,6 +154,33 @@ def complete(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("_hit", F.when(F.col("_hit"), True).otherwise(F.raise_error(F.concat(F.lit("no match for "), F.col(key).cast("string"))))).where("_hit").drop("_hit")
 
 
+def without_leading(df: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column, place: str) -> DataFrame:
+    """df without the first row of each group, if that does not open it; the others' places run from 0."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    first, n = F.first(F.coalesce(opens, F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(w).cast("long")
+    marked = df.withColumns({place: n, "_opens": first})
+    dropped = (~F.col("_opens")).cast("long")
+    return marked.where((F.col(place) > 1) | F.col("_opens")).withColumn(place, F.col(place) - 1 - dropped).drop("_opens")
+
+
+def of_categories(answers: DataFrame, questions: DataFrame, key: str, category: str, wanted: Sequence[str]) -> DataFrame:
+    """Answers, with the category of their question, whose question has one of the categories. Only such questions are shuffled."""
+    return answers.join(questions.select(key, category).where(F.col(category).isin(*wanted)), key)
+
+
+def with_caption_and_image(df: DataFrame, caption: str, images: Sequence[str], name: str = "image") -> DataFrame:
+    """Rows with a caption and one of the images, of which the first is taken."""
+    return df.withColumn(name, F.coalesce(*map(F.col, images))).where(F.col(caption).isNotNull() & F.col(name).isNotNull())
+
+
+def missing_fields(df: DataFrame, names: Sequence[str]) -> Column:
+    """An array of those of the required fields that are null, or texts without a character but blanks. A field that df does not have
+    is missing from all rows."""
+    kinds = dict(df.dtypes)
+    lacks = [F.lit(True) if c not in kinds else (F.col(c).isNull() | (F.trim(c) == "")) if kinds[c] == "string" else F.col(c).isNull() for c in names]
+    return F.filter(F.array(*[F.when(x, F.lit(c)) for c, x in zip(names, lacks, strict=True)]), lambda c: c.isNotNull())
+
+
 def large_enough(width: Column, height: Column, least: int) -> Column:
     """valid: 1 if the shorter side has `least` pixels; 0 for smaller and for unreadable (null) images, whose rows stay."""
     return F.when(width.isNotNull() & height.isNotNull() & (F.least(width, height) >= least), 1).otherwise(0)

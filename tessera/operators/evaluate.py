@@ -89,6 +89,16 @@ def case_composite(spatial: Column, action: Column, s: Column, a: Column, c: Col
     return F.when(spatial, (s + a) / 2).when(action, (c + a) / 2).otherwise((s + a + c) / 3)
 
 
+def top_hits(scores: DataFrame, truth: DataFrame, key: str, label: str, score: str, ks: Sequence[int]) -> DataFrame:
+    """top_k for each of the ks: is the true class among the k with the largest scores, ties by class? A true class without a score
+    is no hit. Scores are counted against the true one's, so that no rank of all classes is needed."""
+    own = truth.select(key, F.col(label).alias("_true")).join(scores.select(key, F.col(label).alias("_true"), F.col(score).alias("_own")), [key, "_true"], "left")
+    others = scores.select(key, F.col(label).alias("_class"), F.col(score).alias("_score"))
+    before = (F.col("_score") > F.col("_own")) | ((F.col("_score") == F.col("_own")) & (F.col("_class") < F.col("_true")))
+    place = own.join(others, key, "left").groupBy(key, "_true", "_own").agg(F.count_if(before).alias("_before"))
+    return place.select(key, *[(F.col("_own").isNotNull() & (F.col("_before") < k)).alias(f"top_{k}") for k in ks])
+
+
 def prioritised(frames: Sequence[DataFrame], key: str) -> DataFrame:
     """Union of score tables in which later ones overwrite earlier ones."""
     out = None

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import hash_order, numbered
+from tessera.operators.common import hash_order, laid_out, numbered
 
 #: Values that a side may have that is multiplied with every row.
 SIDE_VALUES = 1000
@@ -139,11 +139,22 @@ def natural_key(text: Column) -> Column:
 
 
 def containing(df: DataFrame, text: Column, words: DataFrame, name: str = "word") -> DataFrame:
-    """Rows with each word that their text contains. The words are at most SIDE_VALUES, which is checked; a map over the rows, not a join."""
-    found = sorted(r[0] for r in words.where(F.col(words.columns[0]).isNotNull()).distinct().limit(SIDE_VALUES + 1).collect())
-    if len(found) > SIDE_VALUES:
-        raise ValueError(f"more than {SIDE_VALUES} words")
-    held = F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
+    """Rows with each word that their text contains. A map over the rows, not a join: SIDE_VALUES words at a time, so that any number of
+    words takes bounded plans, and a pass over the rows for each SIDE_VALUES of them."""
+    listed = words.select(F.col(words.columns[0]).alias("w")).where("w is not null").distinct()
+    few = sorted(r.w for r in listed.limit(SIDE_VALUES + 1).collect())
+    if len(few) <= SIDE_VALUES:
+        return _with_found(df, text, few, name)
+    places = laid_out(numbered(listed, ["w"], "place"))
+    out = None
+    for at in range(0, places.count(), SIDE_VALUES):
+        part = _with_found(df, text, [r.w for r in places.where((F.col("place") >= at) & (F.col("place") < at + SIDE_VALUES)).orderBy("w").collect()], name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _with_found(df: DataFrame, text: Column, words: Sequence[str], name: str) -> DataFrame:
+    held = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     return df.withColumn(name, F.explode(F.filter(held, lambda w: F.contains(text, w))))
 
 

@@ -22,16 +22,20 @@ def sliding(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str],
 
 
 def ema(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], early: float = 0.9, late: float = 0.99, switch: int = 10) -> DataFrame:
-    """Moving average folded in order; the first value is copied, the decay changes after `switch` steps. A group is folded as
-    one sorted array."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("v"))
-
-    def fold(a: Column, s: Column) -> Column:
-        d = F.when(a["n"] < switch, F.lit(early)).otherwise(F.lit(late))
-        return F.struct((a["n"] + 1).alias("n"), F.when(a["n"] == 0, s["_x"]).otherwise(d * a["v"] + (1 - d) * s["_x"]).alias("v"))
-
-    return df.groupBy(*by).agg(steps.alias("_s")).select(*by, F.size("_s").cast("long").alias("n"), F.aggregate("_s", start, fold, lambda a: a["v"]).alias("ema"))
+    """n and the moving average of each group in its order; the first value is copied, the decay changes after `switch` steps.
+
+    The last average is a weighted sum: a value's weight is its own share times the decays of all steps behind it, which its place
+    and the number of steps tell. So it is an aggregate over placed rows, and no group is an array.
+    """
+    w = Window.partitionBy(*by)
+    place = F.row_number().over(w.orderBy(*order)).cast("double") - 1
+    rows = df.select(*by, F.col(value).cast("double").alias("_x"), place.alias("_i"), F.count("*").over(w).cast("double").alias("_n"))
+    i, n = F.col("_i"), F.col("_n")
+    own = F.when(i == 0, 1.0).when(i < switch, 1 - early).otherwise(1 - late)
+    behind_early = F.greatest(F.least(n, F.lit(float(switch))) - (i + 1), F.lit(0.0))
+    behind_late = F.greatest(n - F.greatest(i + 1, F.lit(float(switch))), F.lit(0.0))
+    weight = own * F.pow(F.lit(early), behind_early) * F.pow(F.lit(late), behind_late)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(weight * F.col("_x")).alias("ema"))
 
 
 def islands(df: DataFrame, key: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -84,8 +84,9 @@ def centroids(df: DataFrame, by: str, vector: str, unit: bool = True) -> DataFra
     return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))
 
 
-def assigned(df: DataFrame, book: DataFrame, code: str, vector: str) -> DataFrame:
-    """df with the code whose centroid has the largest cosine (the smallest code of equals); null vectors get none.
+def assigned(df: DataFrame, book: DataFrame, code: str, vector: str, by: str = "cosine") -> DataFrame:
+    """df with the code whose centroid has the largest cosine (the smallest code of equals); null vectors get none. By "l2" it is the
+    one of the least squared distance, by "unit l2" that of unit vectors; the score is then its negative.
 
     Rows meet the codebook in one matrix product a batch. It is sent to the executors in parts of at most BOOK_NUMBERS
     numbers, so a codebook of any size takes bounded memory and no shuffle of the rows.
@@ -98,14 +99,22 @@ def assigned(df: DataFrame, book: DataFrame, code: str, vector: str) -> DataFram
         part = rows.where((F.col("place") >= at) & (F.col("place") < at + per)).select("code", "centroid").orderBy("code").collect()  # at most `per` codes
         if part:
             sent = df.sparkSession.sparkContext.broadcast((np.array([r["code"] for r in part], np.int64), np.array([r["centroid"] for r in part], float)))
-            out = out.mapInArrow(_nearest_code(sent, vector), out.schema)
+            out = out.mapInArrow(_nearest_code(sent, vector, by), out.schema)
     return out
 
 
-def _nearest_code(sent, vector: str):
+def _nearest_code(sent, vector: str, by: str):
+    unit = lambda m: m / np.sqrt((m**2).sum(1))[:, None]
+
+    def scored(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+        if by == "cosine":
+            return x @ unit(book).T / np.sqrt((x**2).sum(1))[:, None]
+        if by == "unit l2":
+            x, book = unit(x), unit(book)
+        return 2 * x @ book.T - (x**2).sum(1)[:, None] - (book**2).sum(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, book = sent.value
-        unit = book / np.sqrt((book**2).sum(1))[:, None]
         for b in batches:
             names = b.schema.names
             col, had, was = (b.column(names.index(c)) for c in (vector, "code", "score"))
@@ -113,7 +122,7 @@ def _nearest_code(sent, vector: str):
             new_code, new_score = had.to_pylist(), was.to_pylist()
             if len(some):
                 x = col.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1)
-                scores = np.round(x @ unit.T / np.sqrt((x**2).sum(1))[:, None], 9)
+                scores = np.round(scored(x, book), 9)
                 best = scores.argmax(1)
                 for k, c, s in zip(some.tolist(), codes[best].tolist(), scores[np.arange(len(some)), best].tolist(), strict=True):
                     if new_score[k] is None or s > new_score[k]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import arrays as A
-from tessera.operators.common import r6
+from tessera.operators.common import laid_out, r6
 from tessera.operators.regions import labelled_components
 from tessera.plans.registry import query, table
 
@@ -22,7 +22,7 @@ SELECT event_type, count(*) AS n, round(-sum(p * ln(p)), 6) AS entropy, round(-s
   round(sum(p) FILTER (down <= 1), 6) AS top_1, round(sum(p) FILTER (down <= 5), 6) AS top_5, round(sum(p) FILTER (down <= 10), 6) AS top_10 FROM r GROUP BY 1"""
 )
 def softmax_entropy(spark, d):
-    p = A.with_softmax(table(spark, d, "events").select("event_type", "event_id", "value"), "value", ["event_type"], 20.0)
+    p = laid_out(A.with_softmax_of_few(table(spark, d, "events").select("event_type", "event_id", "value"), "value", ["event_type"], 20.0))
     out = A.concentration(p, "p", ["event_type"], "event_id")
     return out.select("event_type", "n", *[r6(F.col(c)).alias(c) for c in out.columns if c not in ("event_type", "n")])
 
@@ -37,7 +37,7 @@ t AS (SELECT event_type, centre AS threshold, variance FROM v QUALIFY row_number
 SELECT event_type, round(threshold, 6) AS threshold, round(variance, 6) AS variance, count(*) FILTER (x > threshold) AS above, round(avg(1 / (1 + exp(-10 * (x - threshold)))), 6) AS soft FROM m JOIN t USING (event_type) GROUP BY 1, 2, 3"""
 )
 def otsu(spark, d):
-    m = table(spark, d, "events").select("event_type", A.scaled(F.col("value"), ["event_type"]).alias("x"))
+    m = A.with_scaled(table(spark, d, "events").select("event_type", "value"), "value", ["event_type"], "x")
     t = A.otsu(m, "x", ["event_type"])
     joined = m.join(t, "event_type")
     out = joined.groupBy("event_type", "threshold", "variance").agg(F.count_if(F.col("x") > F.col("threshold")).alias("above"), r6(F.avg(A.soft_mask(F.col("x"), F.col("threshold"), 10.0))).alias("soft"))
@@ -55,9 +55,10 @@ _GRID = "WITH RECURSIVE g AS (SELECT event_type, hour(ts) AS row, least(CAST(flo
 
 @query(_GRID + " SELECT event_type, row, col, bool_or(value > 55) AS mask, round(max(value), 6) AS map, round(avg(m), 6) AS mean FROM (SELECT *, avg(value) OVER (PARTITION BY event_type, row, col, word) AS m FROM g) GROUP BY 1, 2, 3")
 def mask_union(spark, d):
-    g = _grid(spark, d)
-    m = F.avg("value").over(Window.partitionBy("event_type", "row", "col", "word"))
-    return g.withColumn("m", m).groupBy("event_type", "row", "col").agg(F.bool_or(F.col("value") > 55).alias("mask"), r6(F.max("value")).alias("map"), r6(F.avg("m")).alias("mean"))
+    # a word's mean counts once for each of its rows
+    words = _grid(spark, d).groupBy("event_type", "row", "col", "word").agg(F.bool_or(F.col("value") > 55).alias("mask"), F.max("value").alias("map"), F.count("*").alias("rows"), F.avg("value").alias("m"))
+    mean = F.sum(F.col("m") * F.col("rows")) / F.sum(F.when(F.col("m").isNotNull(), F.col("rows")))
+    return words.groupBy("event_type", "row", "col").agg(F.bool_or("mask").alias("mask"), r6(F.max("map")).alias("map"), r6(mean).alias("mean"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import arrays, branches, curate, evaluate, inventory, meters, prefer, text, vectors  # noqa: F401  they register themselves
+from tessera.plans import arrays, branches, curate, evaluate, inventory, lookups, meters, prefer, text, vectors  # noqa: F401  they register themselves
 from tessera.plans.registry import QUERIES, SQL, Query
 
 

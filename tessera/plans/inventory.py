@@ -164,14 +164,28 @@ def profile_meter(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", one(F.percentile("value", F.lit(0.5)), long).alias("median"), one(F.min("value"), short).alias("least"), one(F.max("value"), short).alias("most"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag || l_linestatus AS file, l_returnflag AS name, l_linestatus AS suffix, row_number() OVER w AS r, coalesce(l_returnflag <> lag(l_returnflag) OVER w, true) AS fresh
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag || l_linestatus)),
+g AS (SELECT l_suppkey, l_orderkey, l_linenumber, file, name, suffix, r, 1::BIGINT AS _run, 0::BIGINT AS grp, [suffix] AS seen FROM o WHERE r = 1
+UNION ALL SELECT o.l_suppkey, o.l_orderkey, o.l_linenumber, o.file, o.name, o.suffix, o.r, _run + o.fresh::BIGINT, CASE WHEN o.fresh THEN 0 ELSE grp + list_contains(seen, o.suffix)::BIGINT END,
+  CASE WHEN o.fresh OR list_contains(seen, o.suffix) THEN [o.suffix] ELSE list_append(seen, o.suffix) END FROM g JOIN o ON o.l_suppkey = g.l_suppkey AND o.r = g.r + 1)
+SELECT l_suppkey, _run, l_orderkey, l_linenumber, file, name, suffix, grp AS "group" FROM g"""
+)
 def sample_groups(spark, d):
     """Files of a shard: names by order, kinds by line; a name's run breaks when a kind comes again."""
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("suffix"))
-    return I.sample_groups(rows, "name", "suffix", ["l_suppkey"], ["l_orderkey", "l_linenumber"])
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("suffix"), F.concat("l_returnflag", "l_linestatus").alias("file"))
+    return I.sample_groups(rows, "name", "suffix", ["l_suppkey"], ["l_orderkey", "l_linenumber", "file"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE b AS MATERIALIZED (SELECT l_orderkey, l_partkey % 7 AS x, l_suppkey % 5 AS y, l_returnflag AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 7, l_suppkey % 5, l_returnflag) AS r FROM lineitem),
+k AS (SELECT l_orderkey, r, [struct_pack(x, y, label)] AS kept FROM b WHERE r = 1
+UNION ALL SELECT b.l_orderkey, b.r, CASE WHEN len(list_filter(kept, lambda e: e.label = b.label AND greatest(6 - abs(e.x - b.x), 0) * greatest(6 - abs(e.y - b.y), 0)
+  >= 0.5 * (72 - greatest(6 - abs(e.x - b.x), 0) * greatest(6 - abs(e.y - b.y), 0)))) > 0 THEN kept ELSE list_append(kept, struct_pack(x := b.x, y := b.y, label := b.label)) END
+  FROM k JOIN b ON b.l_orderkey = k.l_orderkey AND b.r = k.r + 1)
+SELECT l_orderkey, CAST(r AS INTEGER) AS boxes, CAST(len(kept) AS INTEGER) AS kept FROM k QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY r DESC) = 1"""
+)
 def box_dedup(spark, d):
     """Lines of an order as boxes of its part numbers and amounts, without those that a kept one of their flag covers."""
     side = lambda c, n: (F.col(c) % n).cast("double")

@@ -80,8 +80,7 @@ def test_words_in_labels(spark):
     words = spark.createDataFrame([("car",), ("red",), ("car",), (None,)], "w string")
     assert sorted(tuple(r) for r in I.containing(df, F.col("label"), words).collect()) == [("cargo", "car"), ("red car", "car"), ("red car", "red")]
     assert I.containing(df, F.col("label"), words.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="words"):
-        I.containing(df, F.col("label"), spark.range(1001).select(F.col("id").cast("string")))
+    assert I.containing(df, F.col("label"), spark.range(1001).select(F.concat(F.lit("car"), "id"))).count() == 0  # any number of words
 
 
 @pytest.mark.parametrize("n", [0, 7, 8, 12])

@@ -129,13 +129,6 @@ def test_nucleus_keeps_a_dominant_token(spark):
     assert df.where(F.lit(True)).select(arrays.nucleus_kept("p", ["g"], "t", 1.0).alias("k")).where("k").count() == 2
 
 
-def test_components_touch_at_corners(spark):
-    cells = [(1, r, c, (r, c) in {(0, 0), (1, 1), (3, 3)}) for r, c in itertools.product(range(4), repeat=2)]
-    df = spark.createDataFrame(cells, "g int, r int, c int, o boolean")
-    got = arrays.labelled_components(df, "g", "r", "c", "o").where("component >= 0").select("component").distinct().count()
-    assert got == 2
-
-
 def test_islands_and_ema(spark):
     df = spark.createDataFrame([(1, i, k, float(i)) for i, k in enumerate("aabba")], "u int, i int, k string, v double")
     assert [r.island for r in meters.islands(df, "k", ["u"], ["i"]).orderBy("i").collect()] == [1, 1, 2, 2, 3]

@@ -49,3 +49,10 @@ def test_components_of_a_graph(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}, 2000: 2000, 2001: 2000, 3000: 3000}
     assert components(df.select(F.struct(F.col("a").alias("n")).alias("a"), F.struct(F.col("b").alias("n")).alias("b")).limit(0)).count() == 0
+
+
+def test_components_touch_at_corners(spark):
+    cells = [(1, r, c, (r, c) in {(0, 0), (1, 1), (3, 3)}) for r, c in itertools.product(range(4), repeat=2)]
+    df = spark.createDataFrame(cells, "g int, r int, c int, o boolean")
+    got = labelled_components(df, "g", "r", "c", "o").where("component >= 0").select("component").distinct().count()
+    assert got == 2
