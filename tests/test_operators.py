@@ -1,6 +1,5 @@
 """Edges that the tables do not have."""
 
-import itertools
 import random
 
 import pytest

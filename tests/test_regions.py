@@ -1,5 +1,6 @@
 """Components of graphs and of maps that are cut into tiles, against a flood fill."""
 
+import itertools
 import random
 
 import pytest
