@@ -15,6 +15,11 @@ def decision(p_yes: Column, p_no: Column) -> Column:
     return F.when(p_yes > p_no, "yes").when(p_yes < p_no, "no").otherwise("tie")
 
 
+def scored_decision(p_yes: Column, p_no: Column, score: Column) -> Column:
+    """The decision, or no_score where the score is null or not a number."""
+    return F.when(score.isNull() | F.isnan(score), "no_score").otherwise(decision(p_yes, p_no))
+
+
 def candidate_scores(answers: DataFrame, digits: int = 6) -> DataFrame:
     """One row a candidate from its answers (item_id, kind, slot, margin): mean margin, counts by decision, extremes.
 

@@ -147,12 +147,12 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
 
     parts = df.select(F.col(vector).alias("v")).mapInPandas(sums, "n long, s array<double>, ss array<double>")
-    many = parts.select("n", F.posexplode(F.concat("s", "ss")).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").collect()
-    n = int(parts.agg(F.sum("n")).first()[0] or 0)
-    x = np.array([r["x"] for r in many])
+    long = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "ss")).alias("pos", "x"))
+    x = np.array([r["x"] for r in long.groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").collect()])
+    n, x = (int(x[0]), x[1:]) if len(x) else (0, x)
     d = int(round((-1 + np.sqrt(1 + 4 * len(x))) / 2))
-    mean = x[:d] / n
-    return n, mean, (x[d:].reshape(d, d) - n * np.outer(mean, mean)) / (n - 1)
+    mean = x[:d] / max(n, 1)
+    return n, mean, (x[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
 def frechet(m1: np.ndarray, c1: np.ndarray, m2: np.ndarray, c2: np.ndarray) -> float:

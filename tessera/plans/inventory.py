@@ -201,9 +201,9 @@ def box_dedup(spark, d):
 def decisions(spark, d):
     """Answers by probabilities; a score that is not a number is no score."""
     p = F.when(F.col("p_size") % 3 == 0, F.lit(25)).otherwise(F.col("p_size"))
-    made = P.decision(p, F.when(F.col("p_size") == 25, F.lit(26)).otherwise(F.lit(25)))
     score = F.when(F.col("p_size") % 5 == 0, F.lit(float("nan"))).otherwise(1.0)
-    return table(spark, d, "part").select("p_partkey", F.when(F.isnan(score), "no_score").otherwise(made).alias("decision"))
+    made = P.scored_decision(p, F.when(F.col("p_size") == 25, F.lit(26)).otherwise(F.lit(25)), score)
+    return table(spark, d, "part").select("p_partkey", made.alias("decision"))
 
 
 @query(

@@ -108,9 +108,10 @@ def category_lines(spark: SparkSession, folder: str, categories: Sequence[str],
     return out
 
 
-def table_text(spark: SparkSession, path: str, schema: str, sep: str = "\t", columns: Sequence[str] = (), base64_col: str | None = None) -> DataFrame:
-    """TSV or CSV with a header; fields may hold line ends in quotes; a column may be base64."""
-    df = spark.read.schema(schema).csv(path, sep=sep, header=True, multiLine=True, escape='"')
+def table_text(spark: SparkSession, path: str, schema: str, sep: str = "\t", columns: Sequence[str] = (), base64_col: str | None = None, line_ends_in_fields: bool = True) -> DataFrame:
+    """TSV or CSV with a header; a column may be base64. Fields may hold line ends in quotes, and then a file is one task's; a file without
+    such fields is read by many."""
+    df = spark.read.schema(schema).csv(path, sep=sep, header=True, multiLine=line_ends_in_fields, escape='"')
     if base64_col:
         df = df.withColumn(base64_col, F.unbase64(base64_col))
     return df.select(*columns) if columns else df
@@ -145,7 +146,7 @@ def class_folders(spark: SparkSession, folder: str) -> DataFrame:
     """files() with the folder's name as class, and its rank among the classes as label from 0."""
     df = files(spark, folder).withColumn("class", F.element_at(F.split("path", "/"), -2))
     ranks = numbered(df.select("class").distinct(), ["class"], "label")
-    return df.join(F.broadcast(ranks), "class")
+    return df.join(ranks, "class")
 
 
 def mask_index(spark: SparkSession, folder: str, suffix: str = "_mask.pt") -> DataFrame:
@@ -215,9 +216,11 @@ def synthetic(spark: SparkSession, n: int, **columns: object) -> DataFrame:
 def size_of(spark: SparkSession, path: str, sizes: dict[str, int] | None = None) -> int:
     """Rows of Parquet files: from known sizes by file name if all are known, else from the footers."""
     if sizes is not None:
-        names = [r["path"].rpartition("/")[2] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()]
-        if all(n in sizes for n in names):
-            return sum(sizes[n] for n in names)
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+        known = spark.createDataFrame(list(sizes.items()), "name string, n long")
+        found = names.join(known, "name", "left").agg(F.count_if(F.col("n").isNull()).alias("unknown"), F.sum("n").alias("n")).first()
+        if not found.unknown:
+            return found.n or 0
     return spark.read.parquet(path).count()
 
 
