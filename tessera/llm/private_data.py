@@ -3,10 +3,11 @@
 Fixed patterns find emails, addresses, cards and phones; these spans stay as they are and are the seeds. Lexical patterns
 are the one or two words that stand before an entity, and the word before together with the word behind. Identifier-shaped strings that the fixed patterns do not accept
 (numbers with separators, words with an at sign or its spelled form) are instances yet unknown. Patterns and instances
-form a bipartite graph which Spark scores in rounds: a pattern's confidence for a kind is the smoothed mean of its
-distinct instances' belief in it, an instance's belief is that of its best pattern. A pattern counts once it has `support`
-distinct seeds or instances believed with `confidence`, so found instances bring in patterns of their own. Rounds end when no
-score moves by `tolerance`. Patterns with at least that confidence give their kind to the unknown instances behind them whose
+form a bipartite graph which Spark scores in rounds: a pattern's confidence for a kind is the smoothed share of seeds and believed
+instances among all that it holds, where an unknown one weighs `doubt`. An instance is believed once a confident pattern other than
+the one that is scored holds it; so found instances bring in patterns of their own, and a common word is not made sure by what stands
+behind it alone. A pattern counts once it has `support` seeds and believed instances; rounds end when no pattern is added.
+Confident patterns give their kind to the unknown instances behind them whose
 shape allows it; the same string behind another context is judged by that one.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. A repeated row gives a repeated result.
@@ -176,40 +177,39 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     return docs.select(F.col(id_col).cast("long").alias(id_col), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), text_col).mapInArrow(run, _SCAN)
 
 
-def confident_patterns(edges: DataFrame, support: int = 5, confidence: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
+def confident_patterns(edges: DataFrame, support: int = 5, confidence: float = 0.8, doubt: float = 0.1) -> DataFrame:
     """pattern, kind, confidence of the patterns that may name unknown instances. edges: pattern, instance, kind (-1 unknown), allowed.
 
-    A round solves each pattern's mean for the unknown instances that it is itself the best pattern of, given the belief of
-    the others: these would otherwise rise by ever smaller steps. Scores only grow, towards the least that agree with themselves.
+    An instance is believed for a pattern once another confident pattern holds it, so that no pattern vouches for itself. With S seeds
+    of the kind, B believed ones, K known instances of any kind and U unknown ones, a pattern's confidence is
+    (S + B) / (K + B + doubt * (U - B) + 1). Confident patterns stay so, and the rounds end when none is added.
     """
     known = edges.where("kind >= 0").select("pattern", F.sha2("instance", 256).alias("instance"), "kind", F.lit("").alias("allowed"))
     lost = edges.where("kind < 0").select("pattern", F.sha2("instance", 256).alias("instance"), "kind", "allowed")
     # each distinct link counts once
     links = stored(known.unionByName(lost).groupBy("pattern", "instance", "kind").agg(F.max("allowed").alias("allowed")), "pattern-links")
-    every = stored(links.groupBy("pattern").agg(F.count("*").alias("all")), "pattern-sizes")
+    sizes = stored(links.groupBy("pattern").agg(F.count_if(F.col("kind") >= 0).alias("known"), F.count_if(F.col("kind") < 0).alias("unknown")), "pattern-sizes")
     seeds = stored(links.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")), "pattern-seeds")
     number = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
-    open_links = links.where("kind < 0").select("pattern", "instance", F.explode(F.split("allowed", ",")).alias("name")).select("pattern", "instance", number[F.col("name")].alias("kind"))
-    scores = stored(
-        seeds.where(F.col("seeds") >= support).join(every, "pattern").select("pattern", "kind", (F.col("seeds") / (F.col("all") + 1)).alias("confidence"), F.lit(1.0).alias("moved")), "pattern-scores"
-    )
-    while scores.where(F.col("moved") >= tolerance).limit(1).count():
-        scored = scores.drop("moved")
-        reach = open_links.join(scored, ["pattern", "kind"], "left")
-        belief = reach.where("confidence is not null").groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
-        own = F.coalesce(F.col("confidence") >= F.col("belief"), F.lit(False))
-        gained = (
-            reach.join(belief, ["instance", "kind"])
-            .groupBy("pattern", "kind")
-            .agg(F.sum(own.cast("long")).alias("own"), F.sum(F.when(own, 0.0).otherwise(F.col("belief"))).alias("gained"), F.sum((F.col("belief") >= confidence).cast("long")).alias("believed"))
-        )
-        n = {c: F.coalesce(c, F.lit(0)) for c in ("seeds", "own", "gained", "believed")}
-        # one that counted before counts on
-        both = seeds.join(gained, ["pattern", "kind"], "full").join(scored.withColumnRenamed("confidence", "old"), ["pattern", "kind"], "left")
-        both = both.where((n["seeds"] + n["believed"] >= support) | F.col("old").isNotNull()).join(every, "pattern")
-        new = (n["seeds"] + n["gained"]) / (F.col("all") + 1 - n["own"])
-        scores = stored(both.select("pattern", "kind", new.alias("confidence"), (new - F.coalesce("old", F.lit(-1.0))).alias("moved")), "pattern-scores")
-    return scores.where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
+    open_links = stored(links.where("kind < 0").select("pattern", "instance", F.explode(F.split("allowed", ",")).alias("name")).select("pattern", "instance", number[F.col("name")].alias("kind")), "pattern-open")
+
+    def scored(believed: DataFrame) -> DataFrame:
+        n, more = (F.coalesce(c, F.lit(0)) for c in ("seeds", "believed"))
+        both = seeds.join(believed, ["pattern", "kind"], "full").where(n + more >= support).join(sizes, "pattern")
+        of = F.col("known") + more + doubt * (F.col("unknown") - more) + 1
+        return stored(both.select("pattern", "kind", ((n + more) / of).alias("confidence")).where(F.col("confidence") >= confidence), "pattern-scores")
+
+    good = scored(seeds.select("pattern", "kind", F.lit(0).cast("long").alias("believed")))
+    have = good.count()
+    while have:
+        held = open_links.join(good.select("pattern", "kind", F.lit(1).alias("own")), ["pattern", "kind"], "left")
+        by = held.groupBy("instance", "kind").agg(F.sum("own").alias("holders")).where("holders > 0")
+        others = F.col("holders") - F.coalesce("own", F.lit(0))
+        good = scored(held.join(by, ["instance", "kind"]).where(others > 0).groupBy("pattern", "kind").agg(F.count("*").alias("believed")))
+        if (now := good.count()) == have:
+            break
+        have = now
+    return good
 
 
 def _added(scan: DataFrame, support: int, confidence: float) -> DataFrame:
