@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import hash_order, numbered, row_number, top_k
+from tessera.operators.common import hash_order, row_number, running_number, top_k
 
 #: Rows that a limit may gather in one partition.
 LIMIT_ROWS = 10_000
@@ -79,7 +79,7 @@ def keep_first(df: DataFrame, key: Sequence[str | Column], order: Sequence[str],
 def stratified_split(df: DataFrame, by: str, key: str, ratio: float, seed: str) -> DataFrame:
     """split: floor(n * ratio) rows of each stratum are val, by a repeatable random order; the rest is train."""
     # strata may be few and large: ranks follow from running numbers over the whole table, not from a window a stratum
-    ranked = numbered(df, [by, hash_order(seed, key), key], "_ord")
+    ranked = running_number(df, [by, hash_order(seed, key), key], "_ord")
     strata = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_ord").alias("_first"), F.count("*").alias("_n"))
     of = ranked.join(strata, F.col(by).eqNullSafe(F.col("_by")))
     return of.withColumn("split", F.when(F.col("_ord") - F.col("_first") < F.floor(F.col("_n") * ratio), "val").otherwise("train")).drop("_ord", "_by", "_first", "_n")
@@ -97,7 +97,7 @@ def head_fraction(df: DataFrame, key: str, fraction: float) -> DataFrame:
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """The first n rows by key. A limit gathers its rows in one partition, so many are told by their running numbers."""
-    return df.orderBy(key).limit(n) if n <= LIMIT_ROWS else numbered(df, [key], "_ord").where(F.col("_ord") < n).drop("_ord")
+    return df.orderBy(key).limit(n) if n <= LIMIT_ROWS else running_number(df, [key], "_ord").where(F.col("_ord") < n).drop("_ord")
 
 
 def k_per_class(df: DataFrame, by: str, key: str, k: int, seed: str) -> DataFrame:
@@ -107,7 +107,7 @@ def k_per_class(df: DataFrame, by: str, key: str, k: int, seed: str) -> DataFram
 def chunks(df: DataFrame, key: str, k: int) -> DataFrame:
     """chunk: contiguous chunks of ceil(n / k) rows by key; there may be fewer than k."""
     size = -(-df.count() // k)
-    return numbered(df, [key]).withColumn("chunk", F.floor(F.col("ord") / max(size, 1)).cast("long")).drop("ord")
+    return running_number(df, [key]).withColumn("chunk", F.floor(F.col("ord") / max(size, 1)).cast("long")).drop("ord")
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int | None = None, stop: int | None = None) -> DataFrame:
@@ -191,7 +191,7 @@ def rank_shards(df: DataFrame, order: Sequence[str], world: int, global_batch: i
     n = df.count()
     fill = min(n, -n % global_batch) if fill_last else 0
     total = max(n + fill, 1)
-    rows = numbered(df, order, "_pos")
+    rows = running_number(df, order, "_pos")
     if fill:
         rows = rows.unionByName(rows.where(F.col("_pos") < fill).withColumn("_pos", F.col("_pos") + n))
     rank = F.floor(((F.col("_pos") + 1) * world - 1) / total).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.common import numbered, top_k
+from tessera.operators.common import running_number, top_k
 
 
 def with_default(left: DataFrame, right: DataFrame, key: str, value: str, default: object, order: str | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def with_default(left: DataFrame, right: DataFrame, key: str, value: str, defaul
 
 def zipped(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
     """The i-th with the i-th; as many as the shorter has."""
-    return numbered(left, [left_order], "_i").join(numbered(right, [right_order], "_i"), "_i").drop("_i")
+    return running_number(left, [left_order], "_i").join(running_number(right, [right_order], "_i"), "_i").drop("_i")
 
 
 def confusion(predicted: Column, actual: Column) -> list[Column]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import hash_order, laid_out, numbered
+from tessera.operators.common import hash_order, laid_out, running_number
 
 #: Values that a side may have that is multiplied with every row.
 SIDE_VALUES = 1000
@@ -46,13 +46,13 @@ def phrase(seed: str, key: Column, phrases: Sequence[str]) -> Column:
 def subset(df: DataFrame, key: str, ratio: float, seed: str) -> DataFrame:
     """round(ratio * n) rows (halves to even) by a repeatable random order; told by running numbers, so no partition gathers them."""
     n = round(ratio * df.count())
-    return numbered(df, [hash_order(seed, key), key], "_ord").where(F.col("_ord") < n).drop("_ord")
+    return running_number(df, [hash_order(seed, key), key], "_ord").where(F.col("_ord") < n).drop("_ord")
 
 
 def even_parts(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """part: the rows by order cut at the whole numbers below 0, n/k, 2n/k, ..., n."""
     n = max(df.count(), 1)
-    rows = numbered(df, order, "_ord")
+    rows = running_number(df, order, "_ord")
     guess = F.floor((F.col("_ord") + 1) * k / n - F.lit(1e-12))
     # separators are floor(i * n / k): the part is the last whose separator is not beyond the row
     part = F.greatest(F.lit(0), F.least(F.lit(k - 1), guess))
@@ -145,7 +145,7 @@ def containing(df: DataFrame, text: Column, words: DataFrame, name: str = "word"
     few = sorted(r.w for r in listed.limit(SIDE_VALUES + 1).collect())
     if len(few) <= SIDE_VALUES:
         return _with_found(df, text, few, name)
-    places = laid_out(numbered(listed, ["w"], "place"))
+    places = laid_out(running_number(listed, ["w"], "place"))
     out = None
     for at in range(0, places.count(), SIDE_VALUES):
         part = _with_found(df, text, [r.w for r in places.where((F.col("place") >= at) & (F.col("place") < at + SIDE_VALUES)).orderBy("w").collect()], name)

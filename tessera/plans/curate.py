@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import curate as C
-from tessera.operators.common import numbered
+from tessera.operators.common import running_number
 from tessera.operators.selection import weighted_draws
 from tessera.plans.registry import query, table
 
@@ -76,7 +76,7 @@ def merge_sorted(spark, d):
 def _merged(orders, lineitem):
     a = orders.select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")).alias("id"), F.lit("orders").alias("source"))
     b = lineitem.select(F.col("l_orderkey").alias("id"), F.lit("lineitem").alias("source"))
-    return numbered(a.unionByName(b), ["id", "source"], "place", 1)
+    return running_number(a.unionByName(b), ["id", "source"], "place", 1)
 
 
 @query(
@@ -202,7 +202,7 @@ def samplers(spark, d):
 
 
 def _epoch(docs):
-    return numbered(docs, [C.hash_order("e1", "doc_id"), "doc_id"], "draw", 1).select(F.lit("epoch").alias("kind"), "draw", F.col("doc_id").alias("pick"))
+    return running_number(docs, [C.hash_order("e1", "doc_id"), "doc_id"], "draw", 1).select(F.lit("epoch").alias("kind"), "draw", F.col("doc_id").alias("pick"))
 
 
 def _choice(events):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as E
-from tessera.operators.common import numbered, top_k
+from tessera.operators.common import running_number, top_k
 from tessera.operators.selection import quantile
 from tessera.plans.registry import query, table
 
@@ -194,8 +194,8 @@ def means_guarded(spark, d):
 def natural_sort(spark, d):
     digits = F.regexp_extract("c_name", "([0-9]+)", 1)
     rows = table(spark, d, "customer").select("c_custkey", "c_name", F.regexp_extract("c_name", "_([0-9]+)", 1).alias("tail"))
-    rows = numbered(rows, [digits.try_cast("long"), "c_custkey"], "place", 1)
-    rows = numbered(rows, [F.regexp_replace("c_name", "[0-9]+", ""), F.lpad(digits, 20, "0"), "c_custkey"], "natural", 1)
+    rows = running_number(rows, [digits.try_cast("long"), "c_custkey"], "place", 1)
+    rows = running_number(rows, [F.regexp_replace("c_name", "[0-9]+", ""), F.lpad(digits, 20, "0"), "c_custkey"], "natural", 1)
     return rows.drop("c_name")
 
 

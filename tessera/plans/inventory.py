@@ -10,7 +10,7 @@ from tessera.operators import curate as C
 from tessera.operators import evaluate as E
 from tessera.operators import inventory as I
 from tessera.operators import prefer as P
-from tessera.operators.common import numbered
+from tessera.operators.common import running_number
 from tessera.plans.registry import query, table
 
 _TEMPLATES = ["a photo of {c}.", "a drawing of {c}.", "the {c}."]
@@ -214,7 +214,7 @@ SELECT p_partkey, row_number() OVER (ORDER BY k, p_partkey) AS place FROM k"""
 def natural_order(spark, d):
     """Names with several numbers in them."""
     name = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("-"), "p_name", F.lit("."), F.col("p_partkey").cast("string"))
-    return numbered(table(spark, d, "part").select("p_partkey", I.natural_key(name).alias("k")), ["k", "p_partkey"], "place", 1).drop("k")
+    return running_number(table(spark, d, "part").select("p_partkey", I.natural_key(name).alias("k")), ["k", "p_partkey"], "place", 1).drop("k")
 
 
 @query(
@@ -255,5 +255,5 @@ def text_trims(spark, d):
 def length_chunks(spark, d):
     """Documents in megabatches of 64 by a seeded order, each split evenly by length over 8 workers."""
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.md5(F.concat(F.lit("mega:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))
-    mega = numbered(docs, ["h", "doc_id"]).withColumn("megabatch", F.floor(F.col("ord") / 64).cast("long"))
+    mega = running_number(docs, ["h", "doc_id"]).withColumn("megabatch", F.floor(F.col("ord") / 64).cast("long"))
     return I.even_chunks(mega, "megabatch", "doc_id", "n_chars", 8)

@@ -10,7 +10,7 @@ from tessera.operators import curate as C
 from tessera.operators import evaluate as E
 from tessera.operators import pivots as P
 from tessera.operators import vectors as V
-from tessera.operators.common import laid_out, numbered, r6, shared_folder
+from tessera.operators.common import laid_out, r6, running_number, shared_folder
 from tessera.plans.registry import query, table
 from tessera.plans.vectors import _L2, _RADII, _radii, _vectors
 from tessera.streaming import durable
@@ -120,7 +120,7 @@ def required_fields(spark, d):
 @query("SELECT click_id, client_id, ts, row_number() OVER (ORDER BY client_id NULLS FIRST, ts NULLS FIRST, click_id NULLS FIRST) AS place FROM clicks")
 def request_order(spark, d):
     """Outputs by the id of their request, which a third of them may share, then by time; with their place."""
-    return numbered(table(spark, d, "clicks").select("click_id", "client_id", "ts"), ["client_id", "ts", "click_id"], "place", 1)
+    return running_number(table(spark, d, "clicks").select("click_id", "client_id", "ts"), ["client_id", "ts", "click_id"], "place", 1)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators.common import numbered, row_number
+from tessera.operators.common import row_number, running_number
 from tessera.plans.registry import query, table
 
 
@@ -181,7 +181,7 @@ SELECT doc_id, megabatch, row_number() OVER (PARTITION BY megabatch ORDER BY n_c
 def length_buckets(spark, d):
     """Documents in megabatches of 64 by a seeded order, longest first within each."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.md5(F.concat(F.lit("mega:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))
-    mega = numbered(docs, ["h", "doc_id"]).withColumn("megabatch", F.floor(F.col("ord") / 64).cast("long"))
+    mega = running_number(docs, ["h", "doc_id"]).withColumn("megabatch", F.floor(F.col("ord") / 64).cast("long"))
     return mega.select("doc_id", "megabatch", row_number(["megabatch"], [F.desc("n_chars"), "doc_id"]).alias("place"))
 
 

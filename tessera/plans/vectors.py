@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import pivots as P
 from tessera.operators import vectors as V
-from tessera.operators.common import laid_out, numbered
+from tessera.operators.common import laid_out, running_number
 from tessera.operators.selection import quantile
 from tessera.plans.registry import query, table
 
@@ -128,7 +128,7 @@ def code_usage(spark, d):
     """Distinct codes among the last 64 vectors, and the log10 magnitude floored at -10."""
     v = _vectors(spark, d)
     # blocks of running numbers, each with the 63 rows before it
-    rows = numbered(v.select("vec_id", "label", V.norm(F.col("embedding")).alias("size")), ["vec_id"])
+    rows = running_number(v.select("vec_id", "label", V.norm(F.col("embedding")).alias("size")), ["vec_id"])
     own = F.floor(F.col("ord") / _FRAME_BLOCK)
     carried = F.when(F.col("ord") % _FRAME_BLOCK >= _FRAME_BLOCK - 63, F.array(own, own + 1)).otherwise(F.array(own))
     w = Window.partitionBy("block").orderBy("ord").rowsBetween(-63, 0)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.common import numbered, top_k
+from tessera.operators.common import running_number, top_k
 from tessera.sources.archives import npz_rows, tar_samples
 from tessera.sources.lines import lines
 
@@ -96,7 +96,7 @@ def line_slice(spark: SparkSession, path: str, start: int, stop: int) -> DataFra
 def documents_per_file(spark: SparkSession, path: str) -> DataFrame:
     """idx (rank of the file's name from 0), stem and text, one row a file."""
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return numbered(whole, ["file"], "idx").select("idx", F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), F.col("value").alias("text"))
+    return running_number(whole, ["file"], "idx").select("idx", F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), F.col("value").alias("text"))
 
 
 def category_lines(spark: SparkSession, folder: str, categories: Sequence[str], suffix: str = "") -> DataFrame:
@@ -145,7 +145,7 @@ def files(spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGES)
 def class_folders(spark: SparkSession, folder: str) -> DataFrame:
     """files() with the folder's name as class, and its rank among the classes as label from 0."""
     df = files(spark, folder).withColumn("class", F.element_at(F.split("path", "/"), -2))
-    ranks = numbered(df.select("class").distinct(), ["class"], "label")
+    ranks = running_number(df.select("class").distinct(), ["class"], "label")
     return df.join(ranks, "class")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.common import fresh, numbered, top_k
+from tessera.operators.common import fresh, running_number, top_k
 from tessera.operators.curate import LIMIT_ROWS
 
 #: Seconds between looks at a query that may have reached its number.
@@ -57,7 +57,7 @@ def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     if n <= LIMIT_ROWS:
         return rows.orderBy(*order).limit(n)
     [place] = fresh(rows.columns, "place")
-    return numbered(rows, list(order), place).where(F.col(place) < n).drop(place)
+    return running_number(rows, list(order), place).where(F.col(place) < n).drop(place)
 
 
 def append_new(stream: DataFrame, journal: Journal, keys: Sequence[str], order: Sequence[str], checkpoint: str, answer: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:

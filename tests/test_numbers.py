@@ -56,3 +56,15 @@ def test_fixed_methods_by_sub_category(spark):
     rules = [(value == k, F.array(*map(F.lit, v))) for k, v in schemas.PERTURBATIONS.items()]
     df = spark.createDataFrame([(k,) for k in schemas.PERTURBATIONS], "sub string")
     assert {r.sub: r.m for r in df.select("sub", rule_column(value, rules).alias("m")).collect()} == schemas.PERTURBATIONS
+
+
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_small_and_large_tables_have_the_same_numbers(spark, monkeypatch, small):
+    from tessera.operators import common
+
+    monkeypatch.setattr(common, "SMALL_BYTES", small)
+    df = spark.createDataFrame([(k % 5 or None, k % 3, {"m": k}) for k in range(40)], "a int, b int, c map<string,int>")
+    rows = common.running_number(df, ["a", "b"], "n", 1).orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, 41)) and [(r.a, r.b) for r in rows] == sorted(((k % 5 or None, k % 3) for k in range(40)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    got = {(r.a, r.b, r.n) for r in common.placed(df.drop("c"), ["a"], ["b"], "n").collect()}
+    assert {a: sorted(n for x, _, n in got if x == a) for a, _, _ in got} == {a: list(range(1, 9)) for a in (None, 1, 2, 3, 4)}
