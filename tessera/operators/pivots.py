@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common import laid_out, numbered
+from tessera.operators.common import laid_out, running_number
 
 PIVOTS = 32
 PART_ROWS = 8192
@@ -77,7 +77,7 @@ def index(df: DataFrame, key: str, vector: str, limit: str | None = None, pivots
     held = np.array(at, float) if at else np.zeros((0, 0))
     if not at:
         return Index(rows.selectExpr("0L AS part", "id", "v", "v AS to", "limit"), rows.selectExpr("0L AS part", "0L AS n", "v AS least", "v AS largest", "limit", "id AS first"), held)
-    placed = numbered(_described(rows, held), ["home", "away", "id"], "place")
+    placed = running_number(_described(rows, held), ["home", "away", "id"], "place")
     placed = laid_out(placed.select(F.floor(F.col("place") / part_rows).cast("long").alias("part"), "id", "v", "to", "limit"))
     of = [(f(F.col("to")[k]).alias(f"{name}{k}")) for name, f in (("a", F.min), ("b", F.max)) for k in range(len(at))]
     ends = placed.groupBy("part").agg(F.count("*").alias("n"), F.max("limit").alias("limit"), F.min("id").alias("first"), *of)
