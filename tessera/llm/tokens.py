@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Segments kept by a worker; beyond it the cache starts anew.
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 100_000
 #: Longer segments are encoded each time.
 CACHE_CHARS = 48
 #: Control characters that Python and the tokenizers treat differently.
