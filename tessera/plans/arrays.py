@@ -92,7 +92,9 @@ e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY user_id)) AS x FROM c)
 
 
 def _tokens(spark, d):
-    c = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count("*").alias("n"), (F.sum("value") / 100).alias("logit"))
+    # equal sums tie in whatever order their values were added
+    logit = F.round(F.sum("value"), 9) / 100
+    c = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count("*").alias("n"), logit.alias("logit"))
     return A.with_softmax(c, "logit", ["user_id"])
 
 
