@@ -4,9 +4,9 @@ Every vector is described by its distances to a bounded number of pivots. Vector
 it) and cut into parts of equal numbers of rows; of a part the least and largest distance to each pivot are known. A query at
 distance d of a pivot is at least max(d - largest, least - d) away from every member of the part. So a query first looks into
 the part that may be closest, which bounds how far it has to look, and then only into parts that may be closer than that. Within a
-part, members are excluded by their own distances to the pivots where that leaves few.
+part, members are screened by one product in single precision (`screens`), which knows how far the query has to look.
 
-All work is in tasks that hold one part at a time; queries stream past the part. Parts' bounds are sent to the executors in
+All work is in tasks that hold one part at a time; a block of queries streams past the part. Parts' bounds are sent to the executors in
 blocks of at most BOUND_NUMBERS numbers. Where vectors have no clusters, little is excluded, and the results are the same.
 Each result says how many pairs were compared.
 """
@@ -22,14 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.common import laid_out, running_number
+from tessera.operators.screens import ROWS, Screen, blocks_of, distances, matrix, meet
 
 PIVOTS = 32
-PART_ROWS = 8192
+PART_ROWS = ROWS
 BOUND_NUMBERS = 8_000_000
-#: Pairs of a batch of queries and a part.
-BATCH_PAIRS = 4 << 20
-#: Distances to pivots that exclude members within a part, and the share of pairs below which the rest are compared one by one.
-INNER_PIVOTS, INNER_SHARE = 8, 0.1
 #: Bounds allow for rounding.
 SLACK = 1e-9
 
@@ -43,15 +40,6 @@ class Index:
     pivots: np.ndarray
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of each of a to each of b, by one matrix product."""
-    return np.round(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0), 12)
-
-
-def _matrix(lists: pa.Array) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
-
-
 def _lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1)))
 
@@ -62,7 +50,7 @@ def _described(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                to = np.sqrt(distances(_matrix(b.column(1)), pivots))
+                to = np.sqrt(distances(matrix(b.column(1)), pivots))
                 home = to.argmin(1)
                 yield pa.RecordBatch.from_arrays([*b.columns, _lists(to), pa.array(home.astype(np.int32)), pa.array(to[np.arange(len(to)), home])], names=["id", "v", "limit", "to", "home", "away"])
 
@@ -125,77 +113,26 @@ def _ask(queries: DataFrame, ix: Index, choose: Callable, schema: str) -> DataFr
     return out
 
 
-def _visits(ix: Index, asks: DataFrame, look: Callable, schema: str) -> DataFrame:
-    """look(the part's rows, a batch of asks) for each part that is asked. asks: part, query, v, to, bound (a squared distance)."""
-    rows = ix.rows.join(asks.select("part").distinct(), "part", "left_semi").select("part", F.lit(0).alias("kind"), "id", "v", "to", "limit")
-    sent = asks.select("part", F.lit(1).alias("kind"), F.col("query").alias("id"), "v", "to", F.col("bound").alias("limit"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-        for b in batches:
-            parts, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                if s == e:
-                    continue
-                if parts[s] != part:
-                    part, held = parts[s], []
-                if kinds[s] == 0:
-                    held.append(b.slice(s, e - s))
-                    continue
-                if not isinstance(held, Members):
-                    held = Members(held)
-                step = max(1, BATCH_PAIRS // len(held.ids))
-                for at in range(s, e, step):
-                    yield look(held, b.slice(at, min(step, e - at)))
-
-    return rows.unionByName(sent).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
-
-
-class Members:
-    """The rows of a part in the order of their ids."""
-
-    def __init__(self, batches: list[pa.RecordBatch]):
-        rows = pa.Table.from_batches(batches).sort_by("id").combine_chunks().to_batches()[0]
-        self.ids, self.v, self.to = rows.column(2).to_numpy(), _matrix(rows.column(3)), _matrix(rows.column(4))
-        self.limit = rows.column(5).to_numpy(zero_copy_only=False).astype(float)
-
-    def compared(self, asks: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distance of each ask to each member (infinite where it is excluded by pivots), and pairs compared by ask."""
-        v, to, bound = _matrix(asks.column(3)), _matrix(asks.column(4)), asks.column(5).to_numpy(zero_copy_only=False).astype(float)
-        far = np.sqrt(np.where(np.isnan(bound), np.inf, bound)) + SLACK
-        near = np.ones((len(v), len(self.ids)), bool)
-        if np.isfinite(far).all():
-            for k in range(min(INNER_PIVOTS, self.to.shape[1])):
-                near &= np.abs(to[:, k][:, None] - self.to[:, k]) <= far[:, None]
-        counts = near.sum(1)
-        if counts.sum() >= INNER_SHARE * near.size:
-            return distances(v, self.v), np.full(len(v), len(self.ids))
-        out = np.full(near.shape, np.inf)
-        q, m = np.nonzero(near)
-        out[q, m] = np.round(np.maximum((v[q] ** 2).sum(1) + (self.v[m] ** 2).sum(1) - 2 * (v[q] * self.v[m]).sum(1), 0), 12)
-        return out, counts
+def _visits(ix: Index, asks: DataFrame, look: Callable, schema: str, blocks: int) -> DataFrame:
+    """look(the part's rows, a batch of asks) for each part that is asked. asks: part, query, v, bound (a squared distance), slope.
+    A part that many ask is sent to several tasks, each with a block of the queries."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
+    cells = asks.select("part", block("query")).distinct()
+    rows = ix.rows.select("part", "id", "v", "limit").join(cells, "part")
+    sent = asks.select("part", block("query"), F.col("query").alias("id"), "v", "bound", "slope")
+    return meet(rows, sent, Screen, look, schema)
 
 
 NEAR = "query long, id long, measure double, compared long"
 
 
 def _nearest_of(k: int) -> Callable:
-    def look(part: Members, asks: pa.RecordBatch) -> pa.RecordBatch:
-        d, compared = part.compared(asks)
-        query = asks.column(2).to_numpy()
-        d[query[:, None] == part.ids] = np.inf
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        far = np.take_along_axis(d, top, 1)
+    def look(part: Screen, names: np.ndarray, v: np.ndarray, bound: np.ndarray, slope: np.ndarray) -> pa.RecordBatch:
+        at, ids, far = part.nearest(names, v, k, bound)
         # a row without an id carries how many pairs were compared
-        ids = np.concatenate([top, np.full((len(top), 1), -1)], 1)
-        keep = np.concatenate([np.isfinite(far), np.ones((len(far), 1), bool)], 1)
-        own = ids >= 0
-        count = np.where(own, 0, compared[:, None])
-        names = np.where(own, part.ids[np.maximum(ids, 0)], 0)
-        far = np.concatenate([far, np.full((len(far), 1), np.inf)], 1)
-        rows = np.broadcast_to(query[:, None], ids.shape)
-        return pa.RecordBatch.from_arrays([pa.array(rows[keep]), pa.array(names[keep], mask=~own[keep]), pa.array(far[keep], mask=~own[keep]), pa.array(count[keep].astype(np.int64))], names=["query", "id", "measure", "compared"])
+        none = pa.nulls(len(names), pa.int64())
+        counts = np.concatenate([np.zeros(len(at), np.int64), np.full(len(names), len(part.ids))])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[at], names])), pa.concat_arrays([pa.array(ids), none]), pa.concat_arrays([pa.array(far), pa.nulls(len(names), pa.float64())]), pa.array(counts)], names=["query", "id", "measure", "compared"])
 
     return look
 
@@ -205,6 +142,11 @@ def _queries(df: DataFrame, key: str, vector: str, ix: Index) -> DataFrame:
     return laid_out(_described(rows, ix.pivots).select(F.col("id").alias("query"), "v", "to"))
 
 
+def _first_look(at_home: DataFrame) -> DataFrame:
+    """Each query in its home part, with nothing known."""
+    return at_home.select(F.col("home").alias("part"), "query", "v", F.lit(None).cast("double").alias("bound"), F.lit(0.0).alias("slope"))
+
+
 def _first_part(bounds: Bounds, r: dict) -> list[tuple]:
     low = bounds.below(np.array(r["to"]))
     k = int(np.lexsort((bounds.part, bounds.largest.mean(1), low))[0])
@@ -227,8 +169,8 @@ def nearest(ix: Index, df: DataFrame, key: str, vector: str, k: int) -> tuple[Da
     queries = _queries(df, key, vector, ix) if len(ix.pivots) else None
     if queries is None:
         return _no_rows(df, "query long, id long, measure double, rank long"), _no_rows(df, "query long, compared long")
-    at_home = laid_out(queries.join(_homes(queries, ix), "query"))
-    looked = laid_out(_visits(ix, at_home.select(F.col("home").alias("part"), "query", "v", "to", F.lit(None).cast("double").alias("bound")), _nearest_of(k), NEAR))
+    at_home, blocks = laid_out(queries.join(_homes(queries, ix), "query")), blocks_of(queries.count(), ix.bounds.count(), queries.sparkSession.sparkContext.defaultParallelism)
+    looked = laid_out(_visits(ix, _first_look(at_home), _nearest_of(k), NEAR, blocks))
     found = looked.where("id is not null")
     last = F.max(F.struct("measure", "id"))
     bound = found.groupBy("query").agg(F.count("*").alias("n"), last.alias("last")).where(F.col("n") >= k).select("query", F.col("last.measure").alias("bound"), F.col("last.id").alias("last"))
@@ -241,8 +183,8 @@ def nearest(ix: Index, df: DataFrame, key: str, vector: str, k: int) -> tuple[Da
             near &= bounds.first < r["last"]
         return [(r["query"], int(p)) for p in bounds.part[near] if p != r["home"]]
 
-    visits = _ask(asked.select("query", "to", "home", "bound", "last"), ix, closer, "query long, part long")
-    more = laid_out(_visits(ix, visits.join(asked.select("query", "v", "to", "bound"), "query"), _nearest_of(k), NEAR))
+    visits = laid_out(_ask(asked.select("query", "to", "home", "bound", "last"), ix, closer, "query long, part long"))
+    more = laid_out(_visits(ix, visits.join(asked.select("query", "v", "bound", F.lit(0.0).alias("slope")), "query"), _nearest_of(k), NEAR, blocks))
     both = looked.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("measure", "id")).cast("long")
     near = both.where("id is not null").select("query", "id", "measure").withColumn("rank", rank).where(F.col("rank") <= k)
@@ -254,10 +196,18 @@ REACH = "query long, hit boolean, realism double, compared long"
 EPSILON, TOLERANCE = 1e-6, 1e-12
 
 
-def _reached(part: Members, asks: pa.RecordBatch) -> pa.RecordBatch:
-    d, compared = part.compared(asks)
-    hit, real = (d <= part.limit + TOLERANCE).any(1), np.nanmax(np.where(np.isfinite(d), part.limit / (d + EPSILON), 0), axis=1, initial=0)
-    return pa.RecordBatch.from_arrays([asks.column(2), pa.array(hit), pa.array(real), pa.array(compared.astype(np.int64))], names=["query", "hit", "realism", "compared"])
+def _reached(part: Screen, names: np.ndarray, v: np.ndarray, bound: np.ndarray, slope: np.ndarray) -> pa.RecordBatch:
+    hit, real = np.zeros(len(names), bool), np.zeros(len(names))
+    left = part.within(v, bound, slope)
+    if left is None:
+        d = part.measured(v)
+        hit, real = (d <= part.limit + TOLERANCE).any(1), np.nanmax(np.where(np.isfinite(d), part.limit / (d + EPSILON), 0), axis=1, initial=0)
+    else:
+        at, row = left
+        d, limit = part.pairs(v, at, row), part.limit[row]
+        hit[at[d <= limit + TOLERANCE]] = True
+        np.fmax.at(real, at, np.where(np.isfinite(d), limit / (d + EPSILON), 0))
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(hit), pa.array(real), pa.array(np.full(len(names), len(part.ids)))], names=["query", "hit", "realism", "compared"])
 
 
 def within(ix: Index, df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -268,9 +218,8 @@ def within(ix: Index, df: DataFrame, key: str, vector: str) -> DataFrame:
     if not len(ix.pivots):
         return _no_rows(df, REACH)
     queries = _queries(df, key, vector, ix)
-    at_home = laid_out(queries.join(_homes(queries, ix), "query"))
-    ask = F.lit(None).cast("double").alias("bound")
-    looked = laid_out(_visits(ix, at_home.select(F.col("home").alias("part"), "query", "v", "to", ask), _reached, REACH))
+    at_home, blocks = laid_out(queries.join(_homes(queries, ix), "query")), blocks_of(queries.count(), ix.bounds.count(), queries.sparkSession.sparkContext.defaultParallelism)
+    looked = laid_out(_visits(ix, _first_look(at_home), _reached, REACH, blocks))
     asked = at_home.join(looked.select("query", "hit", "realism"), "query")
 
     def may_reach(bounds: Bounds, r: dict) -> list[tuple]:
@@ -280,7 +229,9 @@ def within(ix: Index, df: DataFrame, key: str, vector: str) -> DataFrame:
             wanted |= low <= bounds.limit + TOLERANCE
         return [(r["query"], int(p)) for p in bounds.part[wanted] if p != r["home"]]
 
-    visits = _ask(asked.select("query", "to", "home", "hit", "realism"), ix, may_reach, "query long, part long")
-    # members are excluded by pivots where neither their limit nor a better realism can reach so far
-    more = _visits(ix, visits.join(queries.select("query", "v", "to"), "query").select("part", "query", "v", "to", ask), _reached, REACH)
+    visits = laid_out(_ask(asked.select("query", "to", "home", "hit", "realism"), ix, may_reach, "query long, part long"))
+    # a member counts if its limit reaches the query, or for a realism above the one found: at most slope times its limit away
+    slope = F.greatest(F.when(F.col("realism") > 0, 1 / F.col("realism")).otherwise(float("inf")), F.when(F.col("hit"), 0.0).otherwise(1.0)).alias("slope")
+    asks = visits.join(asked.select("query", "v", F.lit(TOLERANCE).alias("bound"), slope), "query")
+    more = _visits(ix, asks, _reached, REACH, blocks)
     return looked.unionByName(more).groupBy("query").agg(F.bool_or("hit").alias("hit"), F.max("realism").alias("realism"), F.sum("compared").alias("compared"))
