@@ -108,11 +108,18 @@ def answer_normalise(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.normalised_answer(t).alias("answer"), X.without_dots(t).alias("plain"), X.collapsed(t).alias("line"), X.yes_or_no(t).alias("verdict"))
 
 
+def _tasks(spark) -> int:
+    """Several tasks a core, so that long texts even out."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query()
 def clean_text(spark, d):
-    docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), X.cleaned_caption(F.col("text")).alias("caption"))
-    pages = table(spark, d, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), X.cleaned_caption(F.col("html")).alias("caption"))
-    return docs.unionByName(pages).withColumn("first_sentence", F.substring_index("caption", ".", 1))
+    # texts are dealt out before they are cleaned: a file may be one task's, and cleaning is much more work than reading
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text"))
+    pages = table(spark, d, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    rows = docs.unionByName(pages).repartition(_tasks(spark)).select("source", "id", X.cleaned_caption(F.col("text")).alias("caption"))
+    return rows.withColumn("first_sentence", F.substring_index("caption", ".", 1))
 
 
 @query(
