@@ -12,7 +12,7 @@ from array import array
 
 import numpy as np
 
-#: Segments kept by a worker; beyond it the cache starts anew.
+#: Segments of a cache's generation. The last one is kept beside the new one, so that what is in use is not encoded again.
 CACHE_SEGMENTS = 100_000
 #: Longer segments are encoded each time.
 CACHE_CHARS = 48
@@ -28,14 +28,21 @@ class _Segments(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.last = encode, {}
 
     def __missing__(self, piece):
-        made = self.encode(piece)
+        made = self.last.get(piece)
+        if made is None:
+            made = self.encode(piece)
         if len(piece) <= CACHE_CHARS:
             self[piece] = made
         return made
 
+    def age(self):
+        """What has not been asked for since the last call is dropped."""
+        self.last = dict(self)
+        self.clear()
+
 
 class Encoder:
     """Ids of whole texts, exactly as the tokenizers library gives them without special tokens being added.
@@ -92,7 +99,7 @@ class Encoder:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         for cache in (self.heads, self.spaced, self.tails):
             if len(cache) > CACHE_SEGMENTS:
-                cache.clear()
+                cache.age()
         head, spaced = self.heads.__getitem__, self.spaced.__getitem__
         if self.kind == "words":
             made = b"".join(map(head, text.split()))
