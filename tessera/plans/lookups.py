@@ -12,7 +12,7 @@ from tessera.operators import pivots as P
 from tessera.operators import vectors as V
 from tessera.operators.common import laid_out, r6, running_number, shared_folder
 from tessera.plans.registry import query, table
-from tessera.plans.vectors import _L2, _RADII, _radii, _vectors
+from tessera.plans.vectors import _L2, _RADII, _radii, _sided, _vectors
 from tessera.streaming import durable
 
 
@@ -66,7 +66,7 @@ FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 JOI
 )
 def realism_nearest(spark, d):
     """Of each even vector the largest ratio of an odd one's radius to their distance, and the nearest odd one."""
-    v, radii = _vectors(spark, d), laid_out(_radii(spark, d, (1,)))
+    v, radii = _vectors(spark, d), laid_out(_radii(_sided(spark, d, (1,))))
     odd = v.where("vec_id % 2 = 1").join(radii.select(F.col("id").alias("vec_id"), "radius"), "vec_id")
     ix, even = P.index(odd, "vec_id", "embedding", "radius"), v.where("vec_id % 2 = 0")
     near = P.nearest(ix, even, "vec_id", "embedding", 1)[0].select("query", F.col("id").alias("nearest"))
