@@ -13,7 +13,10 @@ from array import array
 import numpy as np
 
 #: Segments of a cache's generation. The last one is kept beside the new one, so that what is in use is not encoded again.
-CACHE_SEGMENTS = 100_000
+#: "words" has less room: the pipeline's executors hold the workers of other stages too.
+CACHE_SEGMENTS = {"spaces": 200_000, "words": 100_000}
+#: Marks by which a cache knows what it was asked for before; two segments with one mark only fill it sooner.
+CACHE_MARKS = 1 << 21
 #: Longer segments are encoded each time.
 CACHE_CHARS = 48
 #: Control characters that Python and the tokenizers treat differently.
@@ -23,26 +26,35 @@ BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u
 DOUBLED = ("  ", "\n\n", " \n", "\n ")
 #: Signs that make one unit after letters; the apostrophe may belong to what follows.
 SIGNS = string.punctuation.replace("'", "")
+#: Latin letters behind which signs begin a unit of their own; the dotted capital I is two characters in lower case.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Stands before signs that were cut off the word before them; texts that hold it are encoded whole.
+CUT_OFF = SEPARATORS[0]
 
 
 class _Segments(dict):
-    """segment -> its ids as bytes."""
+    """segment -> its ids as bytes. Most segments come once: after the first generation, one is kept from its second time on."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.last = encode, {}
+        self.encode, self.last, self.asked = encode, {}, None
 
     def __missing__(self, piece):
         made = self.last.get(piece)
         if made is None:
             made = self.encode(piece)
+            if self.asked is not None:
+                mark = hash(piece) % CACHE_MARKS
+                if not self.asked[mark]:
+                    self.asked[mark] = 1
+                    return made
         if len(piece) <= CACHE_CHARS:
             self[piece] = made
         return made
 
     def age(self):
         """What has not been asked for since the last call is dropped."""
-        self.last = dict(self)
+        self.last, self.asked = dict(self), bytearray(CACHE_MARKS)
         self.clear()
 
 
@@ -53,6 +65,7 @@ class Encoder:
     by the tokenizer, so any white space cuts. Texts with anything for which these cuts might not hold (the strings of
     special tokens, separators on which Python and the tokenizer differ) are encoded whole. A segment of Latin letters
     and then ASCII signs other than the apostrophe is one or two units of the merging model, which then is asked directly.
+    Such signs are cut off their words beforehand, so that a word is encoded and kept once, whatever follows it.
     """
 
     def __init__(self, path: str, kind: str):
@@ -63,6 +76,9 @@ class Encoder:
         self.model = self.tok.model
         self.kind = kind
         self.cut = re.compile(r" (?=\S)")
+        # signs between a letter and white space; that the first sign is sought makes the search quick
+        signs, behind = re.escape(SIGNS), r"\S" if kind == "words" else r"[^ \n]"
+        self.signs = re.compile(rf"([{signs}](?<=[{LETTERS}].)[{signs}]*)(?!{behind})")
         self.heads, self.spaced = _Segments(lambda w: self._one(w, "")), _Segments(lambda w: self._one(w, " "))
         self.tails = _Segments(self._whole)
         self.line_end = self._whole("\n")
@@ -82,6 +98,8 @@ class Encoder:
     def _one(self, word: str, space: str) -> bytes:
         """Ids of a segment; space is what stands before it."""
         if not word.isalpha():
+            if word.startswith(CUT_OFF):
+                return self.tails[word[1:]]
             core = word.rstrip(SIGNS)
             if len(core) < len(word) and core.isalpha() and self._plain(core):
                 return (self.spaced if space else self.heads)[core] + self.tails[word[len(core) :]]
@@ -90,7 +108,9 @@ class Encoder:
             return self._whole(space + word)
         if self.kind == "words" and (low := word.lower()) != word:
             return self.heads[low]
-        unit = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+        unit = word if word.isascii() else word.encode().decode("latin-1")
+        if not unit.isprintable():  # of the bytes of letters, just those that are not shown as themselves
+            unit = unit.translate(self.visible)
         return array("I", [t.id for t in self.model.tokenize(self.space + unit if space else unit)]).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -99,14 +119,14 @@ class Encoder:
         if "<|" in text or any(c in text for c in SEPARATORS):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         for cache in (self.heads, self.spaced, self.tails):
-            if len(cache) > CACHE_SEGMENTS:
+            if len(cache) > CACHE_SEGMENTS[self.kind]:
                 cache.age()
         head, spaced = self.heads.__getitem__, self.spaced.__getitem__
         if self.kind == "words":
-            made = b"".join(map(head, text.split()))
+            made = b"".join(map(head, self.signs.sub(r" \1", text).split()))
         elif not any(d in text for d in DOUBLED) and not any(c in text for c in BLANKS):
             # single spaces and line ends only: a line end between other characters is a piece of its own
-            lines = (line.split(" ") for line in text.split("\n"))
+            lines = (line.split(" ") for line in self.signs.sub(rf" {CUT_OFF}\1", text).split("\n"))
             made = self.line_end.join([b"".join([head(first), *map(spaced, rest)]) for first, *rest in lines])
         else:
             first, *rest = self.cut.split(text)
