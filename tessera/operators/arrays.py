@@ -93,14 +93,14 @@ def top_k_kept(x: str, by: Sequence[str], k: int) -> Column:
 
 
 def nucleus_kept(p: str, by: Sequence[str], order: str, top_p: float) -> Column:
-    """Kept while the mass before does not exceed top_p; the largest always."""
-    w = Window.partitionBy(*by).orderBy(F.desc(p), order).rowsBetween(Window.unboundedPreceding, -1)
+    """Kept while the mass before does not exceed top_p; the largest always. Nulls come last, here and below."""
+    w = Window.partitionBy(*by).orderBy(F.desc(p), F.asc_nulls_last(order)).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.round(F.sum(p).over(w), 9) <= top_p, F.lit(True))
 
 
 def nucleus_kept_ascending(p: str, by: Sequence[str], order: str, top_p: float) -> Column:
     """The same from below: dropped while the mass up to and with the value is at most 1 - top_p."""
-    w = Window.partitionBy(*by).orderBy(p, F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(p), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return F.round(F.sum(p).over(w), 9) > 1 - top_p
 
 

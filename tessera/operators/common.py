@@ -122,3 +122,11 @@ def laid_out(df: DataFrame) -> DataFrame:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def summed(x: str) -> Column:
+    """The sum of a group's doubles, the same in whatever order they are added: exact where each value has at most 9 decimals
+    (18 digits before them), else rounded to 9."""
+    exact = F.col(x).try_cast("decimal(27,9)")
+    whole = F.count_if(exact.cast("double") == F.col(x)) == F.count(x)
+    return F.coalesce(F.when(whole, F.try_sum(exact).cast("double")), F.round(F.sum(x), 9))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import arrays as A
-from tessera.operators.common import laid_out, r6
+from tessera.operators.common import laid_out, r6, summed
 from tessera.operators.regions import labelled_components
 from tessera.plans.registry import query, table
 
@@ -92,8 +92,7 @@ e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY user_id)) AS x FROM c)
 
 
 def _tokens(spark, d):
-    # equal sums tie in whatever order their values were added
-    logit = F.round(F.sum("value"), 9) / 100
+    logit = summed("value") / 100
     c = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("token")).agg(F.count("*").alias("n"), logit.alias("logit"))
     return A.with_softmax(c, "logit", ["user_id"])
 
